@@ -28,6 +28,19 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes:
 _WIDTH = {"integer": 4, "long": 8, "double": 8, "boolean": 1, "string": 64, "date": 4, "timestamp": 8}
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread an input that has fewer scan partitions than the cluster has cores, before costly text work.
+    A large input already has more partitions than cores and is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def explode_once(array: Column) -> Column:
+    """``explode`` for arrays that are costly to build. The optimiser adds ``size(array) > 0`` below a plain
+    explode and so builds the array twice; the outer form gives one null row for an empty array instead."""
+    return F.explode_outer(array)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so that a lost executor costs no recomputation
     and every reader sees the same partitions."""
@@ -43,17 +56,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="rolewright-ckpt-"))
 
 
-def rank_all(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+WINDOW_ROWS = 2_000_000
+
+
+def rank_all(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, window_rows: int = WINDOW_ROWS) -> DataFrame:
     """``row_number() over (partition by keys order by order)`` for groups of any size.
 
-    The rows are range-partitioned by (keys, order), so one hot key spans many tasks. Each task numbers
-    its own stretch; the offset of a stretch is the number of rows of that key in earlier partitions, read
-    from a small (partition, key) count table. The range-partitioned rows are checkpointed because the
-    counts and the numbering must see identical partition bounds.
+    The input is materialised once. When the largest group fits one task (``window_rows``) a plain window
+    numbers it. Otherwise the rows are range-partitioned by (keys, order), so a hot key spans many tasks: each
+    task numbers its own stretch, and the offset of a stretch is the number of rows of that key in earlier
+    partitions, read from a small (partition, key) count table. The range-partitioned rows are materialised
+    too, because the counts and the numbering must see identical partition bounds.
     """
+    rows = cut_lineage(df)
+    largest = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= window_rows:
+        return rows.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long"))
     part = "__part"
     ordered = cut_lineage(
-        df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn(part, F.spark_partition_id())
+        rows.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn(part, F.spark_partition_id())
     )
     local = W.partitionBy(part, *keys).orderBy(*order)
     before = W.partitionBy(*keys).orderBy(part).rowsBetween(W.unboundedPreceding, -1)

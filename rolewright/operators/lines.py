@@ -57,7 +57,7 @@ def normalise_stats(df: DataFrame, col: str, by: str) -> DataFrame:
 def to_lines(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
     """(keys, line_no, text, is_bullet) of the non-blank lines; glyphs and numbering are stripped."""
     return (
-        df.select(*keys, F.posexplode(T.split_lines(F.col(col))).alias("i", "raw"))
+        df.select(*keys, F.posexplode_outer(T.split_lines(F.col(col))).alias("i", "raw"))
         .where(F.trim("raw") != "")
         .withColumn("b", T.bullet_parts(F.col("raw")))
         .where("b.text <> ''")
@@ -87,7 +87,8 @@ def pack_sentences(text: Column, limit: int = 420) -> Column:
 
 def token_table(df: DataFrame, keys: Sequence[str], col: str, stopwords: tuple[str, ...] = T.STOPWORDS) -> DataFrame:
     """(keys, pos, token) content tokens in order."""
-    return df.select(*keys, F.posexplode(T.tokens(F.col(col), stopwords)).alias("pos", "token"))
+    rows = df.select(*keys, F.posexplode_outer(T.tokens(F.col(col), stopwords)).alias("pos", "token"))
+    return rows.where("token is not null")
 
 
 # --- Language ----------------------------------------------------------------------------------------------

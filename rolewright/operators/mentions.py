@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..cluster import checked_broadcast
+from ..cluster import checked_broadcast, explode_once
 from ..functions import text as T
 
 _WORD = f"([{T.WORD_CHAR}]+)"
@@ -49,7 +49,7 @@ def tag_mentions(lines: DataFrame, keys: Sequence[str], text: str, aliases: Data
 def find_candidates(lines: DataFrame, keys: Sequence[str], text: str, aliases: DataFrame) -> DataFrame:
     span = aliases.agg(F.max("words")).first()[0] or 1
     heads = aliases.select(T.fold(F.col("head")).alias("head"), "skill", "match", "lead", "pattern", "french", "member", "weak")
-    words = lines.select(*keys, F.explode(word_windows(F.col(text), int(span) + 2)).alias("w")).select(
+    words = lines.select(*keys, explode_once(word_windows(F.col(text), int(span) + 2)).alias("w")).select(
         *keys, "w.pos", "w.left", "w.span", T.fold(F.col("w.word")).alias("folded")
     )
     joined = words.join(checked_broadcast(heads), F.col("folded") == F.col("head"))
