@@ -95,8 +95,6 @@ UNIT = "array<struct<section:string,text:string,context:string,kind:string>>"
 def heading(line: Column) -> Column:
     """struct(section, inline) when the line is a section heading, else null. ``Skills: Python`` carries its
     content inline."""
-    s = T.strip(T.strip(T.strip(line), r"#*_=—:|•-"))
-    f = T.strip(F.regexp_replace(T.fold(s), r"\s+", " "), " :")
     names = sorted((h for hs in SECTIONS.values() for h in hs), key=len, reverse=True)
     pattern = rf"^({'|'.join(names)})\s*[:\-|]\s*(.+)$"
 
@@ -106,12 +104,19 @@ def heading(line: Column) -> Column:
             out = out.when(name.isin(*hs), sec)
         return out
 
-    label, rest = F.regexp_extract(f, pattern, 1), F.regexp_extract(f, pattern, 2)
-    inline = F.trim(F.right(s, F.length(rest)))
-    fits = (s != "") & (F.length(s) <= 60)
-    return F.when(fits & section_of(f).isNotNull(), F.struct(section_of(f).alias("section"), F.lit("").alias("inline"))).when(
-        fits & (label != ""), F.struct(section_of(label).alias("section"), inline.alias("inline"))
-    )
+    def found(s: Column, f: Column) -> Column:
+        whole = F.struct(section_of(f).alias("section"), F.lit("").alias("inline"))
+        part = F.struct(
+            section_of(F.regexp_extract(f, pattern, 1)).alias("section"),
+            F.trim(F.right(s, F.length(F.regexp_extract(f, pattern, 2)))).alias("inline"),
+        )
+        return F.when(f.isin(*names), whole).when(f.rlike(pattern), part)
+
+    def short(s: Column) -> Column:
+        folded = T.strip(F.regexp_replace(T.fold(s), r"\s+", " "), " :")
+        return F.when((s != "") & (F.length(s) <= 60), T.bind(folded, lambda f: found(s, f)))
+
+    return T.bind(T.strip(T.strip(T.strip(line), r"#*_=—:|•-")), short)
 
 
 def assign_cv_sections(cvs: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
@@ -176,18 +181,20 @@ def section_lines(lines: Column, section: str) -> Column:
 
 def looks_like_meta(line: Column) -> Column:
     """A role, company or date line rather than a sentence."""
-    f = T.fold(line)
-    n = T.word_count(line)
+    def test(x: Column) -> Column:
+        f, words, end = x["f"], x["words"], x["end"]
+        n = F.size(words)
+        caps = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")))
+        return (
+            f.rlike(DATE_RANGE)
+            | (f.rlike(YEAR) & (n <= 12))
+            | (f.contains("|") & (n <= 16))
+            | ((n <= 9) & f.rlike(ROLE_WORD) & ~end.endswith("."))
+            | ((n <= 6) & ~end.rlike(r"[.;]$") & (caps >= F.greatest(F.lit(1), n - 1)))
+        )
+
     words = F.regexp_extract_all(line, F.lit(r"(\S+)"), F.lit(1))
-    caps = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")))
-    end = F.regexp_replace(line, r"\s+$", "")
-    return (
-        f.rlike(DATE_RANGE)
-        | (f.rlike(YEAR) & (n <= 12))
-        | (line.contains("|") & (n <= 16))
-        | ((n <= 9) & f.rlike(ROLE_WORD) & ~end.endswith("."))
-        | ((n <= 6) & ~end.rlike(r"[.;]$") & (caps >= F.greatest(F.lit(1), n - 1)))
-    )
+    return T.bind(F.struct(T.fold(line).alias("f"), words.alias("words"), F.regexp_replace(line, r"\s+$", "").alias("end")), test)
 
 
 # --- Units -----------------------------------------------------------------------------------------------------
@@ -409,6 +416,13 @@ def union_months(ranges: Column) -> Column:
     return F.size(F.array_distinct(F.flatten(F.transform(forward, lambda r: F.sequence(r["a"], r["b"] - 1)))))
 
 
+def covered_months(intervals: DataFrame, keys: list[str], a: str = "a", b: str = "b") -> DataFrame:
+    """(keys, months): union length of half-open month intervals held as rows. Months are a small domain, so the
+    distinct (key, month) pairs are combined before the shuffle and one hot key stays cheap."""
+    months = intervals.where(F.col(a) < F.col(b)).select(*keys, F.explode(F.sequence(F.col(a), F.col(b) - 1)).alias("month"))
+    return months.groupBy(*keys).agg(F.countDistinct("month").alias("months"))
+
+
 def experience_months(sectioned: DataFrame, as_of: date) -> DataFrame:
     """``sectioned`` plus ``years_experience`` and ``internship_months``. Undated entries count by their stated
     number of months; those all start at month zero, so they overlap."""

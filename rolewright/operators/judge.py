@@ -68,15 +68,18 @@ def same_wording(cv: Column, jd: Column) -> Column:
     def key(c: Column) -> Column:
         return F.array_join(F.filter(F.split(T.fold(c), r"[\s\-']+"), lambda w: (w != "") & ~w.isin(*FUNCTION_WORDS)), "")
 
-    a, b = key(cv), key(jd)
-    shorter = F.least(F.length(a), F.length(b))
-    common = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(shorter, F.lit(1))),
-        F.lit(0),
-        lambda n, i: F.when((n == i - 1) & (F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1))), i).otherwise(n),
-    )
-    close = (F.abs(F.length(a) - F.length(b)) <= 1) & (common >= 0.75 * shorter)
-    return (a != "") & (b != "") & ((a == b) | a.contains(b) | close)
+    def test(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        shorter = F.least(F.length(a), F.length(b))
+        common = F.aggregate(
+            F.sequence(F.lit(1), F.greatest(shorter, F.lit(1))),
+            F.lit(0),
+            lambda n, i: F.when((n == i - 1) & (F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1))), i).otherwise(n),
+        )
+        close = (F.abs(F.length(a) - F.length(b)) <= 1) & (common >= 0.75 * shorter)
+        return (a != "") & (b != "") & ((a == b) | a.contains(b) | close)
+
+    return T.bind(F.struct(key(cv).alias("a"), key(jd).alias("b")), test)
 
 
 # --- Evidence index ----------------------------------------------------------------------------------------------

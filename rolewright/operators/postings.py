@@ -79,17 +79,22 @@ MUST_LIMIT, REQUIREMENT_LIMIT, REQUIREMENT_CHARS = 10, 14, 220
 def heading_kind(line: Column, headings: dict[str, list[str]] = HEADINGS) -> Column:
     """Section a heading line opens, else null: the exact heading, else a heading of more than five characters
     that starts a line of at most seven words."""
-    s = T.strip(T.strip(T.strip(line), r"#*_=—•-"))
-    bare = T.strip(F.regexp_replace(s, r":+$", ""))
-    f = T.strip(F.regexp_replace(T.fold(bare), r"\s+", " "), " :!?")
-    exact, starts = F, F
-    for kind, names in headings.items():
-        exact = exact.when(f.isin(*names), kind)
-        longer = [n for n in names if len(n) > 5]
-        if longer:
-            starts = starts.when(f.rlike("^(?:" + "|".join(longer) + ")"), kind)
-    fits = (s != "") & (F.length(s) <= 70) & ~s.endswith(".") & ~s.rlike(r":\s*\S")
-    return F.when(fits, F.coalesce(exact, F.when(T.word_count(f) <= 7, starts)))
+    def kind_of(f: Column) -> Column:
+        exact, starts = F, F
+        for kind, names in headings.items():
+            exact = exact.when(f.isin(*names), kind)
+            longer = [n for n in names if len(n) > 5]
+            if longer:
+                starts = starts.when(f.rlike("^(?:" + "|".join(longer) + ")"), kind)
+        return F.coalesce(exact, F.when(T.word_count(f) <= 7, starts))
+
+    def short(s: Column) -> Column:
+        bare = T.strip(F.regexp_replace(s, r":+$", ""))
+        folded = T.strip(F.regexp_replace(T.fold(bare), r"\s+", " "), " :!?")
+        fits = (s != "") & (F.length(s) <= 70) & ~s.endswith(".") & ~s.rlike(r":\s*\S")
+        return F.when(fits, T.bind(folded, kind_of))
+
+    return T.bind(T.strip(T.strip(T.strip(line), r"#*_=—•-")), short)
 
 
 def layout(description: Column, headings: dict[str, list[str]] = HEADINGS) -> Column:

@@ -123,11 +123,14 @@ def learn_next(judgments: DataFrame, analyses: DataFrame) -> DataFrame:
     must = F.when(F.col("n_must") > 0, (F.col("must_sum") + F.col("d_must")) / F.col("n_must"))
     nice = F.when(F.col("n_nice") > 0, (F.col("nice_sum") + F.col("d_nice")) / F.col("n_nice"))
     x = x.withColumn("new_must", must).withColumn("gain", F.greatest(F.lit(0.0), fit_of(must, nice) - F.col("fit")))
+    # Gains have four decimals; their mean is rounded half up on whole numbers, so ties do not depend on the order
+    # in which partial sums arrive.
+    n, total = F.count(F.lit(1)), F.sum(F.round(F.col("gain") * 10_000).cast("long"))
     return x.groupBy("cv_id", "skill").agg(
-        F.count(F.lit(1)).alias("jobs_requiring"),
+        n.alias("jobs_requiring"),
         F.count_if("asked_as_must").alias("must_count"),
         F.count_if((F.col("must_coverage") < 1) & (F.col("new_must") == 1)).alias("unlocks"),
-        F.round(F.avg("gain"), 4).alias("fit_gain"),
+        (F.floor((2 * total + n) / (2 * n)) / 10_000).alias("fit_gain"),
     )
 
 
