@@ -45,8 +45,9 @@ def language_hits(text: Column, languages: dict[str, list[str]] = LANGUAGES) ->
     folded = T.fold(text)
     names = [a for group in languages.values() for a in group]
     pattern = rf"(?<![{T.WORD_CHAR}])(?:{'|'.join(names)})(?![{T.WORD_CHAR}])"
-    found = F.regexp_extract_all(folded, F.lit(f"({pattern})"), F.lit(1))
-    between = F.split(folded, pattern, -1)
+    split = F.struct(
+        F.regexp_extract_all(folded, F.lit(f"({pattern})"), F.lit(1)).alias("found"), F.split(folded, pattern, -1).alias("between")
+    )
 
     def lang(alias: Column) -> Column:
         out = F
@@ -54,14 +55,14 @@ def language_hits(text: Column, languages: dict[str, list[str]] = LANGUAGES) ->
             out = out.when(alias.isin(*group), name)
         return out
 
-    def one(alias: Column, i: Column) -> Column:
+    def one(alias: Column, i: Column, between: Column) -> Column:
         after = F.substring(F.element_at(F.split(F.get(between, i + 1), r"[\n;|•]"), 1), 1, 60)
         before = F.right(F.element_at(F.split(F.get(between, i), r"[\n;|•]"), -1), F.lit(40))
         return F.struct(
             lang(alias).alias("lang"), F.coalesce(_level_in(after), _level_in(before), F.lit(DEFAULT_LEVEL)).alias("level")
         )
 
-    return F.transform(found, one)
+    return T.bind(split, lambda x: F.transform(x["found"], lambda alias, i: one(alias, i, x["between"])))
 
 
 def language_levels(text: Column, languages: dict[str, list[str]] = LANGUAGES) -> Column:

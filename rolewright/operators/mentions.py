@@ -5,7 +5,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..cluster import checked_broadcast, explode_once
 from ..functions import text as T
@@ -17,21 +16,23 @@ _LIST_LEFT = r"(?:[,/|;(] ?|and |et )$"
 def word_windows(text: Column, words: int) -> Column:
     """Array of struct(pos, left, span): each word with a little left context and the text of up to ``words``
     words and symbols from it on. Built inside the row, so the text is neither shuffled nor repeated."""
-    ws = F.regexp_extract_all(text, F.lit(_WORD), F.lit(1))
-    gaps = F.split(text, _WORD, -1)
-    pieces = F.zip_with(ws, F.slice(gaps, 2, 1_000_000_000), lambda w, g: F.concat(w, g))
-    first = F.element_at(gaps, 1)
-    return F.transform(
-        ws,
-        lambda w, i: F.struct(
-            (i + 1).cast("int").alias("pos"),
-            F.right(
-                F.when(i == 0, first).otherwise(F.concat(F.right(F.get(pieces, i - 1), F.lit(8)), F.lit(""))), F.lit(8)
-            ).alias("left"),
-            w.alias("word"),
-            F.array_join(F.slice(pieces, i + 1, words), "").alias("span"),
-        ),
-    )
+    def pieces(x: Column) -> Column:
+        after = F.slice(x["gaps"], 2, 1_000_000_000)
+        return F.struct(x["ws"].alias("ws"), F.element_at(x["gaps"], 1).alias("first"), F.zip_with(x["ws"], after, lambda w, g: F.concat(w, g)).alias("ps"))
+
+    def windows(x: Column) -> Column:
+        return F.transform(
+            x["ws"],
+            lambda w, i: F.struct(
+                (i + 1).cast("int").alias("pos"),
+                F.right(F.when(i == 0, x["first"]).otherwise(F.get(x["ps"], i - 1)), F.lit(8)).alias("left"),
+                w.alias("word"),
+                F.array_join(F.slice(x["ps"], i + 1, words), "").alias("span"),
+            ),
+        )
+
+    split = F.struct(F.regexp_extract_all(text, F.lit(_WORD), F.lit(1)).alias("ws"), F.split(text, _WORD, -1).alias("gaps"))
+    return T.bind(split, lambda x: T.bind(pieces(x), windows))
 
 
 def tag_mentions(lines: DataFrame, keys: Sequence[str], text: str, aliases: DataFrame) -> DataFrame:
@@ -75,34 +76,42 @@ def find_candidates(lines: DataFrame, keys: Sequence[str], text: str, aliases: D
     )
 
 
+_HIT = "match:string,pos:int,neg:int,skill:string,surface:string,stop:int,french:boolean,member:boolean,weak:boolean"
+
+
 def resolve_hits(candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Leftmost, longest, non-overlapping per line and family; then one hit per (line, skill, pos)."""
-    place = W.partitionBy(*keys, "match", "pos")
-    longest = candidates.withColumn("best", F.max("chars").over(place)).where(
-        "chars = best or match = 'list'"
+    """Leftmost, longest, non-overlapping per line and family; then one hit per (line, skill, pos).
+
+    One shuffle by line. The collected list holds the hits of ONE line, that is of one input value, so its size is
+    bounded by that value.
+    """
+    hit = F.struct("match", "pos", (-F.col("chars")).alias("neg"), "skill", "surface", "stop", "french", "member", "weak")
+    lines = candidates.groupBy(*keys).agg(F.array_sort(F.collect_list(hit)).alias("hits"))
+    start = F.struct(
+        F.lit("").alias("match"), F.lit(0).alias("free"), F.lit(0).alias("pos"), F.lit(0).alias("neg"), F.array().cast(f"array<struct<{_HIT}>>").alias("out")
     )
-    # Taken places per line and family. The list holds the hits of ONE line, which is one input value.
-    spans = (
-        longest.where("match <> 'list'")
-        .groupBy(*keys, "match")
-        .agg(F.array_sort(F.collect_set(F.struct("pos", "stop"))).alias("spans"))
-        .withColumn(
-            "starts",
-            F.aggregate(
-                "spans",
-                F.struct(F.lit(0).alias("free"), F.array().cast("array<int>").alias("taken")),
-                lambda acc, s: F.when(
-                    s["pos"] >= acc["free"],
-                    F.struct(s["stop"].alias("free"), F.concat(acc["taken"], F.array(s["pos"])).alias("taken")),
-                ).otherwise(acc),
-                lambda acc: acc["taken"],
+
+    def step(acc: Column, h: Column) -> Column:
+        free = F.when(acc["match"] == h["match"], acc["free"]).otherwise(0)
+        twin = (acc["match"] == h["match"]) & (acc["pos"] == h["pos"]) & (acc["neg"] == h["neg"])
+        out = F.concat(acc["out"], F.array(h)).alias("out")
+        return (
+            F.when((h["match"] == "list") | twin, F.struct(acc["match"].alias("match"), acc["free"].alias("free"), acc["pos"].alias("pos"), acc["neg"].alias("neg"), out))
+            .when(h["pos"] >= free, F.struct(h["match"].alias("match"), h["stop"].alias("free"), h["pos"].alias("pos"), h["neg"].alias("neg"), out))
+            .otherwise(acc)
+        )
+
+    def once(out: Column) -> Column:
+        by_skill = F.array_sort(F.transform(out, lambda h: F.struct(h["skill"].alias("skill"), h["pos"].alias("pos"), h["neg"].alias("neg"), h.alias("h"))))
+        return T.bind(
+            by_skill,
+            lambda xs: F.filter(
+                xs, lambda x, i: (i == 0) | (F.get(xs, i - 1)["skill"] != x["skill"]) | (F.get(xs, i - 1)["pos"] != x["pos"])
             ),
         )
-        .select(*keys, "match", F.explode("starts").alias("pos"))
-    )
-    kept = longest.join(spans, [*keys, "match", "pos"], "left_semi").unionByName(longest.where("match = 'list'")).drop("best")
-    same = W.partitionBy(*keys, "skill", "pos").orderBy(F.desc("chars"), "surface")
-    return kept.withColumn("rn", F.row_number().over(same)).where("rn = 1").drop("rn")
+
+    kept = once(F.aggregate("hits", start, step, lambda acc: acc["out"]))
+    return lines.select(*keys, explode_once(kept).alias("x")).select(*keys, "x.h.*")
 
 
 def canonicalise(terms: DataFrame, term: str, skills: DataFrame, aliases: DataFrame) -> DataFrame:

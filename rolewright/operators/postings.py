@@ -104,17 +104,17 @@ def layout(description: Column, headings: dict[str, list[str]] = HEADINGS) -> Co
     parsed = F.transform(
         lines, lambda s, i: F.struct(i.alias("i"), heading_kind(s, headings).alias("kind"), T.bullet_parts(s).alias("b"))
     )
-    opened = F.filter(parsed, lambda p: p["kind"].isNotNull())
-    body = F.filter(parsed, lambda p: p["kind"].isNull() & (p["b"]["text"] != ""))
 
-    def section(p: Column) -> Column:
+    def place(p: Column, opened: Column) -> Column:
         above = F.filter(opened, lambda h: h["i"] < p["i"])
-        return F.coalesce(F.try_element_at(above, F.lit(-1))["kind"], F.lit("intro"))
+        section = F.coalesce(F.try_element_at(above, F.lit(-1))["kind"], F.lit("intro"))
+        return F.struct(section.alias("section"), p["b"]["text"].alias("text"), p["b"]["is_bullet"].alias("is_bullet"))
 
-    return F.transform(
-        body,
-        lambda p: F.struct(section(p).alias("section"), p["b"]["text"].alias("text"), p["b"]["is_bullet"].alias("is_bullet")),
-    )
+    def placed(x: Column) -> Column:
+        body = F.filter(x, lambda p: p["kind"].isNull() & (p["b"]["text"] != ""))
+        return T.bind(F.filter(x, lambda p: p["kind"].isNotNull()), lambda opened: F.transform(body, lambda p: place(p, opened)))
+
+    return T.bind(parsed, placed)
 
 
 def split_postings(postings: DataFrame, headings: dict[str, list[str]] = HEADINGS) -> DataFrame:
@@ -146,9 +146,7 @@ def requirement_lines(postings: DataFrame, headings: dict[str, list[str]] = HEAD
 def content_chunks(postings: DataFrame, limit: int = 18, chars: int = 300) -> DataFrame:
     """(job_id, chunk_no, text) of the lines used for retrieval: requirements, then duties, then longer intro
     lines; the start of the description when there is none."""
-    lines = layout(F.col("description"))
-
-    def section(*names: str, words: int = 0) -> Column:
+    def section(lines: Column, *names: str, words: int = 0) -> Column:
         return F.filter(
             lines,
             lambda p: p["section"].isin(*names)
@@ -157,9 +155,12 @@ def content_chunks(postings: DataFrame, limit: int = 18, chars: int = 300) -> Da
             & ~T.fold(p["text"]).rlike(SKIP_LINE),
         )
 
-    ordered = F.concat(section("must", "nice"), section("duties"), section("intro", words=5))
-    chunks = F.transform(F.slice(ordered, 1, limit), lambda p: F.substring(p["text"], 1, chars))
-    whole = F.when(F.size(chunks) == 0, F.array(F.substring("description", 1, chars))).otherwise(chunks)
+    def chosen(lines: Column) -> Column:
+        ordered = F.concat(section(lines, "must", "nice"), section(lines, "duties"), section(lines, "intro", words=5))
+        return F.transform(F.slice(ordered, 1, limit), lambda p: F.substring(p["text"], 1, chars))
+
+    chunks = T.bind(layout(F.col("description")), chosen)
+    whole = T.bind(chunks, lambda c: F.when(F.size(c) == 0, F.array(F.substring("description", 1, chars))).otherwise(c))
     return postings.select("job_id", F.posexplode_outer(whole).alias("pos", "text")).select(
         "job_id", (F.col("pos") + 1).alias("chunk_no"), "text"
     )

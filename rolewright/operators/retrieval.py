@@ -96,20 +96,23 @@ def bm25_in_pool(docs: DataFrame, queries: DataFrame, pairs: DataFrame) -> DataF
 # --- TF-IDF ------------------------------------------------------------------------------------------------------
 def line_terms(text: Column, skills: Column | None = None) -> Column:
     """Terms of a line: tokens, ``sk:<skill>`` twice, neighbouring pairs ``a_b`` and in-word 4-grams ``#xxxx``."""
-    words = T.tokens(text)
-    pairs = F.transform(
-        F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit("_"), F.get(words, i + 1))
-    )
-    grams = F.flatten(
-        F.transform(
-            F.filter(words, lambda w: F.length(w) >= 4),
-            lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 3), lambda i: F.concat(F.lit("#"), F.substring(w, i, F.lit(4)))),
+    def terms(words: Column) -> Column:
+        pairs = F.transform(
+            F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit("_"), F.get(words, i + 1))
+        )
+        grams = F.flatten(
+            F.transform(
+                F.filter(words, lambda w: F.length(w) >= 4),
+                lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 3), lambda i: F.concat(F.lit("#"), F.substring(w, i, F.lit(4)))),
+            )
         )
-    )
-    if skills is None:
         return F.concat(words, pairs, grams)
+
+    own = T.bind(T.tokens(text), terms)
+    if skills is None:
+        return own
     sk = F.transform(skills, lambda s: F.concat(F.lit("sk:"), F.lower(s)))
-    return F.concat(words, sk, sk, pairs, grams)
+    return F.concat(own, sk, sk)
 
 
 def term_frequencies(rows: DataFrame, keys: list[str], terms: str) -> DataFrame:

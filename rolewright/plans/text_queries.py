@@ -353,7 +353,7 @@ ORACLES = {
       ids AS (SELECT conv_id, skill, string_agg('E' || turn, ',' ORDER BY place, turn) AS ids FROM (
           SELECT *, row_number() OVER (PARTITION BY conv_id, skill ORDER BY place, turn) AS i FROM (SELECT DISTINCT conv_id, skill, place, turn FROM u)) WHERE i <= 2 GROUP BY ALL),
       f AS (SELECT conv_id, skill, array_to_string(list_sort(list(DISTINCT key)), ',') AS keys, bool_and(weak) AS weak_only,
-                   arg_min(surface, place * 1000000000 + turn * 100000 + pos) FILTER (NOT member) AS plain FROM u GROUP BY ALL)
+                   arg_min(surface, place::BIGINT * 1000000000 + turn::BIGINT * 100000 + pos) FILTER (NOT member) AS plain FROM u GROUP BY ALL)
       SELECT conv_id AS cv_id, skill, ids, keys, weak_only, plain FROM ids JOIN f USING (conv_id, skill)""",
     "skill_overlap_triage": f"WITH {_PAIRS_SQL} SELECT cv_id, job_id, n_overlap FROM pairs",
     "title_match_triage": """WITH q AS (SELECT p_type AS cv_id, 0 AS pos, min(p_name) AS query FROM part GROUP BY ALL UNION ALL SELECT p_type, 1, max(p_name) FROM part GROUP BY ALL)
