@@ -56,6 +56,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="rolewright-ckpt-"))
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder next to the checkpoints, which every executor can reach."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}"
+
+
 WINDOW_ROWS = 2_000_000
 
 

@@ -1,8 +1,8 @@
 """All registered queries."""
 from __future__ import annotations
 
-from . import scoring_queries, text_queries
+from . import feed_queries, scoring_queries, text_queries
 
-MODULES = (text_queries, scoring_queries)
+MODULES = (text_queries, scoring_queries, feed_queries)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
