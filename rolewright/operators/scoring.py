@@ -37,25 +37,42 @@ LEVEL_ORDER = {"student": 0, "intern": 0, "junior": 1, "mid": 2, "senior": 3, "l
 WRITTEN_IN = {"de": "German", "fr": "French"}
 
 
-def verdict_value(v: Column) -> Column:
-    return F.when(v == "met", 1.0).when(v == "partial", 0.5).otherwise(0.0)
+def half_points(v: Column) -> Column:
+    """Verdict value in half points (met 2, partial 1), so sums stay whole numbers."""
+    return F.when(v == "met", 2).when(v == "partial", 1).otherwise(0)
+
+
+def fit_of(must: Column, n_must: Column, nice: Column, n_nice: Column) -> Column:
+    """Fit with four decimals from sums of half points and counts: weighted when both kinds exist, else the one
+    that does, else 0. Rounded half up on whole numbers, so the result does not depend on the order of sums."""
+    heavy, light = round(5_000 * MUST_WEIGHT), round(5_000 * (1 - MUST_WEIGHT))
+    top = (
+        F.when((n_must > 0) & (n_nice > 0), heavy * must * n_nice + light * nice * n_must)
+        .when(n_must > 0, 5_000 * must)
+        .when(n_nice > 0, 5_000 * nice)
+        .otherwise(0)
+    )
+    bottom = F.greatest(n_must, F.lit(1)) * F.greatest(n_nice, F.lit(1))
+    return F.floor((2 * top + bottom) / (2 * bottom)) / 10_000
 
 
-def fit_of(must: Column, nice: Column) -> Column:
-    both = MUST_WEIGHT * must + (1 - MUST_WEIGHT) * nice
-    return F.round(F.coalesce(both, must, nice, F.lit(0.0)), 4)
+def _kind_sums(judgments: DataFrame, keys: list[str]) -> DataFrame:
+    v = half_points(F.col("verdict"))
+    must, nice = F.col("kind") == "must", F.col("kind") == "nice"
+    return judgments.groupBy(*keys).agg(
+        F.sum(F.when(must, v).otherwise(0)).alias("must_sum"), F.count_if(must).alias("n_must"),
+        F.sum(F.when(nice, v).otherwise(0)).alias("nice_sum"), F.count_if(nice).alias("n_nice"),
+    )
 
 
 def coverage(judgments: DataFrame, keys: list[str] = PAIR) -> DataFrame:
     """(keys, must_coverage, nice_coverage, fit) from rows with ``kind`` and ``verdict``."""
-    v = verdict_value(F.col("verdict"))
-    return (
-        judgments.groupBy(*keys)
-        .agg(
-            F.avg(F.when(F.col("kind") == "must", v)).alias("must_coverage"),
-            F.avg(F.when(F.col("kind") == "nice", v)).alias("nice_coverage"),
-        )
-        .withColumn("fit", fit_of(F.col("must_coverage"), F.col("nice_coverage")))
+    m, n, k, j = (F.col(c) for c in ("must_sum", "n_must", "nice_sum", "n_nice"))
+    return _kind_sums(judgments, keys).select(
+        *keys,
+        F.when(n > 0, m / (2 * n)).alias("must_coverage"),
+        F.when(j > 0, k / (2 * j)).alias("nice_coverage"),
+        fit_of(m, n, k, j).alias("fit"),
     )
 
 
@@ -101,35 +118,32 @@ def learn_next(judgments: DataFrame, analyses: DataFrame) -> DataFrame:
     sums plus the change, so only the judgments that lack the skill are touched: rows are exploded once and
     summed twice, and nothing is joined back to the full judgment table.
     """
-    v = verdict_value(F.col("verdict"))
-    is_must, is_nice = F.col("kind") == "must", F.col("kind") == "nice"
-    sums = judgments.groupBy(*PAIR).agg(
-        F.sum(F.when(is_must, v)).alias("must_sum"), F.count_if(is_must).alias("n_must"),
-        F.sum(F.when(is_nice, v)).alias("nice_sum"), F.count_if(is_nice).alias("n_nice"),
-    )
-    after = F.when(F.size("missing_skills") == 1, 1.0).when(F.col("verdict") == "missing", 0.5).otherwise(v)
+    v = half_points(F.col("verdict"))
+    is_must = F.col("kind") == "must"
+    after = F.when(F.size("missing_skills") == 1, 2).when(F.col("verdict") == "missing", 1).otherwise(v)
     gaps = judgments.where("verdict <> 'met'").withColumn("missing_skills", F.array_distinct("missing_skills"))
     change = (
         gaps.withColumn("delta", after - v)
         .select(*PAIR, "kind", "delta", F.explode("missing_skills").alias("skill"))
         .groupBy(*PAIR, "skill")
         .agg(
-            F.sum(F.when(is_must, F.col("delta")).otherwise(0.0)).alias("d_must"),
-            F.sum(F.when(is_nice, F.col("delta")).otherwise(0.0)).alias("d_nice"),
+            F.sum(F.when(is_must, F.col("delta")).otherwise(0)).alias("d_must"),
+            F.sum(F.when(is_must, 0).otherwise(F.col("delta"))).alias("d_nice"),
             F.bool_or(is_must).alias("asked_as_must"),
         )
     )
-    x = change.join(sums, PAIR).join(analyses.select(*PAIR, "fit", "must_coverage"), PAIR)
-    must = F.when(F.col("n_must") > 0, (F.col("must_sum") + F.col("d_must")) / F.col("n_must"))
-    nice = F.when(F.col("n_nice") > 0, (F.col("nice_sum") + F.col("d_nice")) / F.col("n_nice"))
-    x = x.withColumn("new_must", must).withColumn("gain", F.greatest(F.lit(0.0), fit_of(must, nice) - F.col("fit")))
+    x = change.join(_kind_sums(judgments, PAIR), PAIR).join(analyses.select(*PAIR, "fit"), PAIR)
+    must, nice = F.col("must_sum") + F.col("d_must"), F.col("nice_sum") + F.col("d_nice")
+    full = 2 * F.col("n_must")
+    new_fit = fit_of(must, F.col("n_must"), nice, F.col("n_nice"))
+    x = x.withColumn("opened", (F.col("must_sum") < full) & (must == full)).withColumn("gain", F.greatest(F.lit(0.0), new_fit - F.col("fit")))
     # Gains have four decimals; their mean is rounded half up on whole numbers, so ties do not depend on the order
     # in which partial sums arrive.
     n, total = F.count(F.lit(1)), F.sum(F.round(F.col("gain") * 10_000).cast("long"))
     return x.groupBy("cv_id", "skill").agg(
         n.alias("jobs_requiring"),
         F.count_if("asked_as_must").alias("must_count"),
-        F.count_if((F.col("must_coverage") < 1) & (F.col("new_must") == 1)).alias("unlocks"),
+        F.count_if("opened").alias("unlocks"),
         (F.floor((2 * total + n) / (2 * n)) / 10_000).alias("fit_gain"),
     )
 

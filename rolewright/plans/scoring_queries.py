@@ -221,21 +221,19 @@ ORACLES = {
              max(verdict) FILTER (i = 1) AS any_of, max(CASE WHEN verdict <> 'met' THEN skill END) FILTER (i = 1) AS missing_label
       FROM ranked GROUP BY ALL""",
     "learn_next": f"""WITH {JUDGMENTS_SQL},
-      gaps AS (SELECT cv_id, job_id, kind, verdict, v, len(list_distinct(missing_skills)) AS n, unnest(list_distinct(missing_skills)) AS skill FROM judged WHERE verdict <> 'met'),
+      gaps AS (SELECT cv_id, job_id, kind, verdict, (2 * v)::BIGINT AS v, len(list_distinct(missing_skills)) AS n, unnest(list_distinct(missing_skills)) AS skill FROM judged WHERE verdict <> 'met'),
       delta AS (
         SELECT cv_id, job_id, skill, bool_or(kind = 'must') AS asked_must,
-               sum(CASE WHEN kind = 'must' THEN d ELSE 0 END) AS dm, sum(CASE WHEN kind = 'nice' THEN d ELSE 0 END) AS dn
-        FROM (SELECT *, CASE WHEN n = 1 THEN 1.0 WHEN verdict = 'missing' THEN 0.5 ELSE v END - v AS d FROM gaps) GROUP BY ALL),
-      sums AS (
-        SELECT cv_id, job_id, sum(v) FILTER (kind = 'must') AS ms, count(*) FILTER (kind = 'must') AS mn,
-               sum(v) FILTER (kind = 'nice') AS ns, count(*) FILTER (kind = 'nice') AS nn FROM judged GROUP BY ALL),
+               sum(CASE WHEN kind = 'must' THEN d ELSE 0 END)::BIGINT AS dm, sum(CASE WHEN kind = 'nice' THEN d ELSE 0 END)::BIGINT AS dn
+        FROM (SELECT *, CASE WHEN n = 1 THEN 2 WHEN verdict = 'missing' THEN 1 ELSE v END - v AS d FROM gaps) GROUP BY ALL),
       sim AS (
-        SELECT cv_id, job_id, skill, asked_must, must_coverage, fit, CASE WHEN mn > 0 THEN (ms + dm) / mn END AS m2, CASE WHEN nn > 0 THEN (ns + dn) / nn END AS n2
-        FROM delta JOIN sums USING (cv_id, job_id) JOIN fits USING (cv_id, job_id)),
+        SELECT cv_id, job_id, skill, asked_must, ms < 2 * mn AND ms + dm = 2 * mn AS opened, fit,
+               (2 * CASE WHEN mn > 0 AND nn > 0 THEN 3750 * (ms + dm) * nn + 1250 * (ns + dn) * mn ELSE 5000 * (ms + dm + ns + dn) END + greatest(mn, 1) * greatest(nn, 1))
+               // (2 * greatest(mn, 1) * greatest(nn, 1)) / 10000.0::DOUBLE AS fit2
+        FROM delta JOIN fits USING (cv_id, job_id)),
       items AS (
-        SELECT cv_id, skill, count(*) AS jobs_requiring, count(*) FILTER (asked_must) AS must_count,
-               count(*) FILTER (must_coverage < 1 AND m2 = 1) AS unlocks,
-               (2 * sum(round(greatest(0.0, round(coalesce(0.75 * m2 + 0.25 * n2, m2, n2, 0.0), 4) - fit) * 10000)::BIGINT)::BIGINT + count(*)) // (2 * count(*)) / 10000.0::DOUBLE AS fit_gain
+        SELECT cv_id, skill, count(*) AS jobs_requiring, count(*) FILTER (asked_must) AS must_count, count(*) FILTER (opened) AS unlocks,
+               (2 * sum(round(greatest(0.0, fit2 - fit) * 10000)::BIGINT)::BIGINT + count(*)) // (2 * count(*)) / 10000.0::DOUBLE AS fit_gain
         FROM sim GROUP BY ALL)
       SELECT cv_id, skill, jobs_requiring, must_count, unlocks, fit_gain, place::INTEGER AS place FROM (
         SELECT *, row_number() OVER (PARTITION BY cv_id ORDER BY unlocks DESC, must_count DESC, jobs_requiring DESC, fit_gain DESC, skill) AS place FROM items)

@@ -56,8 +56,12 @@ cover AS (
   SELECT cv_id, job_id, avg(v) FILTER (kind = 'must') AS must_coverage, avg(v) FILTER (kind = 'nice') AS nice_coverage,
          max(retrieval_score) AS retrieval_score
   FROM judged GROUP BY ALL),
+sums AS (
+  SELECT cv_id, job_id, coalesce(sum((2 * v)::BIGINT) FILTER (kind = 'must'), 0)::BIGINT AS ms, count(*) FILTER (kind = 'must') AS mn,
+         coalesce(sum((2 * v)::BIGINT) FILTER (kind = 'nice'), 0)::BIGINT AS ns, count(*) FILTER (kind = 'nice') AS nn FROM judged GROUP BY ALL),
 fits AS (
-  SELECT *, round(coalesce(0.75 * must_coverage + 0.25 * nice_coverage, must_coverage, nice_coverage, 0.0), 4) AS fit FROM cover)
+  SELECT *, (2 * CASE WHEN mn > 0 AND nn > 0 THEN 3750 * ms * nn + 1250 * ns * mn ELSE 5000 * (ms + ns) END + greatest(mn, 1) * greatest(nn, 1))
+            // (2 * greatest(mn, 1) * greatest(nn, 1)) / 10000.0::DOUBLE AS fit FROM cover JOIN sums USING (cv_id, job_id))
 """
 
 
