@@ -27,7 +27,8 @@ def word_windows(text: Column, words: int) -> Column:
                 (i + 1).cast("int").alias("pos"),
                 F.right(F.when(i == 0, x["first"]).otherwise(F.get(x["ps"], i - 1)), F.lit(8)).alias("left"),
                 w.alias("word"),
-                F.array_join(F.slice(x["ps"], i + 1, words), "").alias("span"),
+                # Indexed reads: a slice would copy the whole array once per word.
+                F.concat_ws("", *[F.get(x["ps"], i + k) for k in range(words)]).alias("span"),
             ),
         )
 

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..cluster import cut_lineage
 from ..functions import text as T
 from .languages import language_hits
 from .lines import language_of
@@ -172,7 +173,8 @@ def extract_requirements(postings: DataFrame, aliases: DataFrame, candidates: Da
     ``candidates`` (job_id, line_no, kind, text) may come from elsewhere; by default they are the lines of
     ``requirement_lines``. Everything is keyed by (job_id, line_no); a posting has few candidate lines.
     """
-    lines = candidates if candidates is not None else requirement_lines(postings)
+    # Tagging and assembling both read the candidate lines; they are few compared with the postings' text.
+    lines = cut_lineage(candidates if candidates is not None else requirement_lines(postings))
     skills = (
         tag_mentions(lines, ["job_id", "line_no"], "text", aliases)
         .groupBy("job_id", "line_no", "skill")

@@ -197,9 +197,11 @@ def _dots(va: DataFrame, vb: DataFrame, on: list[str]) -> DataFrame:
 
 # --- Dense vectors -----------------------------------------------------------------------------------------------
 def unit_vector(v: Column) -> Column:
-    x = F.transform(v, lambda e: e.cast("double"))
-    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda acc, e: acc + e * e))
-    return F.transform(x, lambda e: e / F.when(norm == 0, F.lit(1.0)).otherwise(norm))
+    def scaled(x: Column) -> Column:
+        norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda acc, e: acc + e * e))
+        return T.bind(norm, lambda n: F.transform(x, lambda e: e / F.when(n == 0, F.lit(1.0)).otherwise(n)))
+
+    return T.bind(v.cast("array<double>"), scaled)
 
 
 def dot(a: Column, b: Column) -> Column:
