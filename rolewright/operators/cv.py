@@ -113,10 +113,10 @@ def heading(line: Column) -> Column:
         return F.when(f.isin(*names), whole).when(f.rlike(pattern), part)
 
     def short(s: Column) -> Column:
-        folded = T.strip(F.regexp_replace(T.fold(s), r"\s+", " "), " :")
+        folded = T.strip_chars(F.regexp_replace(T.fold(s), r"\s+", " "), " :")
         return F.when((s != "") & (F.length(s) <= 60), T.bind(folded, lambda f: found(s, f)))
 
-    return T.bind(T.strip(T.strip(T.strip(line), r"#*_=—:|•-")), short)
+    return T.bind(T.strip(T.strip_chars(T.strip(line), r"#*_=—:|•-")), short)
 
 
 def assign_cv_sections(cvs: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
@@ -476,7 +476,7 @@ def skill_counts(mentions: DataFrame, owner: str = "cv_id") -> DataFrame:
 def header_facts(header: Column, places: list[str] = PLACES) -> tuple[Column, Column]:
     """(headline, location) from the lines above the first section."""
     any_place = "(?i)" + "|".join(places)
-    lines = F.filter(F.transform(header, F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(header, lambda s: F.trim(s)), lambda s: s != "")
     title = F.filter(
         F.slice(lines, 1, 5),
         lambda s: ~s.rlike(r"[\[@]") & (F.length(s) >= 4) & ~(F.lower(s).rlike(any_place.lower()) & (T.word_count(s) <= 4)),

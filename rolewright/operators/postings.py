@@ -91,11 +91,11 @@ def heading_kind(line: Column, headings: dict[str, list[str]] = HEADINGS) -> Col
 
     def short(s: Column) -> Column:
         bare = T.strip(F.regexp_replace(s, r":+$", ""))
-        folded = T.strip(F.regexp_replace(T.fold(bare), r"\s+", " "), " :!?")
+        folded = T.strip_chars(F.regexp_replace(T.fold(bare), r"\s+", " "), " :!?")
         fits = (s != "") & (F.length(s) <= 70) & ~s.endswith(".") & ~s.rlike(r":\s*\S")
         return F.when(fits, T.bind(folded, kind_of))
 
-    return T.bind(T.strip(T.strip(T.strip(line), r"#*_=—•-")), short)
+    return T.bind(T.strip(T.strip_chars(T.strip(line), r"#*_=—•-")), short)
 
 
 def layout(description: Column, headings: dict[str, list[str]] = HEADINGS) -> Column:
