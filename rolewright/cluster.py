@@ -18,11 +18,13 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes:
     Beyond the bound the frame comes back without a hint, so the join is a shuffle join that adaptive
     execution may re-plan and whose skewed partitions it splits. The count stops at ``max_rows + 1``.
     """
+    return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df
+
+
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
     rows = df.limit(max_rows + 1).count()
-    if rows > max_rows:
-        return df
-    width = sum(_WIDTH.get(f.dataType.typeName(), 256) for f in df.schema.fields)
-    return F.broadcast(df) if rows * width <= max_bytes else df
+    width = sum(_WIDTH.get(f.dataType.typeName(), 1024) for f in df.schema.fields)
+    return rows <= max_rows and rows * width <= max_bytes
 
 
 _WIDTH = {"integer": 4, "long": 8, "double": 8, "boolean": 1, "string": 64, "date": 4, "timestamp": 8}

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import checked_broadcast, spread_hot_keys, top_k
+from ..cluster import checked_broadcast, is_small, spread_hot_keys, top_k
 from ..functions import roles as R
 from ..functions import text as T
 
@@ -94,8 +94,7 @@ def shared_skills(cv_skills: DataFrame, job_skills: DataFrame, threshold=overlap
 
 def skewed_join(big: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Inner join that broadcasts ``other`` when it is small and slices hot keys of ``big`` when it is not."""
-    rows = other.limit(200_001).count()
-    if rows <= 200_000:
+    if is_small(other):
         return big.join(F.broadcast(other), keys, how)
     a, b, on = spread_hot_keys(big, other, keys)
     return a.join(b, on, how).drop("__slice")

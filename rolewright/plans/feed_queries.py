@@ -14,7 +14,7 @@ from ..operators import mentions as M
 from ..operators import postings as P
 from ..sources import copied, feeds
 from ..streaming import jobs
-from .tables import benchmark_aliases, clean_sql, html_text_sql, table, texts
+from .tables import benchmark_aliases, clean_sql, html_text_sql, lines_sql, mentions_sql, table, texts, vocabulary_sql
 
 
 def _shown(postings: DataFrame) -> DataFrame:
@@ -243,7 +243,31 @@ ORACLES = {
       SELECT p.ats AS source, p.board, count(*) AS n_postings FROM p JOIN w ON p.board = w.board AND p.ats = w.ats GROUP BY ALL""",
     "copied_pages": f"""{_DOC} SELECT doc_id AS page_id, 'Role ' || doc_id AS title, 'Company ' || source AS company, 'Paris, France' AS location, 'hybrid' AS workplace, false AS internship,
       length(array_to_string(list_filter(string_split(t, chr(10)), lambda s: s <> ''), chr(10)))::INTEGER AS n_chars FROM d""",
+    "posting_sections": f"""WITH l AS ({lines_sql('documents', 'doc_id', 'text')}), h AS (SELECT doc_id, string_split(text, chr(10))[1] AS head FROM documents),
+      c AS (SELECT doc_id, count(*) FILTER (line_no = 1) AS first, count(*) FILTER (line_no > 1) AS rest FROM h LEFT JOIN l USING (doc_id) GROUP BY doc_id),
+      x AS (SELECT doc_id, 'intro' AS section, 1 AS n FROM c UNION ALL SELECT doc_id, 'must', 1 + first FROM c UNION ALL SELECT doc_id, 'nice', rest FROM c
+            UNION ALL SELECT doc_id, 'skip', 1 FROM c)
+      SELECT doc_id::VARCHAR AS job_id, section, n::BIGINT AS n_lines FROM x WHERE n > 0""",
+    "content_chunks": f"""WITH l AS ({lines_sql('documents', 'doc_id', 'text')})
+      SELECT d.doc_id::VARCHAR AS job_id, least(18, 1 + count(l.line_no) FILTER (length(l.text) >= 12)) AS n_chunks FROM documents d LEFT JOIN l ON l.doc_id = d.doc_id GROUP BY d.doc_id""",
+    "captured_postings": f"""{_DOC}, c AS (SELECT *, 'Role ' || doc_id AS title, CASE WHEN doc_id % 5 = 0 THEN CASE WHEN length(t) >= 200 THEN t ELSE 'short' END ELSE t END AS body,
+        CASE WHEN doc_id % 3 = 0 THEN 'https://www.linkedin.com/jobs/view/role-' || (doc_id + 1000000) || '/?x=1' ELSE 'https://e.example/jobs/1' END AS sent FROM d)
+      SELECT CASE WHEN doc_id % 3 = 0 THEN 'linkedin:' || (doc_id + 1000000) ELSE 'linkedin:' || left(sha1(lower(title || '|' || source)), 12) END AS job_id, title,
+             CASE WHEN doc_id % 2 = 0 THEN 'hybrid' ELSE 'onsite' END AS workplace,
+             CASE WHEN doc_id % 3 = 0 THEN 'https://www.linkedin.com/jobs/view/' || (doc_id + 1000000) || '/' ELSE sent END AS url,
+             CASE WHEN doc_id % 2 = 0 THEN 'Internship' ELSE '' END AS tags, length(body)::INTEGER AS n_chars, 'ok' AS state FROM c WHERE length(body) >= 80
+      UNION ALL SELECT '', title, '', sent, '', 0, 'rejected' FROM c WHERE length(body) < 80""",
+    "pasted_postings": f"""{_DOC}, c AS (
+        SELECT doc_id, source, {clean_sql("'Title: Role ' || doc_id || chr(10) || 'Entreprise: ' || source || chr(10) || chr(10) || text")} AS block, t AS body, 1 AS i FROM d
+        UNION ALL SELECT doc_id, source, t, t, 2 FROM d)
+      SELECT CASE i WHEN 1 THEN source ELSE 'Pasted posting 2' END AS company,
+             CASE WHEN regexp_matches(lower(left(body, 600)), 'remote|télétravail') THEN 'remote' WHEN contains(lower(left(body, 600)), 'hybrid') THEN 'hybrid' ELSE 'unknown' END AS workplace,
+             count(*) AS n_postings, count(DISTINCT block) AS n_ids, sum(length(body))::BIGINT AS n_chars FROM c GROUP BY ALL""",
     "stream_upsert": """SELECT user_id::VARCHAR AS job_id, arg_max(event_type, ts) AS title, round(arg_max(value, ts), 4) AS value, epoch_us(max(ts)) AS landed_us FROM events GROUP BY user_id""",
+    "stream_triage": f"""WITH {vocabulary_sql()}, {mentions_sql('mb', 'benchmark', 'item_id', 'text')}, {mentions_sql('md', 'documents', 'doc_id', 'text')},
+      cs AS (SELECT DISTINCT item_id AS cv_id, skill FROM mb), js AS (SELECT DISTINCT doc_id AS job_id, skill FROM md),
+      n AS (SELECT cv_id, greatest(6, ceil(count(*) * 0.6::DOUBLE)) AS need FROM cs GROUP BY cv_id)
+      SELECT cv_id, job_id, count(*)::INTEGER AS n_overlap FROM cs JOIN js USING (skill) JOIN n USING (cv_id) GROUP BY cv_id, job_id, need HAVING count(*) >= need""",
     "stage_windows": """SELECT epoch(date_trunc('hour', ts))::BIGINT AS window_s, event_type AS node, count(*) AS n_events, round(sum(value), 2) AS total_ms,
       arg_max(props, event_id) AS last_status FROM events GROUP BY ALL""",
 }

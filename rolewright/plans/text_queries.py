@@ -345,6 +345,16 @@ ORACLES = {
              count(*) FILTER (named) AS n_name FROM e GROUP BY source""",
     "mention_counts": f"""WITH {vocabulary_sql()}, {mentions_sql('m', 'documents', 'doc_id', 'text')}
       SELECT skill, count(*) AS n_mentions, count(DISTINCT doc_id) AS n_docs, count(*) FILTER (member) AS n_member, count(*) FILTER (weak) AS n_weak FROM m GROUP BY skill""",
+    "phrase_mentions": rf"""WITH v AS (SELECT DISTINCT regexp_extract({fold_sql('text')}, '^([a-z]+ [a-z]+)', 1) AS skill FROM benchmark),
+      w AS (SELECT doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS w, unnest(gs) AS g FROM (
+              SELECT doc_id, regexp_extract_all(t, '([{_W}]+)([^{_W}]*)', 1) AS ws, regexp_extract_all(t, '([{_W}]+)([^{_W}]*)', 2) AS gs FROM (SELECT doc_id, {fold_sql('text')} AS t FROM documents))),
+      m AS (SELECT a.doc_id, a.i, v.skill FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.i = a.i + 1 JOIN v ON v.skill = a.w || ' ' || b.w
+            WHERE regexp_matches(a.g, '^[\s\-]*$') AND NOT regexp_matches(b.g, '^[+#]')),
+      r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM m),
+      k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY i) % 2 = 1 AS kept FROM r)
+      SELECT skill, count(DISTINCT doc_id) AS n_docs, count(*) AS n_mentions FROM (
+        SELECT doc_id, skill FROM k WHERE kept
+        UNION ALL SELECT doc_id, skill FROM w JOIN v ON w.w = replace(v.skill, ' ', '') WHERE v.skill <> '' AND NOT regexp_matches(g, '^[+#]')) GROUP BY skill""",
     "canonical_terms": """WITH t AS (SELECT p_name AS term FROM part UNION SELECT upper(split_part(p_name, ' ', 2)) FROM part),
       x AS (SELECT term, upper(left(n, 1)) || substr(n, 2) AS noun, length(n) AS k FROM (SELECT term, lower(CASE WHEN term LIKE '% %' THEN split_part(term, ' ', 2) ELSE term END) AS n FROM t))
       SELECT term, CASE WHEN k >= 0.6 * length(term) THEN noun END AS skill FROM x""",
