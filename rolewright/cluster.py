@@ -13,7 +13,7 @@ BROADCAST_BYTES = 64 << 20
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Broadcast hint when the optimiser's size estimate and the counted rows are both bounded.
+    """Broadcast hint when the counted rows, and the bytes they amount to, are bounded.
 
     Beyond the bound the frame comes back without a hint, so the join is a shuffle join that adaptive
     execution may re-plan and whose skewed partitions it splits. The count stops at ``max_rows + 1``.
