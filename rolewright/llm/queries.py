@@ -4,8 +4,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rolewright.llm import packing, token_counts
+from rolewright.llm import language_id, packing, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,5 +23,22 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op4_token_counts": op4_token_counts, "op6_packing": op6_packing}
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = language_id.fold("doc_id", 3)
+    found = language_id.identify(docs, language_id.fit(docs, fold != 1))
+    return found.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = url_filter.train(url_filter.labelled_table(spark))
+    return url_filter.judge(table(spark, sf_dir, "pages"), model, url_filter.PRODUCTION_RULES)
+
+
+QUERIES: dict[str, Query] = {
+    "op4_token_counts": op4_token_counts,
+    "op6_packing": op6_packing,
+    "op8_language_id": op8_language_id,
+    "op9_url_filter": op9_url_filter,
+}
 ORACLES: dict[str, str] = {}
