@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolewright.llm import language_id, packing, token_counts, url_filter
+from rolewright.llm import decontaminate, language_id, packing, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,8 +35,13 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), model, url_filter.PRODUCTION_RULES)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 QUERIES: dict[str, Query] = {
     "op4_token_counts": op4_token_counts,
+    "op5_decontamination": op5_decontamination,
     "op6_packing": op6_packing,
     "op8_language_id": op8_language_id,
     "op9_url_filter": op9_url_filter,
