@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolewright.llm import decontaminate, language_id, packing, suffix_dedup, token_counts, url_filter
+from rolewright.llm import decontaminate, language_id, ngram_join, packing, suffix_dedup, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,7 +43,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"), words=3, percent=90).drop("doc")
+
+
 QUERIES: dict[str, Query] = {
+    "op3_ngram_join": op3_ngram_join,
     "op4_token_counts": op4_token_counts,
     "op5_decontamination": op5_decontamination,
     "op6_packing": op6_packing,

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from rolewright.llm import anchors as A
 from rolewright.llm import blocks as B
-from rolewright.llm.stage import stage
+from rolewright.llm.stage import identified, stage
 
 WIDTH = 200
 GRAM = 64
@@ -32,12 +32,6 @@ _ENTRY = "key long, context long, doc long, start int, shape int"
 _SCANNED = _ENTRY + ", whole boolean, mixed boolean, part int, edge int"
 
 
-def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc, doc_id, text``: ``doc`` names a row by its id and text; rows that agree in both are treated alike anyway."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.select(F.xxhash64("doc_id", "text").alias("doc"), "doc_id", "text")
-
-
 def suffix_array(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """Entries of the anchors of ``identified`` rows. ``shape`` is the anchor's place times the width plus the number of windows."""
 
