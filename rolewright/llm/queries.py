@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolewright.llm import decontaminate, language_id, ngram_join, packing, suffix_dedup, token_counts, url_filter
+from rolewright.llm import decontaminate, language_id, ngram_join, packing, suffix_dedup, token_counts, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,11 +47,18 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, sf_dir, "documents"), words=3, percent=90).drop("doc")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), language_id.fold("doc_id", 4)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold != 2)
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "score", "predicted", "n_clauses")
+
+
 QUERIES: dict[str, Query] = {
     "op3_ngram_join": op3_ngram_join,
     "op4_token_counts": op4_token_counts,
     "op5_decontamination": op5_decontamination,
     "op6_packing": op6_packing,
+    "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
     "op9_url_filter": op9_url_filter,
     "op10_suffix_dedup": op10_suffix_dedup,
