@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolewright.llm import decontaminate, language_id, line_dedup, ngram_join, packing
-from rolewright.llm.stage import identified, stage
+from rolewright.llm.stage import importable, stage
 
 #: The model of language ID learns from the documents that its query learns from.
 LANG_FOLDS, LANG_HELD_OUT = 3, 1
@@ -66,6 +66,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")

@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolewright.llm import decontaminate, language_id, line_dedup, nearest, ngram_join, packing, suffix_dedup, token_counts, toxicity, url_filter
+from rolewright.llm.stage import importable
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -1,6 +1,7 @@
 """Stage tables in the shared folder of the cluster, and small helpers on frames."""
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -23,6 +24,16 @@ def shared_root(spark: SparkSession) -> str:
     return folder
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers of a local session import this package from wherever the driver found it. On a cluster the package is installed
+    or shipped; a path that does not exist there is ignored."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a frame as Parquet in the shared folder and read it back: the lineage ends here, readers prune
     columns, and a lost executor costs no recomputation."""
