@@ -15,87 +15,77 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import cut_lineage
 from . import text as T
 
 SKILL_SCHEMA = "skill string, kind string, groups array<string>, aliases array<string>, implies array<string>, name_is_alias boolean"
 SKILL_KINDS = ("language", "tool", "platform", "concept", "method", "domain", "standard")
 PRODUCT_KINDS = ("tool", "platform", "language", "standard")
 
-# A starter vocabulary (name | kind | groups | aliases | implied | name counts as alias).
+# A starter vocabulary (name, kind, groups, aliases, implied skills, whether the name is an alias).
 # Load the full table of an installation with ``read_skills``.
-STARTER = """
-Python|language|prog|python3;fr:langage python||y
-R|language|prog,stats_lang|rstudio;r programming;r language;list:R||n
-SQL|language|sql|m:t-sql;m:pl/sql||y
-Java|language|prog,jvm|||y
-JavaScript|language|prog|ecmascript;m:es6;cs:JS||y
-TypeScript|language|prog||JavaScript|y
-C|language|prog,systems|c programming;c language;fr:langage c;list:C||n
-C++|language|prog,systems|cpp||y
-Go|language|prog,systems|golang;list:Go!\\s?/\\s?[Nn]o||n
-Rust|language|prog,systems|rust programming;rust language;list:Rust||n
-React|tool|frontend|reactjs;react.js;cs:React|JavaScript|n
-Django|tool|py_web||Python|y
-FastAPI|tool|py_web||Python|y
-REST APIs|concept|api|rest api;restful;fr:api rest;w:web services||y
-Automated testing|concept|testing|test automation;m:unit testing;m:unit tests;cs:TDD;fr:m:tests unitaires||y
-pytest|tool|testing||Python,Automated testing|y
-Git|tool|vcs|w:version control||y
-GitHub|tool|vcs||Git|y
-Docker|tool|containers|m:docker compose;m:containerization||y
-Kubernetes|tool|containers|k8s;m:helm charts;cs:Helm||y
-CI/CD|concept|ci|cicd;m:continuous integration;fr:m:integration continue||y
-AWS|platform|cloud|cs:AWS;amazon web services;m:aws lambda||n
-Azure|platform|cloud|cs:Azure;microsoft azure||n
-Spark|tool|data_eng,big_data|apache spark;m:pyspark;cs:Spark||n
-Kafka|tool|data_eng,streaming|apache kafka||y
-PostgreSQL|tool|sql_db|postgres;m:postgis|SQL|y
-MySQL|tool|sql_db|m:mariadb|SQL|y
-pandas|tool|py_data||Python|y
-scikit-learn|tool|ml_lib|sklearn|Machine learning,Python|y
-PyTorch|tool|dl_framework||Deep learning|y
-TensorFlow|tool|dl_framework||Deep learning|y
-Machine learning|concept|ml|fr:apprentissage automatique;cs:ML;m:random forest||y
-Deep learning|concept|ml,dl|fr:apprentissage profond;m:neural networks|Machine learning|y
-Statistics|concept|stats|statistical analysis;fr:statistiques;fr:statistique||y
-Data analysis|concept|analytics|data analytics;fr:analyse de donnees;m:data cleaning||y
-Data visualization|concept|viz|dataviz;fr:visualisation de donnees;m:plotly;m:dashboards;fr:m:tableaux de bord||y
-Power BI|tool|bi,viz|m:dax|Data visualization|y
-Tableau|tool|bi,viz|tableau software;cs:Tableau! de bord|Data visualization|n
-Excel|tool|office|cs:Excel;microsoft excel;m:pivot tables||n
-Data modeling|concept|data_eng|data modelling;fr:modelisation de donnees;fr:modelisation des donnees||y
-Reliability engineering|domain|reliability|fr:ingenierie de la fiabilite;fr:fiabilite;m:reliability analysis||y
-FMEA|method|risk_analysis|fmeca;m:pfmea;fr:amdec;failure mode and effects analysis|Reliability engineering|y
-Fault tree analysis|method|risk_analysis,sys_rel|fault tree;cs:FTA;fr:arbre de defaillance|Reliability engineering|y
-Weibull analysis|method|life_data|weibull;fr:loi de weibull|Reliability engineering|y
-Preventive maintenance|method|maint_strategy|fr:maintenance preventive;planned maintenance||y
-Predictive maintenance|method|maint_strategy,pdm|fr:maintenance predictive;m:prognostics||y
-Condition monitoring|method|cm,pdm|condition based maintenance;fr:maintenance conditionnelle||y
-Vibration analysis|method|cm|vibration monitoring;fr:analyse vibratoire;w:vibration data|Condition monitoring|y
-Root cause analysis|method|problem_solving|cs:RCA;fr:analyse des causes racines;w:root cause;m:5 whys||y
-CMMS|tool|cmms|cs:CMMS;fr:cs:GMAO;maintenance management system||n
-SAP PM|tool|cmms,erp|sap plant maintenance|CMMS,SAP|y
-SAP|tool|erp|cs:SAP;m:sap erp||n
-Lean manufacturing|method|lean|lean management;cs:Lean;m:kaizen||n
-Project management|method|pm|fr:gestion de projet;m:cs:PMP||y
-Agile/Scrum|method|pm|cs:Agile;agile methodology;m:scrum||n
-Jira|tool|pm|m:confluence||y
-"""
-
-
-def _rows(table: str) -> list[tuple]:
-    def items(cell: str, sep: str) -> list[str]:
-        return [x for x in cell.split(sep) if x]
-
-    out = []
-    for line in table.strip().splitlines():
-        name, kind, groups, aliases, implies, own = line.split("|")
-        out.append((name, kind, items(groups, ","), items(aliases, ";"), items(implies, ","), own == "y"))
-    return out
+STARTER = (
+    ("Python", "language", ["prog"], ["python3", "fr:langage python"], [], True),
+    ("R", "language", ["prog", "stats_lang"], ["rstudio", "r programming", "r language", "list:R"], [], False),
+    ("SQL", "language", ["sql"], ["m:t-sql", "m:pl/sql"], [], True),
+    ("Java", "language", ["prog", "jvm"], [], [], True),
+    ("JavaScript", "language", ["prog"], ["ecmascript", "m:es6", "cs:JS"], [], True),
+    ("TypeScript", "language", ["prog"], [], ["JavaScript"], True),
+    ("C", "language", ["prog", "systems"], ["c programming", "c language", "fr:langage c", "list:C"], [], False),
+    ("C++", "language", ["prog", "systems"], ["cpp"], [], True),
+    ("Go", "language", ["prog", "systems"], ["golang", "list:Go!\\s?/\\s?[Nn]o"], [], False),
+    ("Rust", "language", ["prog", "systems"], ["rust programming", "rust language", "list:Rust"], [], False),
+    ("React", "tool", ["frontend"], ["reactjs", "react.js", "cs:React"], ["JavaScript"], False),
+    ("Django", "tool", ["py_web"], [], ["Python"], True),
+    ("FastAPI", "tool", ["py_web"], [], ["Python"], True),
+    ("REST APIs", "concept", ["api"], ["rest api", "restful", "fr:api rest", "w:web services"], [], True),
+    ("Automated testing", "concept", ["testing"], ["test automation", "m:unit testing", "m:unit tests", "cs:TDD", "fr:m:tests unitaires"], [], True),
+    ("pytest", "tool", ["testing"], [], ["Python", "Automated testing"], True),
+    ("Git", "tool", ["vcs"], ["w:version control"], [], True),
+    ("GitHub", "tool", ["vcs"], [], ["Git"], True),
+    ("Docker", "tool", ["containers"], ["m:docker compose", "m:containerization"], [], True),
+    ("Kubernetes", "tool", ["containers"], ["k8s", "m:helm charts", "cs:Helm"], [], True),
+    ("CI/CD", "concept", ["ci"], ["cicd", "m:continuous integration", "fr:m:integration continue"], [], True),
+    ("AWS", "platform", ["cloud"], ["cs:AWS", "amazon web services", "m:aws lambda"], [], False),
+    ("Azure", "platform", ["cloud"], ["cs:Azure", "microsoft azure"], [], False),
+    ("Spark", "tool", ["data_eng", "big_data"], ["apache spark", "m:pyspark", "cs:Spark"], [], False),
+    ("Kafka", "tool", ["data_eng", "streaming"], ["apache kafka"], [], True),
+    ("PostgreSQL", "tool", ["sql_db"], ["postgres", "m:postgis"], ["SQL"], True),
+    ("MySQL", "tool", ["sql_db"], ["m:mariadb"], ["SQL"], True),
+    ("pandas", "tool", ["py_data"], [], ["Python"], True),
+    ("scikit-learn", "tool", ["ml_lib"], ["sklearn"], ["Machine learning", "Python"], True),
+    ("PyTorch", "tool", ["dl_framework"], [], ["Deep learning"], True),
+    ("TensorFlow", "tool", ["dl_framework"], [], ["Deep learning"], True),
+    ("Machine learning", "concept", ["ml"], ["fr:apprentissage automatique", "cs:ML", "m:random forest"], [], True),
+    ("Deep learning", "concept", ["ml", "dl"], ["fr:apprentissage profond", "m:neural networks"], ["Machine learning"], True),
+    ("Statistics", "concept", ["stats"], ["statistical analysis", "fr:statistiques", "fr:statistique"], [], True),
+    ("Data analysis", "concept", ["analytics"], ["data analytics", "fr:analyse de donnees", "m:data cleaning"], [], True),
+    ("Data visualization", "concept", ["viz"], ["dataviz", "fr:visualisation de donnees", "m:plotly", "m:dashboards", "fr:m:tableaux de bord"], [], True),
+    ("Power BI", "tool", ["bi", "viz"], ["m:dax"], ["Data visualization"], True),
+    ("Tableau", "tool", ["bi", "viz"], ["tableau software", "cs:Tableau! de bord"], ["Data visualization"], False),
+    ("Excel", "tool", ["office"], ["cs:Excel", "microsoft excel", "m:pivot tables"], [], False),
+    ("Data modeling", "concept", ["data_eng"], ["data modelling", "fr:modelisation de donnees", "fr:modelisation des donnees"], [], True),
+    ("Reliability engineering", "domain", ["reliability"], ["fr:ingenierie de la fiabilite", "fr:fiabilite", "m:reliability analysis"], [], True),
+    ("FMEA", "method", ["risk_analysis"], ["fmeca", "m:pfmea", "fr:amdec", "failure mode and effects analysis"], ["Reliability engineering"], True),
+    ("Fault tree analysis", "method", ["risk_analysis", "sys_rel"], ["fault tree", "cs:FTA", "fr:arbre de defaillance"], ["Reliability engineering"], True),
+    ("Weibull analysis", "method", ["life_data"], ["weibull", "fr:loi de weibull"], ["Reliability engineering"], True),
+    ("Preventive maintenance", "method", ["maint_strategy"], ["fr:maintenance preventive", "planned maintenance"], [], True),
+    ("Predictive maintenance", "method", ["maint_strategy", "pdm"], ["fr:maintenance predictive", "m:prognostics"], [], True),
+    ("Condition monitoring", "method", ["cm", "pdm"], ["condition based maintenance", "fr:maintenance conditionnelle"], [], True),
+    ("Vibration analysis", "method", ["cm"], ["vibration monitoring", "fr:analyse vibratoire", "w:vibration data"], ["Condition monitoring"], True),
+    ("Root cause analysis", "method", ["problem_solving"], ["cs:RCA", "fr:analyse des causes racines", "w:root cause", "m:5 whys"], [], True),
+    ("CMMS", "tool", ["cmms"], ["cs:CMMS", "fr:cs:GMAO", "maintenance management system"], [], False),
+    ("SAP PM", "tool", ["cmms", "erp"], ["sap plant maintenance"], ["CMMS", "SAP"], True),
+    ("SAP", "tool", ["erp"], ["cs:SAP", "m:sap erp"], [], False),
+    ("Lean manufacturing", "method", ["lean"], ["lean management", "cs:Lean", "m:kaizen"], [], False),
+    ("Project management", "method", ["pm"], ["fr:gestion de projet", "m:cs:PMP"], [], True),
+    ("Agile/Scrum", "method", ["pm"], ["cs:Agile", "agile methodology", "m:scrum"], [], False),
+    ("Jira", "tool", ["pm"], ["m:confluence"], [], True),
+)
 
 
 def starter_skills(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_rows(STARTER), SKILL_SCHEMA)
+    return spark.createDataFrame(list(STARTER), SKILL_SCHEMA)
 
 
 def read_skills(spark: SparkSession, path: str) -> DataFrame:
@@ -170,18 +160,19 @@ def from_phrases(aliases: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def implication_closure(implies: DataFrame, max_depth: int = 12) -> DataFrame:
-    """(skill, implied) for every skill reachable over ``implies(skill, implied)`` edges."""
-    edges = implies.where("skill <> implied").distinct()
-    edges.createOrReplaceTempView("__implies_edges")
-    return implies.sparkSession.sql(
-        f"""WITH RECURSIVE reach(skill, implied, depth) AS (
-              SELECT skill, implied, 1 FROM __implies_edges
-              UNION ALL
-              SELECT r.skill, e.implied, r.depth + 1 FROM reach r JOIN __implies_edges e ON r.implied = e.skill
-              WHERE r.depth < {max_depth})
-            SELECT DISTINCT skill, implied FROM reach WHERE skill <> implied"""
-    )
+def implication_closure(implies: DataFrame) -> DataFrame:
+    """(skill, implied) for every skill that ``implies(skill, implied)`` edges lead to, over chains of any length.
+
+    Each round joins the pairs found so far with themselves, which doubles the length of the chains that are covered, and ends when a round adds nothing.
+    Cycles and diamonds add no pair twice.
+    """
+    known = cut_lineage(implies.select("skill", "implied").where("skill <> implied").distinct())
+    n, before = known.count(), -1
+    while n != before:
+        further = known.select("skill", F.col("implied").alias("via")).join(known.select(F.col("skill").alias("via"), "implied"), "via")
+        known = cut_lineage(known.union(further.where("skill <> implied").select("skill", "implied")).distinct())
+        n, before = known.count(), n
+    return known
 
 
 def implies_edges(skills: DataFrame) -> DataFrame:

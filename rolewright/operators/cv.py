@@ -497,13 +497,11 @@ def family_scores(skills: Column, text: Column) -> Column:
     """Array of struct(family, family_no, score): matching signal skills, plus two per title in the text."""
     folded = T.fold(text)
     out = []
-    for i, line in enumerate(R.FAMILIES.strip().splitlines(), 1):
-        family, _, titles, synonyms, signals = line.split("|")
-        named = [t for t in (titles + ";" + synonyms).split(";")]
-        score = F.size(F.array_intersect(skills, F.array(*[F.lit(s) for s in signals.split(";")])))
-        for t in named:
+    for i, family in enumerate(R.FAMILIES, 1):
+        score = F.size(F.array_intersect(skills, F.array(*[F.lit(s) for s in family.signals])))
+        for t in (*family.titles, *family.synonyms):
             score = score + 2 * folded.rlike(rf"(?<![{T.WORD_CHAR}]){_plain(t)}").cast("int")
-        out.append(F.struct(F.lit(family).alias("family"), F.lit(i).alias("family_no"), score.alias("score")))
+        out.append(F.struct(F.lit(family.name).alias("family"), F.lit(i).alias("family_no"), score.alias("score")))
     return F.array(*out)
 
 
@@ -541,9 +539,8 @@ def build_profiles(with_units: DataFrame, skills: DataFrame, as_of: date) -> Dat
         1,
         3,
     )
-    table = [line.split("|") for line in R.FAMILIES.strip().splitlines()]
-    titles = F.array(*[F.array(*[F.lit(t) for t in row[2].split(";")]) for row in table])
-    labels = F.array(*[F.lit(row[1]) for row in table])
+    titles = F.array(*[F.array(*[F.lit(t) for t in family.titles]) for family in R.FAMILIES])
+    labels = F.array(*[F.lit(family.label) for family in R.FAMILIES])
     x = x.withColumn("__top", ranked)
     top_titles = F.flatten(F.transform(F.slice("__top", 1, 2), lambda f: F.element_at(titles, f["family_no"])))
     study = T.fold(F.array_join(section_lines(F.col("lines"), "education"), "\n"))

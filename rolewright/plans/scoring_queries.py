@@ -102,17 +102,18 @@ def flags_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def implied_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations imply the nation with half their key; customers own their nation and their orders' priorities."""
+    """Nations imply the one before and the one with half their key: chains of up to 24, and diamonds. Customers own their nation."""
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    half = n.select(F.col("n_nationkey").alias("parent"), F.col("n_name").alias("implied"))
-    edges = n.where("n_nationkey > 0").join(half, F.floor(F.col("n_nationkey") / 2) == F.col("parent")).select(F.col("n_name").alias("skill"), "implied")
+    other = n.select(F.col("n_nationkey").alias("parent"), F.col("n_name").alias("implied"))
+    parents = n.where("n_nationkey > 0").select("n_name", F.explode(F.array(F.col("n_nationkey") - 1, F.floor(F.col("n_nationkey") / 2).cast("int"))).alias("parent"))
+    edges = parents.join(other, "parent").select(F.col("n_name").alias("skill"), "implied")
     owned = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("cv_id"), F.col("n_name").alias("skill"))
     got = M.implied_skills(owned, "cv_id", V.implication_closure(edges))
     return got.groupBy("skill", "implied_by").agg(F.count(F.lit(1)).alias("n_candidates"))
 
 
 def related_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").where("p_size <= 6")
+    part = table(spark, sf_dir, "part")
     skills = part.groupBy(F.col("p_brand").alias("skill")).agg(F.collect_set(F.concat_ws("-", "p_type", "p_size")).alias("groups"))
     return V.related_pairs(skills)
 
@@ -263,13 +264,13 @@ ORACLES = {
             ELSE 'Internship; your CV reads more experienced' END
           FROM x WHERE need - have >= 2 OR k % 8 > c % 6 + 1.5 OR (p = '5-LOW' AND have >= 2))
       SELECT flag, message, count(*) AS n FROM f GROUP BY ALL""",
-    "implied_skills": """WITH RECURSIVE edges AS (SELECT a.n_name AS skill, b.n_name AS implied FROM nation a JOIN nation b ON a.n_nationkey > 0 AND a.n_nationkey // 2 = b.n_nationkey),
+    "implied_skills": """WITH RECURSIVE edges AS (SELECT a.n_name AS skill, b.n_name AS implied FROM nation a JOIN nation b ON a.n_nationkey > 0 AND b.n_nationkey IN (a.n_nationkey - 1, a.n_nationkey // 2)),
       reach AS (SELECT skill, implied FROM edges UNION SELECT r.skill, e.implied FROM reach r JOIN edges e ON r.implied = e.skill)
       SELECT skill, implied_by, count(*) AS n_candidates FROM (
         SELECT n_name AS skill, NULL::VARCHAR AS implied_by FROM customer JOIN nation ON c_nationkey = n_nationkey
         UNION ALL SELECT implied, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN reach ON skill = n_name WHERE implied <> n_name)
       GROUP BY ALL""",
-    "related_skills": """WITH g AS (SELECT DISTINCT p_brand AS skill, p_type || '-' || p_size AS grp FROM part WHERE p_size <= 6)
+    "related_skills": """WITH g AS (SELECT DISTINCT p_brand AS skill, p_type || '-' || p_size AS grp FROM part)
       SELECT DISTINCT a.skill, b.skill AS other FROM g a JOIN g b ON a.grp = b.grp AND a.skill <> b.skill""",
     "evidence_guard": f"""WITH {_GUARD_SQL}
       SELECT cv_id, job_id, req_no, verdict, CASE WHEN verdict = 'missing' THEN '' ELSE concat_ws(',', e1, e2) END AS evidence,

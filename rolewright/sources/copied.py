@@ -10,32 +10,31 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..schemas import as_postings
 
-# Interface wording of a job page, English and French.
+# Interface wording of a job page, English and French. Capitals match outside ASCII too, hence (?iu).
 _A = "['’]"
 DESCRIPTION_START = (
-    rf"(?i)^(about the job|job description|[àÀa] propos de l{_A}offre d{_A}emploi|description du poste|description de l{_A}offre)$"
+    rf"(?iu)^(about the job|job description|à propos de l{_A}offre d{_A}emploi|a propos de l{_A}offre d{_A}emploi|"
+    rf"description du poste|description de l{_A}offre)$"
 )
 DESCRIPTION_END = (
-    r"(?i)^(show less|see less|afficher moins|voir moins|show more|see more|afficher plus|voir plus|… ?more|\.\.\. ?more|"
-    rf"set alert for similar jobs|créer une alerte.*|about the company|[àÀa] propos de l{_A}entreprise|"
+    r"(?iu)^(show less|see less|afficher moins|voir moins|show more|see more|afficher plus|voir plus|… ?more|\.\.\. ?more|"
+    rf"set alert for similar jobs|créer une alerte.*|about the company|à propos de l{_A}entreprise|a propos de l{_A}entreprise|"
     rf"seniority level|niveau hiérarchique|employment type|type d{_A}emploi|looking for talent\?|people also viewed|"
     rf"similar jobs|offres d{_A}emploi similaires|more jobs.*|referrals increase your chances.*|see who you know|"
     rf"meet the hiring team|rencontrez l{_A}équipe de recrutement|benefits found in job post|"
     r"get notified about new .*|sign in to create job alert|people you can reach out to)$"
 )
-_AGO = (
-    r"(?:(?:reposted\s+)?(?:[0-9]+|an?|one)\s+(?:minute|hour|day|week|month|year)s?\s+ago|"
-    r"(?:republi[éÉ]\s+)?il y a\s+(?:[0-9]+|un|une)\s+[\p{L}\p{N}_]+)"
-)
-META_LINE = rf"(?i)^(.+?)\s+[·•]\s+{_AGO}"
-AGO_LINE = rf"(?i)^{_AGO}$"
+_AGO_EN = r"(?:reposted\s+)?(?:[0-9]+|an?|one)\s+(?:minute|hour|day|week|month|year)s?\s+ago"
+_AGO_FR = r"(?:republié\s+)?il y a\s+(?:[0-9]+|un|une)\s+[\p{L}\p{N}_]+"
+META_LINE = rf"(?iu)^(.+?)\s+[·•]\s+(?:{_AGO_EN}|{_AGO_FR})"
+AGO_LINE = rf"(?iu)^(?:{_AGO_EN}|{_AGO_FR})$"
 APPLICANTS = (
     r"(?i)^(?:over |plus de )?[0-9][0-9\s,.]*\s+(?:applicants?|candidats?|people clicked apply|personnes ont cliqué sur postuler)\b.*$"
 )
 WORKPLACE_LABELS = {
-    "remote": ["remote", "à distance", "a distance", "télétravail"],
-    "hybrid": ["hybrid", "hybride"],
-    "onsite": ["on-site", "onsite", "sur site", "sur place", "présentiel"],
+    "remote": "remote", "à distance": "remote", "a distance": "remote", "télétravail": "remote",
+    "hybrid": "hybrid", "hybride": "hybrid",
+    "on-site": "onsite", "onsite": "onsite", "sur site": "onsite", "sur place": "onsite", "présentiel": "onsite",
 }
 INTERNSHIP_LABELS = ["internship", "stage", "stagiaire", "alternance", "apprenticeship"]
 EMPLOYMENT_LABELS = INTERNSHIP_LABELS + [
@@ -62,14 +61,13 @@ PAGE_MARKERS = [
     "passer au contenu principal", "candidature simplifiée", "signaler cette offre", "niveau hiérarchique",
     "type d'emploi", "afficher plus d'options", "à propos de l'entreprise",
 ]
-_ALL_WORKPLACE = [w for ws in WORKPLACE_LABELS.values() for w in ws]
 
 
 def is_interface(line: Column) -> Column:
     """True for a line that belongs to the page's own menus and buttons."""
     low = F.regexp_replace(F.replace(F.lower(line), F.lit("’"), F.lit("'")), r"\.+$", "")
     return (
-        low.isin(*INTERFACE_LINES, *_ALL_WORKPLACE, *EMPLOYMENT_LABELS)
+        low.isin(*INTERFACE_LINES, *WORKPLACE_LABELS, *EMPLOYMENT_LABELS)
         | low.endswith(" logo")
         | low.rlike(r"^(?:logo de |logo of |try premium|retry premium|essayer premium|save |enregistrer )")
         | low.rlike(APPLICANTS)
@@ -90,13 +88,12 @@ def _head(lines: Column, n: Column) -> Column:
 def workplace_of_lines(lines: Column) -> Column:
     """A line that is a workplace label decides; else the words in the text."""
     low = F.transform(lines, F.lower)
-    label = F.get(F.filter(low, lambda s: s.isin(*_ALL_WORKPLACE)), F.lit(0))
+    label = F.get(F.filter(low, lambda s: s.isin(*WORKPLACE_LABELS)), F.lit(0))
     joined = F.array_join(low, " ")
-    out = F
-    for kind, words in WORKPLACE_LABELS.items():
-        out = out.when(label.isin(*words), kind)
+    kinds = F.create_map(*[F.lit(x) for pair in WORKPLACE_LABELS.items() for x in pair])
     return (
-        out.when(joined.rlike(r"(?U)\b(remote|télétravail|teletravail|à distance)\b"), "remote")
+        F.when(label.isNotNull(), F.element_at(kinds, label))
+        .when(joined.rlike(r"(?U)\b(remote|télétravail|teletravail|à distance)\b"), "remote")
         .when(joined.rlike(r"\b(hybrid|hybride)\b"), "hybrid")
         .otherwise("unknown")
     )
