@@ -155,7 +155,7 @@ def _shared_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _pairs_apart(percent: int):
-    """Pairs of different components within a cell block; the sizes must allow the similarity."""
+    """Pairs of different components within a cell block whose sizes and bit sketches allow the similarity."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -173,6 +173,7 @@ def _pairs_apart(percent: int):
 
     def emit(table: pa.Table, begins: np.ndarray) -> Iterator[pa.RecordBatch]:
         sets, size, root, own, i, j = (table[c].to_numpy() for c in ("set_id", "n", "root", "own", "i", "j"))
+        bits = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(table.num_rows, -1)
         for lo, hi in zip(begins, np.append(begins[1:], table.num_rows), strict=True):
             if (root[lo:hi] == root[lo]).all():
                 continue
@@ -182,6 +183,7 @@ def _pairs_apart(percent: int):
                 y = right[(root[right] != root[x]) & (np.minimum(size[right], size[x]) * 100 >= np.maximum(size[right], size[x]) * percent)]
                 if i[lo] == j[lo]:
                     y = y[sets[y] > sets[x]]
+                y = y[np.bitwise_count(bits[y] ^ bits[x]).sum(1) * (100 + percent) <= (size[y] + size[x]) * (100 - percent)]
                 if len(y):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sets[y], sets[x])), pa.array(np.maximum(sets[y], sets[x]))], ["a", "b"])
 
@@ -262,7 +264,7 @@ def similar_documents(
     apart = _apart(stars.select("a", "b"), roots).join(tested.select("a", "b"), ["a", "b"], "left_anti")
     tested = tested.unionByName(verify(apart))
     roots = components(tested.where("linked"))
-    tested = tested.unionByName(verify(_cell_pairs(shared, roots, percent, cell_rows).join(tested.select("a", "b"), ["a", "b"], "left_anti")))
+    tested = tested.unionByName(verify(_cell_pairs(shared, sets, roots, percent, cell_rows).join(tested.select("a", "b"), ["a", "b"], "left_anti")))
     roots = components(tested.where("linked"))
     of_set = every.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     of_set = of_set.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
@@ -282,12 +284,14 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return _rooted(_rooted(pairs, "a", roots, "r_a"), "b", roots, "r_b").where("r_a <> r_b").select("a", "b")
 
 
-def _cell_pairs(shared: DataFrame, roots: DataFrame, percent: int, cell_rows: int) -> DataFrame:
-    """All pairs of sets that share a cell and lie in different components. Cells with many sets are dealt out as pairs of blocks."""
+def _cell_pairs(shared: DataFrame, sets: DataFrame, roots: DataFrame, percent: int, cell_rows: int) -> DataFrame:
+    """All pairs of sets that share a cell, lie in different components and may be similar by their bit sketches. Cells with many sets are dealt
+    out as pairs of blocks; what leaves a task is not all pairs of a cell but those within the bound."""
     rooted = stage(_rooted(shared, "set_id", roots, "root"), "rooted-cells")
     mixed = rooted.groupBy("cell").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("cell", F.ceil(F.col("m") / cell_rows).cast("int").alias("k"))
     members = rooted.join(mixed, "cell").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("k")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    members = members.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_id", "n", "root")
+    members = members.join(sets.select("set_id", "sketch"), "set_id")
+    members = members.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_id", "n", "root", "sketch")
     dealt = members.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
     return dealt.mapInArrow(_pairs_apart(percent), "a long, b long").distinct()
