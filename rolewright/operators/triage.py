@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import checked_broadcast, is_small, spread_hot_keys, top_k
+from ..cluster import checked_broadcast, is_small, rank_all, spread_hot_keys, top_k
 from ..functions import roles as R
 from ..functions import text as T
 
@@ -212,14 +212,16 @@ def triage(
     return out
 
 
-def triage_summary(triaged: DataFrame, pool_size: Column, min_relevant: int = 15) -> DataFrame:
-    """(cv_id, relevant, total, by_title, by_skills, target)."""
-    return triaged.groupBy("cv_id").agg(
+def triage_summary(cvs: DataFrame, triaged: DataFrame, pool_size: Column, min_relevant: int = 15) -> DataFrame:
+    """(cv_id, relevant, total, by_title, by_skills, target) of every candidate, those without a relevant posting included."""
+    counted = triaged.groupBy("cv_id").agg(
         F.count(F.lit(1)).alias("relevant"),
         F.count_if(F.col("query").isNotNull()).alias("by_title"),
         F.count_if(F.col("query").isNull()).alias("by_skills"),
-    ).select(
-        "cv_id", "relevant", pool_size.cast("long").alias("total"), "by_title", "by_skills",
+    )
+    n = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return cvs.select("cv_id").distinct().join(counted, "cv_id", "left").select(
+        "cv_id", n("relevant"), pool_size.cast("long").alias("total"), n("by_title"), n("by_skills"),
         F.greatest(F.lit(1), F.least(F.lit(min_relevant), pool_size)).cast("int").alias("target"),
     )
 
@@ -229,18 +231,19 @@ def candidates_without_match(cvs: DataFrame, triaged: DataFrame) -> DataFrame:
     return cvs.select("cv_id").join(triaged.select("cv_id").distinct(), "cv_id", "left_anti")
 
 
-def rejected_titles(cv_ids: DataFrame, triaged: DataFrame, postings: DataFrame, k: int = 40) -> DataFrame:
-    """First ``k`` postings in pool order that are not relevant, per candidate.
+def rejected_titles(cv_ids: DataFrame, triaged: DataFrame, postings: DataFrame, k: int = 40, order: tuple[str, ...] = ("job_id",)) -> DataFrame:
+    """First ``k`` postings in pool order (``order``) that are not relevant, per candidate, with their ``rank``.
 
     At most k + (number of relevant) leading postings have to be looked at for a candidate, so each candidate is
-    paired with that leading stretch of the pool only.
+    paired with that leading stretch of the pool only. Places in the pool are numbered over many tasks.
     """
-    ordered = postings.select("job_id", "title", "first_seq")
-    n = triaged.groupBy("cv_id").agg(F.count(F.lit(1)).alias("n"))
-    need = cv_ids.select("cv_id").join(n, "cv_id", "left").select("cv_id", (F.coalesce("n", F.lit(0)) + k).alias("upto"))
-    stretch = need.select("cv_id", F.explode(F.sequence(F.lit(1), F.col("upto"))).alias("seq"))
+    pool = postings.select("job_id", "title", *[c for c in order if c != "job_id"]).withColumn("__all", F.lit(0))
+    ordered = rank_all(pool, ["__all"], [F.col(c) for c in order], "seq", window_rows=0).select("job_id", "title", "seq")
+    n = triaged.select("cv_id", "job_id").distinct().groupBy("cv_id").agg(F.count(F.lit(1)).alias("n"))
+    need = cv_ids.select("cv_id").distinct().join(n, "cv_id", "left").select("cv_id", (F.coalesce("n", F.lit(0)) + k).alias("upto"))
+    stretch = need.select("cv_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("upto"))).alias("seq"))
     return top_k(
-        stretch.join(ordered, stretch["seq"] == ordered["first_seq"])
+        stretch.join(ordered, "seq")
         .join(triaged.select("cv_id", "job_id"), ["cv_id", "job_id"], "left_anti")
         .select("cv_id", "job_id", "title", "seq"),
         ["cv_id"],

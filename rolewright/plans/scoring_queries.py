@@ -159,10 +159,26 @@ def pool_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.merge_pool(clicks, rest).select("job_id", "title", F.round("score", 4).alias("score"), "ingest_seq", "first_seq")
 
 
-def saved_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+SAVED_PLACES = 60
+
+
+def _saves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as saves of a posting; a purchase takes it off the list."""
     op = F.when(F.col("event_type") == "purchase", "remove").otherwise("save")
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("saved_at"), op.alias("op"), F.col("event_type").alias("title"))
-    return saved.upsert_saved(None, e, limit=None).select("job_id", "title", "saved_at", "position")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("saved_at"), op.alias("op"), F.col("event_type").alias("title"))
+
+
+def saved_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return saved.upsert_saved(None, _saves(spark, sf_dir)).select("job_id", "title", "saved_at", "position")
+
+
+def saved_full_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list with a fixed number of places: the feature under test."""
+    return saved.upsert_saved(None, _saves(spark, sf_dir), limit=SAVED_PLACES).select("job_id", "title", "saved_at", "position")
+
+
+def saved_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return saved.refused_saves(None, _saves(spark, sf_dir), SAVED_PLACES).select("job_id", "title", "saved_at", "place")
 
 
 def tailoring_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +197,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         coverage_fit, final_rank, verdict_counts, fit_bands, skill_demand, combine_all_any, learn_next, select_jobs, experience_months,
-        candidate_seniority, flags_count, implied_skills, related_skills, evidence_guard, downgrade_totals, pool_merge, saved_upsert, tailoring_summary,
+        candidate_seniority, flags_count, implied_skills, related_skills, evidence_guard, downgrade_totals, pool_merge, saved_upsert, saved_full_list, saved_refused, tailoring_summary,
     )
 }
 
@@ -204,6 +220,11 @@ guard AS (
   SELECT *, CASE WHEN NOT judged OR downgraded THEN 'missing' ELSE said END AS verdict FROM w)
 """
 
+_ARRIVALS_SQL = """
+l AS (SELECT user_id AS job_id, arg_max(event_type, event_id) AS title, max(event_id) AS saved_at, max(event_id) FILTER (event_type = 'purchase') AS gone FROM events GROUP BY user_id),
+f AS (SELECT job_id, title, saved_at, min(event_id) AS first FROM l JOIN events ON user_id = job_id WHERE event_type <> 'purchase' AND event_id > coalesce(gone, -1) GROUP BY ALL),
+a AS (SELECT *, row_number() OVER (ORDER BY first, job_id) AS place FROM f WHERE title <> 'purchase')"""
+
 ORACLES = {
     "coverage_fit": f"WITH {JUDGMENTS_SQL} SELECT cv_id, job_id, round(must_coverage, 6) AS must_coverage, round(nice_coverage, 6) AS nice_coverage, fit FROM fits",
     "final_rank": f"WITH {JUDGMENTS_SQL} SELECT cv_id, job_id, fit, row_number() OVER (PARTITION BY cv_id ORDER BY fit DESC, retrieval_score DESC, job_id) AS rank FROM fits",
@@ -282,6 +303,9 @@ ORACLES = {
       max(event_id) AS ingest_seq, min(event_id) AS first_seq FROM events GROUP BY user_id""",
     "saved_upsert": """WITH l AS (SELECT user_id AS job_id, arg_max(event_type, event_id) AS title, max(event_id) AS saved_at FROM events GROUP BY user_id)
       SELECT job_id, title, saved_at, row_number() OVER (ORDER BY saved_at DESC, job_id) AS position FROM l WHERE title <> 'purchase'""",
+    "saved_full_list": f"""WITH {_ARRIVALS_SQL}
+      SELECT job_id, title, saved_at, row_number() OVER (ORDER BY saved_at DESC, job_id) AS position FROM a WHERE place <= {SAVED_PLACES}""",
+    "saved_refused": f"""WITH {_ARRIVALS_SQL} SELECT job_id, title, saved_at, place FROM a WHERE place > {SAVED_PLACES}""",
     "tailoring_summary": """WITH d AS (SELECT o_custkey AS cv_id, o_orderkey AS job_id, l_linenumber AS a, max(l_quantity) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
       b AS (SELECT cv_id, job_id, bool_or(q >= 20 AND a <= 3) AS ok, max(a) AS made FROM d GROUP BY ALL),
       s AS (SELECT cv_id, count(*) AS bullets, count(*) FILTER (ok) AS verified, count(*) FILTER (NOT ok AND made >= 3) AS kept_original FROM b GROUP BY cv_id)

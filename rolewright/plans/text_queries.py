@@ -124,10 +124,32 @@ def skill_overlap_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _part_queries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Part names as titles. Each type asks for one whole name with its words turned round, and for one noun alone."""
     p = table(spark, sf_dir, "part")
     titles = p.select(F.col("p_partkey").alias("job_id"), F.col("p_name").alias("title"))
-    q = p.groupBy(F.col("p_type").alias("cv_id")).agg(F.min("p_name").alias("a"), F.max("p_name").alias("b"))
-    return q.select("cv_id", F.posexplode(F.array("a", "b")).alias("pos", "query")), titles
+    q = p.groupBy(F.col("p_type").alias("cv_id")).agg(F.min("p_name").alias("a"), F.max(F.split("p_name", " ")[1]).alias("b"), F.min(F.split("p_name", " ")[1]).alias("c"))
+    turned = F.concat_ws(" of ", F.split("a", " ")[1], F.split("a", " ")[0])
+    noun = F.when(F.length("cv_id") % 2 == 0, F.col("b")).otherwise(F.col("c"))
+    return q.select("cv_id", F.posexplode(F.array(turned, noun)).alias("pos", "query")), titles
+
+
+def _part_triage(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Types and brands as candidates (brands ask for nothing), part names as postings, the matches."""
+    queries, titles = _part_queries(spark, sf_dir)
+    p = table(spark, sf_dir, "part")
+    cvs = p.select(F.col("p_type").alias("cv_id")).union(p.select("p_brand")).distinct()
+    return cvs, titles, cut_lineage(G.first_title_match(queries, titles))
+
+
+def triage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cvs, titles, triaged = _part_triage(spark, sf_dir)
+    return G.triage_summary(cvs, triaged, titles.agg(F.count(F.lit(1))).scalar())
+
+
+def rejected_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cvs, titles, triaged = _part_triage(spark, sf_dir)
+    pool = titles.withColumn("first_seq", F.col("job_id") * 3 % 1009)
+    return G.rejected_titles(cvs, triaged, pool, 40, ("first_seq", "job_id"))
 
 
 def title_match_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,7 +280,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         corpus_normalise_stats, html_to_text_stats, page_lines, document_lines, packed_sentences, token_counts, language_confusion, redaction_counts,
-        mention_counts, phrase_mentions, canonical_terms, evidence_join, term_alignments, skill_overlap_triage, title_match_triage, widen_rounds,
+        mention_counts, phrase_mentions, canonical_terms, evidence_join, term_alignments, skill_overlap_triage, title_match_triage, triage_summary, rejected_titles, widen_rounds,
         bm25_topk, tfidf_cosine_topk, hybrid_shortlist, dense_maxsim, ndcg_by_source, compare_rankings, requirement_cap, draft_problems, fabrication_rate,
     )
 }
@@ -317,6 +339,12 @@ _DRAFT_SQL = f"""
           CASE WHEN length(draft) > greatest(length(original) * 1.6, length(original) + 90) THEN 'much longer than the original' END) END AS problems
         FROM p JOIN numd USING (conv_id, turn) LEFT JOIN added USING (conv_id, turn))"""
 
+_PART_MATCH_SQL = """
+q0 AS (SELECT p_type AS cv_id, min(p_name) AS a, max(split_part(p_name, ' ', 2)) AS b, min(split_part(p_name, ' ', 2)) AS c FROM part GROUP BY ALL),
+q AS (SELECT cv_id, 0 AS pos, split_part(a, ' ', 2) || ' of ' || split_part(a, ' ', 1) AS query, [split_part(a, ' ', 2), split_part(a, ' ', 1)] AS need FROM q0
+      UNION ALL SELECT cv_id, 1, CASE WHEN length(cv_id) % 2 = 0 THEN b ELSE c END, [CASE WHEN length(cv_id) % 2 = 0 THEN b ELSE c END] FROM q0),
+m AS (SELECT cv_id, p_partkey AS job_id, min(pos)::INTEGER AS pos, arg_min(query, pos) AS query FROM q JOIN part ON list_has_all(string_split(p_name, ' '), need) GROUP BY ALL)"""
+
 ORACLES = {
     "corpus_normalise_stats": f"""WITH c AS (SELECT source, text, {clean_sql('text')} AS t FROM documents)
       SELECT source, count(*) AS n_docs, count(*) FILTER (t <> text) AS n_changed, sum(length(t))::BIGINT AS n_chars,
@@ -366,8 +394,13 @@ ORACLES = {
                    arg_min(surface, place::BIGINT * 1000000000 + turn::BIGINT * 100000 + pos) FILTER (NOT member) AS plain FROM u GROUP BY ALL)
       SELECT conv_id AS cv_id, skill, ids, keys, weak_only, plain FROM ids JOIN f USING (conv_id, skill)""",
     "skill_overlap_triage": f"WITH {_PAIRS_SQL} SELECT cv_id, job_id, n_overlap FROM pairs",
-    "title_match_triage": """WITH q AS (SELECT p_type AS cv_id, 0 AS pos, min(p_name) AS query FROM part GROUP BY ALL UNION ALL SELECT p_type, 1, max(p_name) FROM part GROUP BY ALL)
-      SELECT cv_id, p_partkey AS job_id, min(pos)::INTEGER AS pos, arg_min(query, pos) AS query FROM q JOIN part ON p_name = query GROUP BY ALL""",
+    "title_match_triage": f"""WITH {_PART_MATCH_SQL} SELECT cv_id, job_id, pos, query FROM m""",
+    "triage_summary": f"""WITH {_PART_MATCH_SQL}, cv AS (SELECT p_type AS cv_id FROM part UNION SELECT p_brand FROM part), n AS (SELECT count(*) AS total FROM part)
+      SELECT cv.cv_id, count(m.job_id) AS relevant, total, count(m.job_id) AS by_title, 0::BIGINT AS by_skills, least(15, total)::INTEGER AS target
+      FROM cv CROSS JOIN n LEFT JOIN m USING (cv_id) GROUP BY ALL""",
+    "rejected_titles": f"""WITH {_PART_MATCH_SQL}, cv AS (SELECT p_type AS cv_id FROM part UNION SELECT p_brand FROM part)
+      SELECT cv.cv_id, p_partkey AS job_id, p_name AS title, row_number() OVER (PARTITION BY cv.cv_id ORDER BY p_partkey * 3 % 1009, p_partkey)::INTEGER AS rank
+      FROM cv CROSS JOIN part LEFT JOIN m ON m.cv_id = cv.cv_id AND m.job_id = p_partkey WHERE m.job_id IS NULL QUALIFY rank <= 40""",
     "widen_rounds": """WITH p AS (SELECT p_type AS cv_id, list_sort(list(DISTINCT p_name)) AS titles FROM part GROUP BY ALL),
       a AS (SELECT *, titles[2:2] AS q0, list_filter(titles, lambda t: t <> titles[2])[1:4] AS new1 FROM p),
       b AS (SELECT *, (q0 || new1)[1:12] AS q1 FROM a),

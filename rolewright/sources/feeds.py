@@ -255,7 +255,7 @@ def merge_pool(*feeds: DataFrame, seq: str = "ingest_seq", key: str = "job_id")
     body = [c for c in rows.columns if c != key]
     return (
         rows.groupBy(key)
-        .agg(F.max_by(F.struct(*body), F.col(seq)).alias("last"), F.min(seq).alias("first_seq"))
+        .agg(F.max_by(F.struct(*body), F.struct(F.col(seq), *body)).alias("last"), F.min(seq).alias("first_seq"))
         .select(key, "last.*", "first_seq")
     )
 
