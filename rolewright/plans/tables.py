@@ -131,15 +131,15 @@ def lines_sql(relation: str, key: str, text: str) -> str:
 
 
 # --- Vocabularies drawn from the benchmark table -----------------------------------------------------------------
-LONG_TOKEN = 6
+LONG_TOKEN = 1
 
 
 def benchmark_aliases(spark: SparkSession, sf_dir: str, min_chars: int = LONG_TOKEN, prefix: int = 4) -> DataFrame:
-    """Alias table whose aliases are the longer tokens of the benchmark texts; tokens with a common beginning are
+    """Alias table whose aliases are the runs of letters of the benchmark texts; tokens with a common beginning are
     wordings of one skill. A wording that ends in a vowel is a member, one that ends in ``n`` is weak."""
     words = (
         table(spark, sf_dir, "benchmark")
-        .select(F.explode(F.regexp_extract_all(T.fold(F.col("text")), F.lit(r"(\b[a-z]+\b)"), F.lit(1))).alias("alias"))
+        .select(F.explode(F.regexp_extract_all(T.fold(F.col("text")), F.lit("([a-z]+)"), F.lit(1))).alias("alias"))
         .where(F.length("alias") >= min_chars)
         .distinct()
     )
@@ -155,7 +155,7 @@ def vocabulary_sql(min_chars: int = LONG_TOKEN, prefix: int = 4) -> str:
     return rf"""
 vocab AS (
   SELECT DISTINCT a AS alias, upper(left(a, {prefix})) AS skill, regexp_matches(a, '[aeiou]$') AS member, regexp_matches(a, 'n$') AS weak
-  FROM (SELECT unnest(regexp_extract_all({fold_sql('text')}, '\b[a-z]+\b')) AS a FROM benchmark)
+  FROM (SELECT unnest(regexp_extract_all({fold_sql('text')}, '[a-z]+')) AS a FROM benchmark)
   WHERE length(a) >= {min_chars})"""
 
 
