@@ -19,9 +19,6 @@ from .tables import (
     benchmark_aliases, clean_sql, fold_sql, html_text_sql, lines_sql, lit, mentions_sql, table, texts, tokens_sql, vocabulary_sql,
 )
 
-MIN_SKILL_CHARS = 8
-
-
 # --- Corpus preparation -------------------------------------------------------------------------------------------
 def corpus_normalise_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.normalise_stats(texts(spark, sf_dir, "documents"), "text", "source")
@@ -110,13 +107,18 @@ def term_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- Triage ----------------------------------------------------------------------------------------------------------
 def _token_skills(df: DataFrame, owner: str, col: str) -> DataFrame:
-    return df.select(owner, F.array_distinct(F.filter(T.tokens(F.col(col)), lambda t: F.length(t) >= MIN_SKILL_CHARS)).alias("skills"))
+    return df.select(owner, F.array_distinct(T.tokens(F.col(col))).alias("skills"))
+
+
+def _most(n):
+    """Three tokens at least, and four of ten."""
+    return F.greatest(F.lit(3), ((n * 4 + 9) / 10).cast("int"))
 
 
 def _overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), "text")
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("cv_id"), "text")
-    return G.shared_skills(cut_lineage(_token_skills(b, "cv_id", "text")), cut_lineage(_token_skills(d, "job_id", "text")), lambda n: F.lit(3))
+    return G.shared_skills(cut_lineage(_token_skills(b, "cv_id", "text")), cut_lineage(_token_skills(d, "job_id", "text")), _most)
 
 
 def skill_overlap_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +189,7 @@ def tfidf_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Triage by shared long words, then BM25 and line matching inside the triaged pairs, fused by rank."""
+    """Triage by shared words, then BM25 and line matching inside the triaged pairs, fused by rank."""
     pairs = cut_lineage(_overlap_pairs(spark, sf_dir).select("cv_id", "job_id"))
     docs, items = _docs(spark, sf_dir), _items(spark, sf_dir)
     wanted = pairs.select("job_id").distinct()
@@ -305,9 +307,10 @@ def _bm25_sql() -> str:
 
 _TFIDF = "(1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1)"
 _PAIRS_SQL = f"""
-      bs AS (SELECT DISTINCT item_id AS cv_id, token FROM (SELECT item_id, unnest({tokens_sql('text')}) AS token FROM benchmark) WHERE length(token) >= {MIN_SKILL_CHARS}),
-      ds AS (SELECT DISTINCT doc_id AS job_id, token FROM (SELECT doc_id, unnest({tokens_sql('text')}) AS token FROM documents) WHERE length(token) >= {MIN_SKILL_CHARS}),
-      pairs AS (SELECT cv_id, job_id, count(*)::INTEGER AS n_overlap FROM bs JOIN ds USING (token) GROUP BY ALL HAVING count(*) >= 3)"""
+      bs AS (SELECT DISTINCT item_id AS cv_id, token FROM (SELECT item_id, unnest({tokens_sql('text')}) AS token FROM benchmark)),
+      ds AS (SELECT DISTINCT doc_id AS job_id, token FROM (SELECT doc_id, unnest({tokens_sql('text')}) AS token FROM documents)),
+      bn AS (SELECT cv_id, greatest(3, (count(*) * 4 + 9) // 10) AS need FROM bs GROUP BY cv_id),
+      pairs AS (SELECT cv_id, job_id, count(*)::INTEGER AS n_overlap FROM bs JOIN ds USING (token) JOIN bn USING (cv_id) GROUP BY cv_id, job_id, need HAVING count(*) >= need)"""
 
 _NDCG_SQL = f"""
       base AS (SELECT source AS cv_id, doc_id AS job_id, n_chars, len(list_distinct({tokens_sql('text')})) AS distinct_tokens FROM documents),
