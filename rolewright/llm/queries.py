@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolewright.llm import decontaminate, language_id, line_dedup, nearest, ngram_join, packing, suffix_dedup, token_counts, toxicity, url_filter
+from rolewright.llm.oracles import ORACLES as ORACLES
 from rolewright.llm.stage import importable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,4 +77,3 @@ QUERIES: dict[str, Query] = {
     "op9_url_filter": op9_url_filter,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLES: dict[str, str] = {}
