@@ -620,7 +620,10 @@ def merge_profiles(profiles: DataFrame, extra: DataFrame, canonical: DataFrame |
 
 
 def family_score_table(profiles: DataFrame) -> DataFrame:
-    return profiles.select("cv_id", F.explode("family_scores").alias("f")).select("cv_id", "f.*")
+    """(cv_id, family, family_no, score) by which searches are planned: from the headline and skills that a profile has now, merged ones
+    included. A summary counts for the profile's own ``family_scores`` only."""
+    scores = family_scores(F.col("skills"), F.coalesce("headline", F.lit("")))
+    return profiles.select("cv_id", F.explode(scores).alias("f")).select("cv_id", "f.*")
 
 
 def prepare(cvs: DataFrame, aliases: DataFrame | None) -> DataFrame:

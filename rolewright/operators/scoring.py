@@ -111,7 +111,8 @@ def fit_bands(analyses: DataFrame, by: list[str]) -> DataFrame:
 
 # --- Learn next ----------------------------------------------------------------------------------------------------
 def learn_next(judgments: DataFrame, analyses: DataFrame) -> DataFrame:
-    """(cv_id, skill, jobs_requiring, must_count, unlocks, fit_gain) for every missing skill.
+    """(cv_id, skill, jobs_requiring, must_count, unlocks, fit_gain, job_ids) for every missing skill; ``job_ids`` are the
+    candidate's analysed postings that ask for it, in order.
 
     ``judgments(cv_id, job_id, req_no, kind, verdict, missing_skills)``. Learning a skill turns a judgment to met
     when nothing else is missing in it, and missing to partial otherwise. The new coverage of a pair is its old
@@ -145,6 +146,7 @@ def learn_next(judgments: DataFrame, analyses: DataFrame) -> DataFrame:
         F.count_if("asked_as_must").alias("must_count"),
         F.count_if("opened").alias("unlocks"),
         (F.floor((2 * total + n) / (2 * n)) / 10_000).alias("fit_gain"),
+        F.array_sort(F.collect_set("job_id")).alias("job_ids"),
     )
 
 

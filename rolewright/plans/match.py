@@ -153,8 +153,8 @@ def run_match(
     selected = cut_lineage(S.select_jobs(ranked, None, settings.jobs_to_tailor))
     terms = cut_lineage(
         L.posting_terms(
-            req_mentions.select("job_id", (F.col("req_no") * 10_000 + F.col("pos")).alias("at"), "skill", "surface", "key", "member"),
-            posting_mentions.select("job_id", F.col("pos").alias("at"), "skill", "surface", "key", "member"),
+            req_mentions.select("job_id", (F.col("req_no").cast("long") * (1 << 31) + F.col("pos")).alias("at"), "skill", "surface", "key", "member"),
+            posting_mentions.select("job_id", F.col("pos").cast("long").alias("at"), "skill", "surface", "key", "member"),
         )
     )
     unit_skill_rows = unit_mentions.select("cv_id", "unit_no", "skill").distinct()

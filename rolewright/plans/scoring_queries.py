@@ -55,7 +55,7 @@ def combine_all_any(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def learn_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = judgments(spark, sf_dir)
-    return S.top_learn(S.learn_next(j, S.coverage(j)))
+    return S.top_learn(S.learn_next(j, S.coverage(j))).withColumn("job_ids", F.array_join(F.col("job_ids").cast("array<string>"), ","))
 
 
 def select_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,9 +255,10 @@ ORACLES = {
         FROM delta JOIN fits USING (cv_id, job_id)),
       items AS (
         SELECT cv_id, skill, count(*) AS jobs_requiring, count(*) FILTER (asked_must) AS must_count, count(*) FILTER (opened) AS unlocks,
-               (2 * sum(round(greatest(0.0, fit2 - fit) * 10000)::BIGINT)::BIGINT + count(*)) // (2 * count(*)) / 10000.0::DOUBLE AS fit_gain
+               (2 * sum(round(greatest(0.0, fit2 - fit) * 10000)::BIGINT)::BIGINT + count(*)) // (2 * count(*)) / 10000.0::DOUBLE AS fit_gain,
+               array_to_string(list_sort(list(DISTINCT job_id)), ',') AS job_ids
         FROM sim GROUP BY ALL)
-      SELECT cv_id, skill, jobs_requiring, must_count, unlocks, fit_gain, place::INTEGER AS place FROM (
+      SELECT cv_id, skill, jobs_requiring, must_count, unlocks, fit_gain, job_ids, place::INTEGER AS place FROM (
         SELECT *, row_number() OVER (PARTITION BY cv_id ORDER BY unlocks DESC, must_count DESC, jobs_requiring DESC, fit_gain DESC, skill) AS place FROM items)
       WHERE place <= 12""",
     "select_jobs": f"""WITH {JUDGMENTS_SQL}, r AS (
