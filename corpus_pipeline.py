@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolewright.llm import decontaminate, language_id, line_dedup, ngram_join, packing
-from rolewright.llm.stage import importable, stage
+from rolewright.llm.stage import broadcast_if_small, prepare, stage
 
 #: The model of language ID learns from the documents that its query learns from.
 LANG_FOLDS, LANG_HELD_OUT = 3, 1
@@ -17,45 +17,55 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.withColumn("row", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
 
 
+def _without(named: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents but for those listed."""
+    return named.join(broadcast_if_small(stage(rows.distinct(), "left-out")), "row", "left_anti")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents that the model rejects go, among them those without letters."""
+    prepare(spark)
     model = language_id.fit(docs, language_id.fold("doc_id", LANG_FOLDS) != LANG_HELD_OUT)
     # the judged text is found again by row, not by id: ids may repeat
     named = _named(docs)
-    judged = language_id.identify(named.select(F.col("row").alias("doc_id"), "text"), model).where("rejected").select(F.col("doc_id").alias("row")).distinct()
-    return named.join(judged, "row", "left_anti").select(docs.columns)
+    rejected = language_id.identify(named.select(F.col("row").alias("doc_id"), "text"), model).where("rejected").select(F.col("doc_id").alias("row"))
+    return _without(named, rejected).select(docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: later repeated runs of lines are cut out of the texts; a document that loses all its lines goes."""
-    kept = line_dedup.remove_repeated_lines(docs).where(F.size("removed") > 0).groupBy(F.col("doc").alias("row")).agg(F.max("kept_text").alias("kept_text"))
-    joined = _named(docs).join(kept, "row", "left").withColumn("text", F.coalesce("kept_text", "text"))
-    joined = joined.where(F.col("kept_text").isNull() | (F.trim("kept_text") != ""))
-    return joined.withColumn("n_chars", F.when(F.col("kept_text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    prepare(spark)
+    found = line_dedup.remove_repeated_lines(docs, carry=tuple(docs.columns))
+    cut = F.size("removed") > 0
+    found = found.where(~cut | (F.trim(F.translate("kept_text", "\n\t\r", "   ")) != ""))
+    changed = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return found.select([F.when(cut, changed[c]).otherwise(F.col(f"carried.{c}")).alias(c) if c in changed else F.col(f"carried.{c}").alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join, five words and 0.8: of each group of linked documents the one with the least id stays, and one row of it."""
+    prepare(spark)
     found = ngram_join.similar_documents(docs, WORDS, PERCENT)
     gone = found.where("n_shingles > 0").where(F.col("doc_id").isNull() | (F.col("doc_id") > F.col("component_id")))
-    gone = gone.where("component_id is not null").select(F.col("doc").alias("row")).distinct()
-    left = _named(docs).join(gone, "row", "left_anti")
-    twice = left.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select("row")
+    gone = gone.where("component_id is not null").select(F.col("doc").alias("row"))
+    left = _without(_named(docs), gone)
+    twice = broadcast_if_small(stage(left.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select("row"), "repeated-rows"))
     once = left.join(twice, "row").dropDuplicates(["row"])
     return left.join(twice, "row", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents that hold a window of ten words of a benchmark item go."""
+    prepare(spark)
     tests = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     named = _named(docs)
     hits = decontaminate.contamination(named.select(F.col("row").alias("doc_id"), "text"), tests)
-    hit = hits.where(F.size("hit") > 0).select(F.col("doc_id").alias("row")).distinct()
-    return named.join(hit, "row", "left_anti").select(docs.columns)
+    return _without(named, hits.where(F.size("hit") > 0).select(F.col("doc_id").alias("row"))).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packing: every piece of every document that is left, with its sequence and offset."""
+    prepare(spark)
     return packing.pack(docs)
 
 
@@ -66,7 +76,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    importable(spark)
+    prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolewright.llm.stage import stage
+from rolewright.llm.stage import discard, stage
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,4 +26,5 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        now = stage(small.distinct(), "edges")
+        last, now = now, stage(small.distinct(), "edges")
+        discard(last)

@@ -13,10 +13,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rolewright.llm import anchors as A
 from rolewright.llm import blocks as B
-from rolewright.llm.stage import identified, stage
+from rolewright.llm.stage import discard, identified, stage
 
 RUN = 3
 GRAM = 2
@@ -76,21 +77,21 @@ def _cut(run: int):
                 removed.append(np.flatnonzero(gone).tolist())
                 counts.append(len(lines))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(3), batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.list_(pa.int32()))],
-                ["doc", "doc_id", "kept_text", "n_lines", "removed"],
+                [batch.column(3), batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.list_(pa.int32())), *batch.columns[4:]],
+                ["doc", "doc_id", "kept_text", "n_lines", "removed", *batch.schema.names[4:]],
             )
 
     return cut
 
 
-def remove_repeated_lines(docs: DataFrame, run: int = RUN, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, run: int = RUN, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = B.BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc, doc_id, kept_text, n_lines, removed`` for every row; ``removed`` lists the removed lines, counted from 0.
 
     A line goes if it lies in a run of at least ``run`` lines that stands earlier as well: in a document with a smaller id, or earlier in the same one. Lines are compared
     without white space around them and with A-Z lower-cased; blank lines count as lines, but a run of blank lines only is never removed. The remaining lines are joined
     by line ends as they were. Null and empty texts have no lines and an empty ``kept_text``. Null ids come before all others; of documents with one id
     the order is that of a hash of the text. Rows that agree in id and text count as one document, at one place: they lose the same lines.
-    Other columns are ignored, whatever their names.
+    Other columns are ignored, whatever their names, unless ``carry`` lists them: these travel along as the fields of a struct ``carried``.
     """
     rows = identified(docs, id_col, text_col)
     found = stage(rows.mapInArrow(_positions(run, gram, block_bytes), _POSITIONS), "line-prints")
@@ -100,8 +101,16 @@ def remove_repeated_lines(docs: DataFrame, run: int = RUN, gram: int = GRAM, id_
     windows = stage(joined.select("window", "doc_id", "doc", (F.col("line") + F.col("k")).alias("line")), "line-windows")
     first = windows.groupBy("window").agg(F.min(F.struct("doc_id", "doc", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = windows.join(first.where(F.col("window") != _blank(run)), "window").where(F.struct("doc_id", "doc", "line") > F.col("first"))
-    gone = later.groupBy("doc").agg(F.collect_set("line").alias("starts"))
-    return rows.join(gone, "doc", "left").select("doc_id", "text", "starts", "doc").mapInArrow(_cut(run), "doc long, doc_id long, kept_text string, n_lines long, removed array<int>")
+    gone = stage(later.groupBy("doc").agg(F.collect_set("line").alias("starts")), "repeated-lines")
+    discard(found, windows)
+    kinds = (("doc", T.LongType()), ("doc_id", T.LongType()), ("kept_text", T.StringType()), ("n_lines", T.LongType()), ("removed", T.ArrayType(T.IntegerType())))
+    schema = T.StructType([T.StructField(*k) for k in kinds])
+    if not carry:
+        return rows.join(gone, "doc", "left").select("doc_id", "text", "starts", "doc").mapInArrow(_cut(run), schema)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    whole = docs.select(F.xxhash64(F.col(id_col).cast("long"), text).alias("doc"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.struct(*carry).alias("carried"))
+    cut = whole.join(gone, "doc", "left").select("doc_id", "text", "starts", "doc", "carried")
+    return cut.mapInArrow(_cut(run), T.StructType([*schema.fields, T.StructField("carried", whole.schema["carried"].dataType)]))
 
 
 def _blank(run: int) -> int:

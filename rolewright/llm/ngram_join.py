@@ -3,8 +3,9 @@
 The sketch of a set is a row of cells. A shingle falls into the cell that its hash names and is XORed into it, so a cell keeps the parity of
 its shingles, and two sketches differ in at most as many cells as the sets differ in shingles. A pair with Jaccard similarity of at least t
 differs in at most D = (a + b)(1 - t)/(1 + t) shingles of sets of sizes a and b. With D + 1 cells at least one cell is equal (pigeonhole), so
-the join on cells, size band by size band, finds every such pair. A second, fixed sketch of single bits then bounds the difference of a pair from below
-by its Hamming distance, and the pairs that are left are verified on their shingles.
+the join on cells, size band by size band, finds every such pair. With a few cells more, a similar pair has as many more equal cells, so a set that
+shares fewer cells than that with all others together is left out before any pair is built. Sketches of single bits, one of fixed size and one as large as the set, then bound the
+difference of a pair from below by their Hamming distance, and the pairs that are left are verified on their shingles.
 
 Equal sets are one vertex. Pairs are verified hub by hub: first the cell's least set with each other one, most shared cells first, and then, only
 between components that are still apart, every pair of a cell. So a group of n near copies costs about n verifications and no link is lost.
@@ -20,12 +21,14 @@ from pyspark.sql import functions as F
 
 from rolewright.llm import blocks as B
 from rolewright.llm.components import components
-from rolewright.llm.stage import identified, stage
+from rolewright.llm.stage import broadcast_if_small, discard, identified, stage
 
-SKETCH_BITS = 512
+MINI_BITS = 512
 BAND_GROWTH = 1.5
+BAND_BITS = 6
+MORE_CELLS = 30  # percent of the cells that pigeonhole asks for
 CELL_ROWS = 2048
-_SKETCHED = "doc long, doc_id long, n_shingles long, set_id long, first boolean, cells array<long>, sketch binary"
+_SKETCHED = "doc long, doc_id long, n_shingles long, set_id long, first boolean, cells array<long>, mini binary, sketch binary"
 _SALT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -52,19 +55,21 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndar
 
 
 def size_bands(largest: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Least size of each band, and the cells of a sketch in it: one more than two sets of the band's largest size may differ in."""
+    """Least size of each band, and the cells of a sketch in it: MORE_CELLS percent more than what two sets of the band's largest size may differ in,
+    and one more at least."""
     lows, cells, lo = [], [], 1
     while True:
         hi = max(lo, int(lo * BAND_GROWTH))
         lows.append(lo)
-        cells.append(2 * hi * (100 - percent) // (100 + percent) + 1)
+        differ = 2 * hi * (100 - percent) // (100 + percent)
+        cells.append((differ + 1) * (100 + MORE_CELLS) // 100 if differ else 1)
         if hi >= largest:
             return np.array(lows), np.array(cells)
         lo = hi + 1
 
 
 def cells_of(row: np.ndarray, value: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the sketch cells of all rows and the number of keys of each row. A row has the cells of its own size band, and those of the next
+    """Keys of the sketch cells of all rows, whose last bits name the band, and the number of keys of each row. A row has the cells of its own size band, and those of the next
     one if a set that large could still be similar. Bands with one cell find nothing but equal sets and are left out."""
     lows, cells = size_bands(int(sizes.max(initial=1)) * 100 // percent + 1, percent)
     own = np.searchsorted(lows, sizes, "right") - 1
@@ -84,17 +89,44 @@ def cells_of(row: np.ndarray, value: np.ndarray, sizes: np.ndarray, percent: int
         of = np.repeat(np.arange(len(sizes)), width)
         place = np.arange(len(parity)) - base[of]
         tag = (band[of].astype(np.uint64) << np.uint64(40)) + place.astype(np.uint64)
-        keys.append(B.mix(parity ^ B.mix(tag + np.uint64(_SALT[1]))))
+        hashed = B.mix(parity ^ B.mix(tag + np.uint64(_SALT[1])))
+        keys.append(hashed >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS) | band[of].astype(np.uint64))
         owner.append(of)
     owner, keys = np.concatenate(owner), np.concatenate(keys)
     order = np.argsort(owner, kind="stable")
     return keys[order].view(np.int64), np.bincount(owner, minlength=len(sizes))
 
 
+def _parity(row: np.ndarray, value: np.ndarray, bits: np.ndarray) -> pa.Array:
+    """Bit sketches: shingle h of row r flips bit h mod bits[r], a power of two or 0; so half of a sketch XOR its other half is the sketch of half the size."""
+    stop = np.cumsum(bits)
+    place = (stop - bits)[row] + (value & (bits[row] - 1).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(place, minlength=int(stop[-1]) if len(stop) else 0) & 1).astype(np.uint8))
+    return pa.Array.from_buffers(pa.binary(), len(bits), [None, pa.py_buffer((np.concatenate(([0], stop)) // 8).astype(np.int32)), pa.py_buffer(packed)])
+
+
+def _near(percent: int):
+    """The pairs whose bit sketches differ in no more bits than the sets may in shingles."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            sizes = batch.column(3).to_numpy() + batch.column(4).to_numpy()
+            for r in range(batch.num_rows):
+                x, y = (np.frombuffer(c[r].as_buffer(), np.uint64) for c in (batch.column(5), batch.column(6)))
+                while len(x) != len(y):
+                    x, y = (x, y) if len(x) > len(y) else (y, x)
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                keep[r] = int(np.bitwise_count(x ^ y).sum()) * (100 + percent) <= sizes[r] * (100 - percent)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:3]], ["a", "b", "cells"])
+
+    return near
+
+
 def sketched(rows: DataFrame, words: int, percent: int, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """A row for each of the ``identified`` rows: size and id of its set, and, for the first one of a set in its task, cells and bit sketch."""
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for part, data, offsets in B.text_blocks(batch, 2, block_bytes):
@@ -111,17 +143,12 @@ def sketched(rows: DataFrame, words: int, percent: int, block_bytes: int = B.BLO
                         first[i] = True
                 keep = first[row] if len(row) else np.zeros(0, bool)
                 keys, width = cells_of(row[keep], value[keep], np.where(first, sizes, 0), percent)
-                bits = np.zeros((n, SKETCH_BITS // 8), np.uint8)
-                for lo in range(0, n, 1024):
-                    a, b = at[lo], at[min(lo + 1024, n)]
-                    m = min(lo + 1024, n) - lo
-                    place = (row[a:b] - lo) * SKETCH_BITS + (value[a:b] & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
-                    bits[lo : lo + m] = np.packbits((np.bincount(place, minlength=m * SKETCH_BITS) & 1).astype(np.uint8).reshape(m, -1), axis=1)
+                large = np.where(first, np.maximum(MINI_BITS, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64)), 0)
+                mini, sketch = (_parity(row[keep], value[keep], width) for width in (np.where(first, MINI_BITS, 0), large))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(width))).astype(np.int32)), pa.array(keys))
-                sketches = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * (SKETCH_BITS // 8)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(bits))])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes), pa.array(set_id), pa.array(first), lists, sketches], [c.split()[0] for c in _SKETCHED.split(", ")])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes), pa.array(set_id), pa.array(first), lists, mini, sketch], [c.split()[0] for c in _SKETCHED.split(", ")])
 
-    return rows.select("doc", "doc_id", "text").mapInArrow(sketch, _SKETCHED)
+    return rows.select("doc", "doc_id", "text").mapInArrow(sketches, _SKETCHED)
 
 
 def _shared_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +200,7 @@ def _pairs_apart(percent: int):
 
     def emit(table: pa.Table, begins: np.ndarray) -> Iterator[pa.RecordBatch]:
         sets, size, root, own, i, j = (table[c].to_numpy() for c in ("set_id", "n", "root", "own", "i", "j"))
-        bits = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(table.num_rows, -1)
+        bits = np.frombuffer(b"".join(table["mini"].to_pylist()), np.uint64).reshape(table.num_rows, -1)
         for lo, hi in zip(begins, np.append(begins[1:], table.num_rows), strict=True):
             if (root[lo:hi] == root[lo]).all():
                 continue
@@ -206,26 +233,43 @@ def _verified(percent: int):
 
 
 class _Verifier:
-    """Checks pairs of sets once each: by sizes and bit sketches first, then on the shingles of a document of each set."""
+    """Checks pairs of sets: by sizes and bit sketches first, then on the shingles of a document of each set, which are cut once a set."""
 
     def __init__(self, rows: DataFrame, sets: DataFrame, words: int, percent: int, block_bytes: int):
         self.rows, self.sets, self.words, self.percent, self.block_bytes = rows, sets, words, percent, block_bytes
+        self.lists: list[DataFrame] = []
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """Those of (a, b, cells) that sizes and bit sketches allow."""
+        left = self.sets.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
+        right = self.sets.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
+        joined = pairs.join(left, "a").join(right, "b").where("least(n_a, n_b) * 100 >= greatest(n_a, n_b) * %d" % self.percent)
+        return joined.select("a", "b", "cells", "n_a", "n_b", "s_a", "s_b").mapInArrow(_near(self.percent), "a long, b long, cells long")
+
+    def read(self, pairs: DataFrame) -> None:
+        """Cut the shingles of the sets of these pairs that haven't been cut yet."""
+        wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+        for known in self.lists:
+            wanted = wanted.join(known.select("set_id"), "set_id", "left_anti")
+        docs = stage(self.sets.join(wanted, "set_id").select("doc", "set_id"), "wanted")
+        if docs.count():
+            lists = self.rows.select("doc", "text").join(broadcast_if_small(docs), "doc").select("set_id", "text").mapInArrow(self._lists(), "set_id long, list binary")
+            # a row that is repeated as a whole gives its set more than once; one is enough
+            self.lists.append(stage(lists.dropDuplicates(["set_id"]), "shingles"))
+        discard(docs)
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
-        s, t = self.sets, self.percent
-        left = s.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
-        right = s.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
-        words = lambda c: [F.conv(F.hex(F.substring(c, 1 + 4 * k, 4)), 16, 10).cast("long") for k in range(SKETCH_BITS // 32)]
-        distance = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(words("s_a"), words("s_b"), strict=True)), F.lit(0))
-        near = pairs.join(left, "a").join(right, "b").where(distance * (100 + t) <= (F.col("n_a") + F.col("n_b")) * (100 - t))
-        near = stage(near.select("a", "b"), "near-pairs")
-        wanted = near.select(F.col("a").alias("set_id")).union(near.select("b")).distinct()
-        docs = s.join(wanted, "set_id").select("doc", "set_id")
-        lists = stage(self.rows.select("doc", "text").join(docs, "doc").select("set_id", "text").mapInArrow(self._lists(), "set_id long, list binary"), "shingles")
-        # a row that is repeated as a whole gives its set more than once; one is enough
-        lists = lists.groupBy("set_id").agg(F.max("list").alias("list"))
+        near = stage(pairs, "near-pairs")
+        self.read(near)
+        if not self.lists:  # no pair at all
+            return stage(near.select("a", "b", F.lit(False).alias("linked")), "verified")
+        lists = self.lists[0]
+        for more in self.lists[1:]:
+            lists = lists.unionByName(more)
         joined = near.join(lists.select(F.col("set_id").alias("a"), F.col("list").alias("l_a")), "a").join(lists.select(F.col("set_id").alias("b"), F.col("list").alias("l_b")), "b")
-        return stage(joined.select("a", "b", "l_a", "l_b").mapInArrow(_verified(t), "a long, b long, linked boolean"), "verified")
+        done = stage(joined.select("a", "b", "l_a", "l_b").mapInArrow(_verified(self.percent), "a long, b long, linked boolean"), "verified")
+        discard(near)
+        return done
 
     def _lists(self):
         words, block_bytes = self.words, self.block_bytes
@@ -251,21 +295,27 @@ def similar_documents(
     are ignored, whatever their names.
     """
     rows = identified(docs, id_col, text_col)
-    every = stage(sketched(rows, words, percent, block_bytes), "sketches")
-    firsts = every.where("first")
-    sets = stage(firsts.groupBy("set_id").agg(F.min("doc").alias("doc"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch")), "sets")
+    full = stage(sketched(rows, words, percent, block_bytes), "sketches")
+    every = stage(full.select("doc", "doc_id", "n_shingles", "set_id"), "documents")
+    firsts = full.where("first")
+    sets = stage(firsts.groupBy("set_id").agg(F.min("doc").alias("doc"), F.max("n_shingles").alias("n"), F.max("mini").alias("mini"), F.max("sketch").alias("sketch")), "sets")
     cells = firsts.select(F.explode("cells").alias("cell"), "set_id", F.col("n_shingles").alias("n"))
     shared = stage(cells.repartition("cell").sortWithinPartitions("cell", "set_id").mapInArrow(_shared_cells, "cell long, set_id long, n long, hub long"), "cells")
+    discard(full)
+    shared = _able(shared, percent)
     verify = _Verifier(rows, sets, words, percent, block_bytes)
-    stars = stage(shared.where("set_id <> hub").groupBy(F.col("hub").alias("a"), F.col("set_id").alias("b")).agg(F.count("*").alias("cells")), "stars")
-    best = stars.groupBy("b").agg(F.max_by("a", F.struct("cells", "a")).alias("a")).select("a", "b")
-    tested = verify(best)
-    roots = components(tested.where("linked"))
-    apart = _apart(stars.select("a", "b"), roots).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    tested = tested.unionByName(verify(apart))
-    roots = components(tested.where("linked"))
-    tested = tested.unionByName(verify(_cell_pairs(shared, sets, roots, percent, cell_rows).join(tested.select("a", "b"), ["a", "b"], "left_anti")))
+    stars = shared.where("set_id <> hub").groupBy(F.col("hub").alias("a"), F.col("set_id").alias("b")).agg(F.count("*").alias("cells"))
+    stars = stage(verify.near(stars), "stars")
+    verify.read(stars)
+    first = verify(stars.groupBy("b").agg(F.max_by("a", F.struct("cells", "a")).alias("a")).select("a", "b"))
+    roots = components(first.where("linked"))
+    second = verify(_apart(stars.select("a", "b"), roots).join(first.select("a", "b"), ["a", "b"], "left_anti"))
+    tested = first.unionByName(second)
     roots = components(tested.where("linked"))
+    apart = _cell_pairs(shared, sets, roots, percent, cell_rows).join(stars.select("a", "b"), ["a", "b"], "left_anti")
+    third = verify(verify.near(apart.withColumn("cells", F.lit(1).cast("long"))).select("a", "b"))
+    roots = components(tested.unionByName(third).where("linked"))
+    discard(first, second, third, stars, shared, sets, *verify.lists)
     of_set = every.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     of_set = of_set.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     least = of_set.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -275,6 +325,23 @@ def similar_documents(
     return named.unionByName(whole.where("n_shingles = 0").select("doc", "doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def _able(shared: DataFrame, percent: int, passes: int = 2) -> DataFrame:
+    """Without the rows of sets that share too few cells of a band with others to be similar to any: each set needs as many equal cells as its band has beyond
+    those that a similar set may differ in. Every pass may make others unable."""
+    _, cells = size_bands(1 << 40, percent)
+    band = F.col("cell").bitwiseAND((1 << BAND_BITS) - 1).cast("int")
+    of_band = F.element_at(F.array(*[F.lit(int(c)) for c in cells]), F.col("band") + 1)
+    differ = F.floor((F.col("n") + F.floor(F.col("n") * 100 / percent)) * (100 - percent) / (100 + percent))
+    for _ in range(passes):
+        able = shared.groupBy("set_id", band.alias("band")).agg(F.count("*").alias("m"), F.max("n").alias("n")).where(F.col("m") >= of_band - differ).select("set_id", "band")
+        left = shared.drop("hub").withColumn("band", band).join(able, ["set_id", "band"]).drop("band")
+        hubs = left.groupBy("cell").agg(F.min("set_id").alias("hub"), F.count("*").alias("m")).where("m > 1").drop("m")
+        now = stage(left.join(hubs, "cell").select("cell", "set_id", "n", "hub"), "cells")
+        discard(shared)
+        shared = now
+    return shared
+
+
 def _rooted(frame: DataFrame, column: str, roots: DataFrame, name: str) -> DataFrame:
     found = roots.select(F.col("node").alias(column), F.col("root").alias(name))
     return frame.join(found, column, "left").withColumn(name, F.coalesce(name, column))
@@ -287,11 +354,11 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 def _cell_pairs(shared: DataFrame, sets: DataFrame, roots: DataFrame, percent: int, cell_rows: int) -> DataFrame:
     """All pairs of sets that share a cell, lie in different components and may be similar by their bit sketches. Cells with many sets are dealt
     out as pairs of blocks; what leaves a task is not all pairs of a cell but those within the bound."""
-    rooted = stage(_rooted(shared, "set_id", roots, "root"), "rooted-cells")
+    rooted = _rooted(shared, "set_id", roots, "root")
     mixed = rooted.groupBy("cell").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("cell", F.ceil(F.col("m") / cell_rows).cast("int").alias("k"))
     members = rooted.join(mixed, "cell").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("k")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    members = members.join(sets.select("set_id", "sketch"), "set_id")
-    members = members.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_id", "n", "root", "sketch")
+    members = members.join(sets.select("set_id", "mini"), "set_id")
+    members = members.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_id", "n", "root", "mini")
     dealt = members.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
     return dealt.mapInArrow(_pairs_apart(percent), "a long, b long").distinct()

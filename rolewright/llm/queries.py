@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 
 from rolewright.llm import decontaminate, language_id, line_dedup, nearest, ngram_join, packing, suffix_dedup, token_counts, toxicity, url_filter
 from rolewright.llm.oracles import ORACLES as ORACLES
-from rolewright.llm.stage import importable
+from rolewright.llm.stage import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    importable(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

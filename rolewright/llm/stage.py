@@ -24,9 +24,14 @@ def shared_root(spark: SparkSession) -> str:
     return folder
 
 
-def importable(spark: SparkSession) -> None:
-    """Let Python workers of a local session import this package from wherever the driver found it. On a cluster the package is installed
-    or shipped; a path that does not exist there is ignored."""
+ARROW_BATCH = "8m"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Settings of a session that runs these operators: Arrow batches bounded by bytes (whole texts can be long), and Python workers of a local
+    session that import this package from wherever the driver found it. On a cluster the package is installed or shipped; a path that does not exist
+    there is ignored."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
@@ -34,13 +39,31 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
+SMALL_ROWS = 500_000
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a frame as Parquet in the shared folder and read it back: the lineage ends here, readers prune
     columns, and a lost executor costs no recomputation."""
     path = f"{shared_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    read = df.sparkSession.read.schema(schema).parquet(path)
+    read.stage_path = path
+    return read
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete tables that ``stage`` wrote, once nothing reads them any more."""
+    for df in staged:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stage_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def broadcast_if_small(staged: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """A staged table of a few numbers a row with the hint to broadcast it, if its counted rows are within the bound. Beyond it the join
+    is a shuffle join with the same result."""
+    return F.broadcast(staged) if staged.count() <= rows else staged
 
 
 def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
