@@ -81,6 +81,7 @@ def text_blocks(batch: pa.RecordBatch, text: int, limit: int = BLOCK_BYTES) -> I
     data, offsets = text_bytes(batch.column(text))
     for i, j in row_blocks(offsets, limit):
         yield batch.slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+    pa.default_memory_pool().release_unused()  # two workers share an executor's memory with its JVM
 
 
 _LOWER = np.arange(256, dtype=np.uint8)

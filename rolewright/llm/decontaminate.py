@@ -20,7 +20,7 @@ from rolewright.llm import blocks as B
 from rolewright.llm.stage import stage
 
 WINDOW = 10
-SEGMENT_BYTES = 2 << 20
+SEGMENT_BYTES = 1 << 20
 TEST_WORDS = 2_000_000
 INDEX_SCHEMA = "segment long, doc_ids array<long>, word_offsets array<long>, terms array<long>, term_starts array<int>, positions array<int>"
 _HIT_SCHEMA = "segment long, doc int, doc_id long, n_words long, hit array<int>, items array<long>"

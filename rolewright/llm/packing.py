@@ -132,7 +132,7 @@ class _Stream:
 
 def _encoded(batch: pa.RecordBatch, vocabulary: str, end_id: int, block_bytes: int) -> Iterator[tuple]:
     """(row, ids, candidate cuts) of each row in order."""
-    known = WP.memory(vocabulary, "ids", lambda e: np.array(e.ids, np.uint16 if max(e.ids, default=0) < 1 << 16 else np.uint32))
+    known = WP.memory(vocabulary, "ids", lambda e: np.array(e.ids, "<u4").tobytes())
     ready, parts, ends, held = 0, [], [], 0
 
     def finish(upto: int) -> Iterator[tuple]:
@@ -144,8 +144,8 @@ def _encoded(batch: pa.RecordBatch, vocabulary: str, end_id: int, block_bytes: i
 
     for row, chunks, cuts, data in WP.chunk_blocks(batch, 1, block_bytes, lower=True):
         found = known(chunks.dictionary.to_pylist())
-        each = np.fromiter(map(len, found), np.int64, len(found))
-        flat, first = np.concatenate(found) if found else np.zeros(0, np.uint32), np.cumsum(each) - each
+        each = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, first = np.frombuffer(b"".join(found), "<u4"), np.cumsum(each) - each
         index = chunks.indices.to_numpy()
         sizes = each[index]
         ids = flat[B.spread(first[index], sizes)]

@@ -16,7 +16,7 @@ from rolewright.llm import blocks as B
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 BATCH_BYTES = 1 << 18
 _LETTER = B.byte_set((65, 90), (97, 122))
 _MARK = B.byte_set((33, 47), (58, 64), (91, 96), (123, 126))
@@ -87,23 +87,33 @@ def chunk_blocks(batch: pa.RecordBatch, text: int, limit: int = B.BLOCK_BYTES, l
         cuts = safe_starts(part, at, plain)
         chunks = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(np.append(cuts, len(part)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(part))])
         yield owner[i + np.searchsorted(at, cuts, "right") - 1], chunks.dictionary_encode(), cuts, part
+    pa.default_memory_pool().release_unused()
 
 
 class Remembered:
-    """Results per distinct chunk, kept between blocks and tasks of one worker up to a bound."""
+    """Results per distinct chunk, kept between blocks and tasks of one worker in two generations of about ``bound`` chunks: what is asked
+    for again moves to the younger one, and when that is full the older one is dropped."""
 
     def __init__(self, path: str, result: Callable, bound: int = REMEMBERED):
-        self.path, self.result, self.bound, self.known = path, result, bound, {}
+        self.path, self.result, self.bound, self.young, self.old = path, result, bound, {}, {}
 
     def __call__(self, distinct: list[bytes]) -> list:
-        if len(self.known) > self.bound:
-            self.known.clear()
-        known = self.known
-        missing = [x for x in distinct if x not in known]
+        young, old = self.young, self.old
+        missing = []
+        for x in distinct:
+            if x not in young:
+                found = old.get(x)
+                if found is None:
+                    missing.append(x)
+                else:
+                    young[x] = found
         for texts in _balanced(missing):
             found = tokenizer(self.path).encode_batch_fast([x.decode("utf-8") for x in texts], add_special_tokens=False)
-            known.update(zip(texts, map(self.result, found), strict=True))
-        return [known[x] for x in distinct]
+            young.update(zip(texts, map(self.result, found), strict=True))
+        results = [young[x] for x in distinct]
+        if len(young) > self.bound:
+            self.old, self.young = young, {}
+        return results
 
 
 def _balanced(texts: list[bytes]) -> Iterator[list[bytes]]:
