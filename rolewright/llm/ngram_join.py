@@ -199,6 +199,8 @@ def _pairs_apart(percent: int):
             yield from emit(held, np.zeros(1, np.int64))
 
     def emit(table: pa.Table, begins: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not table.num_rows:  # all rows so far are of the group that is held
+            return
         sets, size, root, own, i, j = (table[c].to_numpy() for c in ("set_id", "n", "root", "own", "i", "j"))
         bits = np.frombuffer(b"".join(table["mini"].to_pylist()), np.uint64).reshape(table.num_rows, -1)
         for lo, hi in zip(begins, np.append(begins[1:], table.num_rows), strict=True):

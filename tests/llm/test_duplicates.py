@@ -2,6 +2,7 @@
 import random
 
 import brute as X
+import pyarrow as pa
 import pytest
 
 from rolewright.llm import components, decontaminate, line_dedup, ngram_join, suffix_dedup
@@ -36,6 +37,28 @@ def test_ngram_join_of_an_empty_table(spark):
     assert ngram_join.similar_documents(X.table(spark, [])).count() == 0
 
 
+def _cell_block(rows, cell, sets):
+    """Record batches of the rows of a cell block as _pairs_apart reads them, cut after ``rows`` rows each; every set is its own root."""
+    names = ["cell", "i", "j", "own", "set_id", "n", "root", "mini"]
+    mini = [(s << 3).to_bytes(8, "little") * 8 for s in sets]
+    n = len(sets)
+    table = pa.table([pa.array(x) for x in (cell, [0] * n, [0] * n, [0] * n, sets, [100] * n, sets, mini)], names=names)
+    return table.to_batches(max_chunksize=rows)
+
+
+@pytest.mark.parametrize("rows", [1, 2, 5, 100])
+def test_pairs_of_a_single_cell_block_whatever_the_batches(rows):
+    draw = random.Random(rows)
+    one = sorted(draw.sample(range(1, 50), 12))
+    two = sorted(draw.sample(range(50, 99), 3))
+    for cell, sets in (([4] * 12, one), ([4] * 12 + [5] * 3, one + two), ([3] * 3 + [4] * 12, two + one)):
+        found = ngram_join._pairs_apart(80)(iter(_cell_block(rows, cell, sets)))
+        got = {(a, b) for batch in found for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True)}
+        of_cell = {c: [s for s, k in zip(sets, cell, strict=True) if k == c] for c in set(cell)}
+        near = {(a, b) for group in of_cell.values() for a in group for b in group if a < b and 8 * (a ^ b).bit_count() * 180 <= 200 * 20}
+        assert got == near and got
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 120)] + [(7, 7)]
     random.Random(2).shuffle(edges)
