@@ -1,5 +1,6 @@
 """Line dedup, n-gram join, suffix dedup, decontamination: against brute force."""
 import random
+import re
 
 import brute as X
 import pyarrow as pa
@@ -126,5 +127,35 @@ def test_line_dedup_equals_brute_force(spark, docs, run, gram):
     assert got == {(h, k, n, tuple(g)) for h, k, n, g in X.removed_lines(named, run)}
 
 
+def _removed_by_words(rows, run, words):
+    """{row hash: removed lines} of rows (doc_id, text, hash of both): runs of ``run`` lines, and shorter ones of ``words`` words."""
+    seen, out = set(), {}
+    for _, t, h in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, r[2])):
+        plain = [X.lower(x.strip(" \t\n\v\f\r")) for x in t.removesuffix("\n").split("\n")] if t else []
+        gone = set()
+        for n in range(1, run + 1):
+            for i in range(len(plain) - n + 1):
+                w = tuple(plain[i : i + n])
+                if any(w) and (n == run or sum(len(re.findall(r"[^ \t\n\v\f\r]+", x)) for x in w) >= words):
+                    if w in seen:
+                        gone.update(range(i, i + n))
+                    seen.add(w)
+        out[h] = sorted(gone)
+    return out
+
+
+def test_line_dedup_counts_a_run_by_its_words(spark, docs):
+    passage = " ".join(f"word{i}" for i in range(60))
+    half, other = (" ".join(f"{k}{i}" for i in range(30)) for k in ("half", "other"))
+    rows = [(7000, f"first\n{passage}\nlast"), (7001, f"above\n {passage.upper()}\nbelow\n"), (7002, passage), (7003, f"{half}\n{other}"), (7004, f"x\n{half}\n{other}\ny"), (7005, half), (7006, other + "\n" + passage)]
+    every = docs.union(X.table(spark, rows))
+    named = [tuple(r) for r in every.selectExpr("doc_id", "text", "xxhash64(doc_id, coalesce(text, ''))").collect()]
+    found = line_dedup.remove_repeated_lines(X.clashing(every), words=line_dedup.WORDS).collect()
+    assert {r.doc: sorted(r.removed) for r in found} == _removed_by_words(named, 3, 50)
+    got = {r.doc_id: (sorted(r.removed), r.kept_text) for r in found if r.doc_id and 7000 <= r.doc_id < 7007}
+    assert [got[i][0] for i in range(7000, 7007)] == [[], [1], [0], [], [1, 2], [], [1]]
+    assert got[7001][1] == "above\nbelow\n" and got[7002][1] == "" and got[7006][1] == other
+
+
 def test_line_dedup_of_an_empty_table(spark):
     assert line_dedup.remove_repeated_lines(X.table(spark, [])).count() == 0
