@@ -20,6 +20,8 @@ from rolewright.llm.stage import stage
 
 TRAIN_ROWS = 4000
 STEM_CHARS = (3, 4, 5, 6, 7, 8)
+#: A learned stem stands in so many toxic texts at least, in this share of its texts, and by chance alone no more often than this.
+STEM_TEXTS, STEM_PURITY, STEM_CHANCE = 4, 0.97, 0.001
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 
 #: Whole words by class; insults are beginnings of words as well.
@@ -169,10 +171,19 @@ def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64())], ["stem", "toxic", "clean"])
 
 
-def choose_stems(rows: list[tuple[str, int, int]], toxic: int, share: float = 0.02, least: int = 4, purity: float = 0.97) -> tuple[str, ...]:
-    """Of (stem, toxic texts, clean texts): the shortest stems that mark toxic texts, frequent and pure enough, each made longer as long as
+def marks_toxic(toxic: int, clean: int) -> Column:
+    """Whether a stem marks toxic texts, by its columns ``toxic`` and ``clean``; of all texts so many are either. That a stem which has nothing to do with the label is so much on one side
+    has, by Chernoff's bound on the binomial tail, a chance of STEM_CHANCE at most. No share of all toxic texts is asked for: markers of a language with few of them are learned too."""
+    t, c = F.col("toxic").cast("double"), F.col("clean").cast("double")
+    base = toxic / (toxic + clean)
+    against = t * F.log(t / ((t + c) * F.lit(base))) + F.when(c > 0, c * F.log(c / ((t + c) * F.lit(1 - base)))).otherwise(0.0)
+    return (t >= STEM_TEXTS) & (t >= STEM_PURITY * (t + c)) & (t > base * (t + c)) & (against >= -np.log(STEM_CHANCE).item())
+
+
+def choose_stems(rows: list[tuple[str, int]]) -> tuple[str, ...]:
+    """Of (stem, toxic texts) that mark toxic texts: the shortest, each made longer as long as
     one longer stem stands for nearly all its texts, so that a stem says no less than the labels support."""
-    good = {stem: t for stem, t, c in rows if t >= max(least, share * toxic) and t >= purity * (t + c)}
+    good = dict(rows)
     chosen: set[str] = set()
     for stem in sorted(good, key=lambda s: (len(s), s)):
         if any(stem[:n] in good for n in STEM_CHARS if n < len(stem)):
@@ -198,8 +209,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn_where: Column, train_rows: int
     if not toxic or not clean:
         return Model()
     counted = sample.mapInArrow(_beginnings, "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    often = counted.where(F.col("toxic") >= max(4, 0.02 * toxic)).where("toxic >= 0.97 * (toxic + clean)")  # at most 50 stems a text on average
-    stems = tuple(sorted(set(INSULTS) | set(choose_stems([tuple(r) for r in often.collect()], toxic))))
+    often = counted.where(marks_toxic(toxic, clean)).select("stem", "toxic")  # at most a quarter of the different stems of the sample's toxic texts
+    stems = tuple(sorted(set(INSULTS) | set(choose_stems([tuple(r) for r in often.collect()]))))
     seen = _scored(sample, stems).toArrow()
     x, y = seen["evidence"].to_numpy(), seen["toxic"].to_numpy(zero_copy_only=False).astype(float)
     x = 1 - np.exp(-np.maximum(x, 0))

@@ -124,6 +124,31 @@ def test_toxicity_learns_stems_and_scores(spark):
     assert toxicity.fit(X.table(spark, []), known.limit(0), F.lit(True)) == toxicity.Model()
 
 
+def test_toxicity_learns_markers_of_a_language_with_few_toxic_texts(spark):
+    words = "the of and in to with on at by from this that for as".split()
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(2000):
+        text = " ".join(rng.choice(words, 20)) + f" u{i}."
+        # 300 toxic texts of one language, 6 of another; "zweif" stands in four toxic and four clean texts
+        text += " Such an idiot." if i < 300 else " Un bocoran del." if i < 306 else ""
+        rows.append((i, text + (" zweifel" if 298 <= i < 302 or 1000 <= i < 1004 else "")))
+    known = spark.createDataFrame([(i, int(i < 306)) for i in range(2000)], "doc_id long, toxic int")
+    stems = toxicity.fit(X.table(spark, rows), known, F.lit(True)).stems
+    assert any(s.startswith("boc") for s in stems) and not any(s.startswith("zwe") for s in stems)
+
+
+def test_toxicity_recall_by_language(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    rows = QUERIES["op7_toxicity"](spark, sf).where("held_out").join(labels, "doc_id").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    share = F.avg("predicted").alias("share")
+    got = {(r.lang, r.toxic): r.share for r in rows.where("toxic is not null").groupBy("lang", "toxic").agg(share).collect()}
+    print(got)
+    assert all(got[lang, 1] >= least for lang, least in {"en": 0.9, "fr": 0.8, "es": 0.8, "de": 0.5}.items())
+    assert all(got[lang, 0] <= 0.02 for lang in ("en", "fr", "es", "de"))
+
+
 def test_toxicity_query_on_held_out_rows(spark):
     rows = QUERIES["op7_toxicity"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
     right = rows.where("held_out").agg(F.avg((F.col("predicted") == F.col("toxic")).cast("int"))).first()[0]
