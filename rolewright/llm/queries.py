@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolewright.llm import decontaminate, language_id, line_dedup, nearest, ngram_join, packing, suffix_dedup, token_counts, toxicity, url_filter
+from rolewright.llm import decontaminate, exact_dedup, fill_in_middle, language_id, line_dedup, nearest, ngram_join, packing, spelling, suffix_dedup, token_counts, toxicity, url_filter
 from rolewright.llm.oracles import ORACLES as ORACLES
 from rolewright.llm.stage import prepare
 
@@ -65,6 +65,21 @@ def op2_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal texts of all documents after white space is normalised: who stays, how many there are, and the hash of the text."""
+    return exact_dedup.digest(exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents, one letter taken out of one run in 97, with their near words, forms and roots."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), spoil=spelling.SPOIL)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut at line ends and reordered, with the hash of the text that is rebuilt from the output."""
+    return fill_in_middle.digest(fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"), unit="line", seed=7))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_nearest_vectors": op2_nearest_vectors,
@@ -76,4 +91,7 @@ QUERIES: dict[str, Query] = {
     "op8_language_id": op8_language_id,
     "op9_url_filter": op9_url_filter,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
