@@ -1,7 +1,7 @@
 """Candidate documents: sections, evidence units, experience, profile.
 
-A document is one row and its lines are an array. The line state (current section, pending job line, wrapped
-line) is a fold over that array, so the whole segmentation runs without a shuffle.
+Segmentation explodes a document into its lines once and reads the state of a line (section, pending role lines, wrapped line) off windows over the
+lines before it; everything after that works on the arrays of lines and units in the document's row.
 """
 from __future__ import annotations
 
@@ -10,7 +10,9 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
+from ..cluster import explode_once
 from ..functions import roles as R
 from ..functions import text as T
 from .languages import language_hits, language_levels
@@ -87,8 +89,6 @@ PLACES = [
 ]
 UNIT_CHARS = 420
 _ALL = 1_000_000_000
-LINE = "array<struct<section:string,block:int,raw:string>>"
-UNIT = "array<struct<section:string,text:string,context:string,kind:string>>"
 
 
 # --- Sections ------------------------------------------------------------------------------------------------
@@ -119,16 +119,17 @@ def heading(line: Column) -> Column:
     return T.bind(T.strip(T.strip_chars(T.strip(line), r"#*_=—:|•-")), short)
 
 
-def assign_cv_sections(cvs: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """``cvs`` with ``lines``: array of struct(section, block, raw), headings left out.
+def section_rows(cvs: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(cv_id, line_no, raw, section, block, row): the lines of each text with the section and the heading they stand under, by gaps and islands.
 
-    An inline heading inside the skills section is a sub-label, not a section; so is an inline languages heading
-    whose content names two or more skills ("Languages: Python, SQL"), which needs ``aliases``.
+    A heading without inline content always opens a section. One with inline content opens one too, unless a skills section is open, where it is a
+    sub-label; whether one is open is settled by the headings since the last one without inline content, the island of this line. So is an inline
+    languages heading whose content names two or more skills ("Languages: Python, SQL"), which needs ``aliases``. ``row`` carries the columns of
+    ``cvs`` once, on a line -1 of its own, so that no line is shuffled with its whole document.
     """
-    raw = T.split_lines(F.col("text"))
-    rows = cvs.withColumn("__raw", F.transform(raw, lambda s: F.struct(s.alias("raw"), heading(s).alias("h"))))
+    rows = cvs.withColumn("__lines", T.split_lines(F.coalesce("text", F.lit(""))))
     if aliases is not None:
-        inline = rows.select("cv_id", F.posexplode_outer("__raw").alias("at", "l")).where(
+        inline = rows.select("cv_id", F.posexplode_outer(F.transform("__lines", lambda s: F.struct(s.alias("raw"), heading(s).alias("h")))).alias("at", "l")).where(
             "l.h.section = 'languages' and l.h.inline <> ''"
         )
         skilled = (
@@ -142,37 +143,29 @@ def assign_cv_sections(cvs: DataFrame, aliases: DataFrame | None = None) -> Data
         rows = rows.join(skilled, "cv_id", "left")
     else:
         rows = rows.withColumn("__sub", F.lit(None).cast("array<int>"))
-    rows = rows.withColumn(
-        "__raw",
+    row = F.struct(*cvs.columns)
+    nothing = F.lit(None).cast(cvs.schema)
+    every = F.concat(
+        F.array(F.struct(F.lit(-1).alias("line_no"), F.lit("").alias("raw"), F.lit(False).alias("sub"), row.alias("row"))),
         F.transform(
-            "__raw",
-            lambda l, i: F.struct(l["raw"].alias("raw"), l["h"].alias("h"), F.coalesce(F.array_contains("__sub", i), F.lit(False)).alias("sub")),
+            "__lines",
+            lambda s, i: F.struct(i.alias("line_no"), s.alias("raw"), F.coalesce(F.array_contains("__sub", i), F.lit(False)).alias("sub"), nothing.alias("row")),
         ),
     )
-    start = F.struct(F.lit("header").alias("section"), F.lit(0).alias("block"), F.array().cast(LINE).alias("out"))
-
-    def step(acc: Column, l: Column) -> Column:
-        opens = l["h"].isNotNull() & ~((l["h"]["inline"] != "") & ((acc["section"] == "skills") | l["sub"]))
-        block = acc["block"] + 1
-        first = F.when(
-            l["h"]["inline"] != "",
-            F.array(F.struct(l["h"]["section"].alias("section"), block.alias("block"), l["h"]["inline"].alias("raw"))),
-        ).otherwise(F.array().cast(LINE))
-        return F.when(
-            opens, F.struct(l["h"]["section"].alias("section"), block.alias("block"), F.concat(acc["out"], first).alias("out"))
-        ).otherwise(
-            F.struct(
-                acc["section"].alias("section"),
-                acc["block"].alias("block"),
-                F.concat(
-                    acc["out"],
-                    F.array(F.struct(acc["section"].alias("section"), acc["block"].alias("block"), l["raw"].alias("raw"))),
-                ).alias("out"),
-            )
-        )
-
-    lines = F.aggregate("__raw", start, step, lambda acc: F.filter(acc["out"], lambda x: F.trim(x["raw"]) != ""))
-    return rows.withColumn("lines", lines).drop("__raw", "__sub")
+    lines = rows.select("cv_id", explode_once(every).alias("l")).select("cv_id", "l.*").withColumn("h", F.when(F.col("line_no") >= 0, heading(F.col("raw"))))
+    lines = lines.withColumns(
+        {"plain": F.coalesce(F.col("h.inline") == "", F.lit(False)), "inline": F.coalesce((F.col("h.inline") != "") & ~F.col("sub"), F.lit(False))}
+    )
+    document = W.partitionBy("cv_id").orderBy("line_no")
+    lines = lines.withColumn("island", F.count_if("plain").over(document))
+    above = W.partitionBy("cv_id", "island").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
+    of_skills = (F.col("plain") | F.col("inline")) & (F.col("h.section") == "skills")
+    in_skills = F.coalesce(F.bool_or(of_skills).over(above), F.lit(False))
+    lines = lines.withColumn("opens", F.col("plain") | (F.col("inline") & ~in_skills))
+    section = F.coalesce(F.last(F.when(F.col("opens"), F.col("h.section")), ignorenulls=True).over(document), F.lit("header"))
+    raw = F.when(F.col("opens"), F.col("h.inline")).otherwise(F.col("raw")).alias("raw")
+    lines = lines.select("cv_id", "line_no", raw, section.alias("section"), F.count_if("opens").over(document).cast("int").alias("block"), "row")
+    return lines.where("line_no < 0 or trim(raw) <> ''")
 
 
 def section_lines(lines: Column, section: str) -> Column:
@@ -198,143 +191,138 @@ def looks_like_meta(line: Column) -> Column:
 
 
 # --- Units -----------------------------------------------------------------------------------------------------
-def build_units(sectioned: DataFrame) -> DataFrame:
-    """``sectioned`` plus ``units``: array of struct(unit_no, unit_id, section, text, context, kind)."""
-    facts = F.transform(
-        F.filter("lines", lambda l: l["section"] != "header"),
-        lambda l: F.struct(l["section"].alias("section"), l["block"].alias("block"), T.bullet_parts(l["raw"]).alias("b")),
-    )
-    facts = F.transform(
-        facts,
-        lambda l: F.struct(
-            l["section"].alias("section"),
-            l["block"].alias("block"),
-            l["b"]["text"].alias("text"),
-            l["b"]["is_bullet"].alias("is_bullet"),
-            looks_like_meta(l["b"]["text"]).alias("is_meta"),
-            T.word_count(l["b"]["text"]).alias("words"),
-            l["b"]["text"].rlike(r"^\p{Ll}").alias("lower"),
-            l["b"]["text"].rlike(YEAR).alias("year"),
-            (l["b"]["text"].rlike(YEAR) | T.fold(l["b"]["text"]).rlike(DEGREE_LINE)).alias("starts"),
-        ),
+def unit_rows(lines: DataFrame) -> DataFrame:
+    """``section_rows`` with ``unit``, the number of the evidence unit that the line belongs to (null: none), ``opens_unit``, ``piece``, what the line adds to its text, ``context``
+    and ``entry``: whether an experience entry starts here.
+
+    Every state of a section is the last line that sets it, so each is one window over the lines of the block. A unit of work is open after a bullet
+    or a sentence of six words, closed after a role line, and left as it was by a short line that continues. An education entry has a year after a line
+    with one, and has none after a degree line without one.
+    """
+    content = (F.col("line_no") >= 0) & (F.col("section") != "header")
+    x = lines.withColumn("b", T.bullet_parts(F.col("raw")))
+    x = x.select(*lines.columns, F.col("b.is_bullet").alias("is_bullet"), F.when(content & (F.col("b.text") != ""), F.col("b.text")).alias("body"))
+    body = F.col("body")
+    x = x.withColumns(
+        {
+            "meta": F.when(content, looks_like_meta(F.coalesce("body", F.lit("")))), "words": T.word_count(body), "lower": body.rlike(r"^\p{Ll}"),
+            "year": body.rlike(YEAR), "starts": body.rlike(YEAR) | T.fold(body).rlike(DEGREE_LINE),
+        }
     )
-    out = sectioned.withColumn("__facts", F.filter(facts, lambda l: l["text"] != ""))
-    out = out.withColumn("__units", F.aggregate("__facts", _state(), _step, lambda acc: acc["units"]))
-    lines = T.split_lines(F.col("text"))
-    loose = F.filter(
-        F.transform(F.slice(lines, 2, _ALL), lambda s: T.bullet_parts(s)["text"]), lambda s: T.word_count(s) >= 5
+
+    block = W.partitionBy("cv_id", "block").orderBy("line_no")
+    before = block.rowsBetween(W.unboundedPreceding, -1)
+
+    def last(c: Column, window=before) -> Column:
+        return F.last(c, ignorenulls=True).over(window)
+
+    def state(c: Column) -> Column:
+        """The value of the last line that sets it; lines without text set nothing."""
+        return F.coalesce(last(F.when(F.col("body").isNotNull(), c)), F.lit(False))
+
+    x = x.withColumn("prev", last(F.col("body")))
+    prev, bullet, meta = F.col("prev"), F.col("is_bullet"), F.col("meta")
+    # with \s* before the end: white space there does not count
+    runs = F.col("lower") | ~prev.rlike(r"[.!?;]\s*$")
+    opened = F.when(bullet, F.lit(True)).when(meta, F.lit(False)).when(F.col("words") >= 6, F.lit(True)).when(~runs, F.lit(False))
+    dated = F.when(F.col("year"), F.lit(True)).when(F.col("starts"), F.lit(False))
+    x = x.withColumns({"runs": F.coalesce(runs, F.lit(False)), "opened": opened, "dated": dated, "prev_year": prev.rlike(YEAR)})
+    x = x.withColumns({"was_open": state(F.col("opened")), "was_dated": state(F.col("dated"))})
+
+    goes_on = ~bullet & ~meta & F.col("was_open") & F.col("runs")
+    is_role = ~bullet & ~goes_on & (meta | (F.col("words") < 6))
+    joins = prev.isNotNull() & (prev.rlike(r"[,/&-]\s*$") | F.col("lower") | F.col("body").startswith("("))
+    new_entry = prev.isNull() | (F.col("starts") & F.col("was_dated"))
+    wraps = ~F.col("prev_year") & ~prev.rlike(r"[.;:)]\s*$")
+    section = F.col("section")
+    work = section.isin("experience", "projects")
+    whole = section.isin("summary", "languages")
+    new = (
+        F.when(work, bullet | (~goes_on & ~is_role))
+        .when(section == "skills", ~joins)
+        .when(section == "education", new_entry)
+        .when(whole, prev.isNull())
+        .otherwise(F.col("words") >= 3)
     )
-    fallback = F.transform(
-        loose, lambda s: F.struct(F.lit("other").alias("section"), s.alias("text"), F.lit("").alias("context"), F.lit("line").alias("kind"))
+    more = F.when(work, goes_on).when(section == "skills", joins).when(section == "education", ~new_entry).when(whole, prev.isNotNull()).otherwise(F.lit(False))
+    has_text = F.col("body").isNotNull()
+    renews = ~bullet & ~goes_on & meta & F.col("was_open")
+    x = x.withColumns({k: has_text & F.coalesce(c, F.lit(False)) for k, c in {"opens_unit": new, "more": more, "role": work & is_role, "renews": work & renews}.items()})
+    glue = F.when(section == "languages", "; ").when((section == "education") & ~wraps, " — ").otherwise(" ")
+    piece = F.when(F.col("opens_unit"), body).when(F.col("more"), F.concat(glue, "body"))
+
+    # the last two role lines since the roles were renewed
+    x = x.withColumns({"piece": piece, "roles": F.count_if("renews").over(block)})
+    since = W.partitionBy("cv_id", "block", "roles").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
+    x = x.withColumn("pair", F.when(F.col("role"), F.struct(last(F.when(F.col("role"), F.col("body")), since).alias("a"), F.col("body").alias("b"))))
+    above = last(F.col("pair"), since)
+    context = F.when(work, F.concat_ws(" | ", above["a"], above["b"])).otherwise("")
+
+    document = W.partitionBy("cv_id").orderBy("line_no")
+    at_work = section == "experience"
+    role_above = last(F.when(at_work, meta & ~bullet), document.rowsBetween(W.unboundedPreceding, -1))
+    entry = at_work & meta & ~bullet & ~F.coalesce(role_above, F.lit(True))
+    number = F.when(F.col("opens_unit") | F.col("more"), F.count_if("opens_unit").over(document))
+    return x.select(*lines.columns, "opens_unit", "piece", number.alias("unit"), context.alias("context"), F.coalesce(entry, F.lit(False)).alias("entry"))
+
+
+def segment(cvs: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """``cvs`` with ``lines``: array of struct(section, block, raw, entry), headings left out, and ``units``: array of struct(unit_no, unit_id,
+    section, text, context, kind). One shuffle by ``cv_id`` serves all windows and both aggregates, and the work is linear in the lines of a text.
+
+    A text with fewer than three units becomes its lines of five words and more, but for the first. Long units are packed into sentence groups.
+    """
+    x = unit_rows(section_rows(cvs, aliases))
+    kind = F.when(F.col("section").isin("experience", "projects"), "bullet").when(F.col("section").isin("skills", "education", "summary", "languages"), F.col("section")).otherwise("line")
+    line = F.struct("line_no", F.struct("section", "block", "raw", "entry").alias("l"))
+    unit = F.struct("section", "context", kind.alias("kind"))
+    of_unit = x.groupBy("cv_id", "unit").agg(
+        F.first("row", ignorenulls=True).alias("row"),
+        F.collect_list(F.when(F.col("line_no") >= 0, line)).alias("lines"),
+        F.array_sort(F.collect_list(F.when(F.col("unit").isNotNull(), F.struct("line_no", "piece")))).alias("pieces"),
+        F.first(F.when(F.col("opens_unit"), unit), ignorenulls=True).alias("u"),
     )
-    out = out.withColumn("__units", F.when(F.size("__units") < 3, fallback).otherwise(F.col("__units")))
-    packed = F.flatten(
-        F.transform(
-            "__units",
-            lambda u: F.transform(
-                pack_sentences(F.trim(u["text"]), UNIT_CHARS),
-                lambda t: F.struct(u["section"].alias("section"), t.alias("text"), u["context"].alias("context"), u["kind"].alias("kind")),
-            ),
-        )
+    text = F.array_join(F.transform("pieces", lambda p: p["piece"]), "")
+    made = F.when(F.col("unit").isNotNull(), F.struct("unit", F.col("u.section").alias("section"), text.alias("text"), F.col("u.context").alias("context"), F.col("u.kind").alias("kind")))
+    whole = of_unit.select("cv_id", "row", "lines", made.alias("made")).groupBy("cv_id").agg(
+        F.first("row", ignorenulls=True).alias("row"), F.flatten(F.collect_list("lines")).alias("lines"), F.collect_list("made").alias("made")
     )
-    kept = F.filter(packed, lambda u: F.length(u["text"]) >= 3)
-    return out.withColumn(
-        "units",
-        F.transform(
-            kept,
-            lambda u, i: F.struct(
-                (i + 1).cast("int").alias("unit_no"), F.concat(F.lit("E"), (i + 1).cast("string")).alias("unit_id"),
-                u["section"].alias("section"), u["text"].alias("text"), u["context"].alias("context"), u["kind"].alias("kind"),
-            ),
-        ),
-    ).drop("__facts", "__units")
+    out = whole.select("row.*", F.transform(F.array_sort("lines"), lambda l: l["l"]).alias("lines"), F.array_sort("made").alias("__made"))
+    return _with_units(out, cvs.columns)
 
 
-def _state() -> Column:
-    return F.struct(
-        F.array().cast(UNIT).alias("units"),
-        F.array().cast("array<string>").alias("meta"),
-        F.lit(False).alias("open"),
-        F.lit(False).alias("year"),
-        F.lit("").alias("last"),
-        F.lit(-1).alias("block"),
+def _with_units(out: DataFrame, columns: list[str]) -> DataFrame:
+    solid = F.filter("__made", lambda u: (u["kind"] != "skills") | (F.length(u["text"]) >= 2))
+    raw = F.transform(solid, lambda u: F.struct(u["section"].alias("section"), u["text"].alias("text"), u["context"].alias("context"), u["kind"].alias("kind")))
+    lines = T.split_lines(F.coalesce("text", F.lit("")))
+    loose = F.filter(F.transform(F.slice(lines, 2, _ALL), lambda s: T.bullet_parts(s)["text"]), lambda s: T.word_count(s) >= 5)
+    fallback = F.transform(
+        loose, lambda s: F.struct(F.lit("other").alias("section"), s.alias("text"), F.lit("").alias("context"), F.lit("line").alias("kind"))
     )
 
-
-def _step(acc: Column, l: Column) -> Column:
-    """One line of the segmentation. ``open`` means the last unit may be continued, ``meta`` holds the role and
-    company lines above the next bullet, ``year`` and ``last`` describe the current education entry."""
-    fresh = acc["block"] != l["block"]
-    meta = F.when(fresh, F.array().cast("array<string>")).otherwise(acc["meta"])
-    is_open = F.when(fresh, F.lit(False)).otherwise(acc["open"])
-    no_meta = F.array().cast("array<string>")
-    tail = F.try_element_at(acc["units"], F.lit(-1))
-
-    def state(units, meta=no_meta, is_open=F.lit(False), year=F.lit(False), last=F.lit("")):
-        return F.struct(
-            units.alias("units"), meta.alias("meta"), is_open.alias("open"), year.alias("year"), last.alias("last"), l["block"].alias("block")
-        )
-
-    def unit(text: Column, context: Column, kind: str) -> Column:
-        return F.struct(l["section"].alias("section"), text.alias("text"), context.alias("context"), F.lit(kind).alias("kind"))
-
-    def added(text: Column, context: Column, kind: str) -> Column:
-        return F.concat(acc["units"], F.array(unit(text, context, kind)))
-
-    def extended(text: Column) -> Column:
-        new = F.struct(tail["section"].alias("section"), text.alias("text"), tail["context"].alias("context"), tail["kind"].alias("kind"))
-        return F.concat(F.slice(acc["units"], F.lit(1), F.size(acc["units"]) - 1), F.array(new))
-
-    def rstrip(c: Column) -> Column:
-        return F.regexp_replace(c, r"\s+$", "")
-
-    def wrapped(c: Column) -> Column:
-        return F.concat(rstrip(c), F.lit(" "), l["text"])
-
-    none = F.lit("")
-    context = F.array_join(F.slice(meta, F.greatest(F.size(meta) - 1, F.lit(1)), F.lit(2)), " | ")
-    goes_on = is_open & ~l["is_meta"] & (l["lower"] | ~rstrip(tail["text"]).rlike(r"[.!?;]$"))
-    work = (
-        F.when(l["is_bullet"], state(added(l["text"], context, "bullet"), meta, F.lit(True)))
-        .when(goes_on, state(extended(wrapped(tail["text"])), meta, F.lit(True)))
-        .when(l["is_meta"], state(acc["units"], F.concat(F.when(is_open, no_meta).otherwise(meta), F.array(l["text"]))))
-        .when(l["words"] >= 6, state(added(l["text"], context, "bullet"), meta, F.lit(True)))
-        .otherwise(state(acc["units"], F.concat(meta, F.array(l["text"]))))
-    )
-    joins = is_open & (rstrip(tail["text"]).rlike(r"[,/&-]$") | l["lower"] | l["text"].startswith("("))
-    skills = F.when(joins, state(extended(wrapped(tail["text"])), is_open=F.lit(True))).otherwise(
-        state(added(l["text"], none, "skills"), is_open=F.lit(True))
-    )
-    new_entry = ~is_open | (l["starts"] & acc["year"])
-    runs_on = ~acc["last"].rlike(YEAR) & ~rstrip(acc["last"]).rlike(r"[.;:)]$")
-    education = (
-        F.when(new_entry, state(added(l["text"], none, "education"), is_open=F.lit(True), year=l["year"], last=l["text"]))
-        .when(
-            runs_on,
-            state(extended(wrapped(tail["text"])), is_open=F.lit(True), year=acc["year"] | l["year"], last=wrapped(acc["last"])),
-        )
-        .otherwise(
-            state(
-                extended(F.concat(tail["text"], F.lit(" — "), l["text"])),
-                is_open=F.lit(True), year=acc["year"] | l["year"], last=l["text"],
+    def packs(units: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                units,
+                lambda u: F.transform(
+                    pack_sentences(F.trim(u["text"]), UNIT_CHARS),
+                    lambda t: F.struct(u["section"].alias("section"), t.alias("text"), u["context"].alias("context"), u["kind"].alias("kind")),
+                ),
             )
         )
-    )
 
-    def paragraph(kind: str, sep: str) -> Column:
-        return F.when(is_open, state(extended(F.concat(tail["text"], F.lit(sep), l["text"])), is_open=F.lit(True))).otherwise(
-            state(added(l["text"], none, kind), is_open=F.lit(True))
-        )
-
-    other = F.when(l["words"] >= 3, state(added(l["text"], none, "line"))).otherwise(state(acc["units"]))
-    return (
-        F.when(l["section"].isin("experience", "projects"), work)
-        .when(l["section"] == "skills", skills)
-        .when(l["section"] == "education", education)
-        .when(l["section"] == "summary", paragraph("summary", " "))
-        .when(l["section"] == "languages", paragraph("languages", "; "))
-        .otherwise(other)
+    out = out.withColumn("__raw", raw).withColumn("__packed", packs(F.col("__raw")))
+    # a summary counts by its sentence groups, other units as they are
+    found = F.size(F.filter("__raw", lambda u: u["kind"] != "summary")) + F.size(F.filter("__packed", lambda u: u["kind"] == "summary"))
+    kept = F.filter(F.when(found < 3, packs(fallback)).otherwise(F.col("__packed")), lambda u: F.length(u["text"]) >= 3)
+    numbered = F.transform(
+        kept,
+        lambda u, i: F.struct(
+            (i + 1).cast("int").alias("unit_no"), F.concat(F.lit("E"), (i + 1).cast("string")).alias("unit_id"),
+            u["section"].alias("section"), u["text"].alias("text"), u["context"].alias("context"), u["kind"].alias("kind"),
+        ),
     )
+    return out.select(*columns, "lines", numbered.alias("units"))
 
 
 def unit_table(with_units: DataFrame) -> DataFrame:
@@ -357,28 +345,15 @@ def quality_gate(with_units: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 # --- Experience ------------------------------------------------------------------------------------------------
-def experience_entries(lines: Column) -> Column:
-    """Array of entries (arrays of lines): a role line after body text starts a new entry."""
-    start = F.struct(
-        F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("cur"), F.lit(False).alias("body")
-    )
-    facts = F.transform(
-        F.filter(lines, lambda s: F.trim(s) != ""), lambda s: F.struct(s.alias("raw"), T.bullet_parts(s).alias("b"))
-    )
-    facts = F.transform(
-        facts, lambda x: F.struct(x["raw"].alias("raw"), (~x["b"]["is_bullet"] & looks_like_meta(x["b"]["text"])).alias("meta"))
-    )
+_ENTRY = "\x1e"
 
-    def step(acc: Column, x: Column) -> Column:
-        split = x["meta"] & acc["body"] & (F.size(acc["cur"]) > 0)
-        body = F.when(split, F.lit(False)).otherwise(acc["body"]) | ~x["meta"]
-        cur = F.concat(F.when(split, F.array().cast("array<string>")).otherwise(acc["cur"]), F.array(x["raw"]))
-        done = F.when(split, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"])
-        return F.struct(done.alias("done"), cur.alias("cur"), body.alias("body"))
 
-    return F.aggregate(
-        facts, start, step, lambda acc: F.when(F.size(acc["cur"]) > 0, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"])
-    )
+def experience_entries(lines: Column) -> Column:
+    """Array of entries (arrays of lines) of the ``lines`` of ``segment``: a role line after body text starts a new entry."""
+    mine = F.filter(lines, lambda l: l["section"] == "experience")
+    marked = F.transform(mine, lambda l: F.concat(F.when(l["entry"], F.lit(_ENTRY)).otherwise(F.lit("")), F.translate(l["raw"], _ENTRY, " ")))
+    entries = F.transform(F.split(F.array_join(marked, "\n"), f"\n{_ENTRY}"), lambda e: F.split(e, "\n"))
+    return F.when(F.size(mine) > 0, entries).otherwise(F.array().cast("array<array<string>>"))
 
 
 def _month_index(m: Column, month: int, number: int, year: int) -> Column:
@@ -427,7 +402,7 @@ def experience_months(sectioned: DataFrame, as_of: date) -> DataFrame:
     """``sectioned`` plus ``years_experience`` and ``internship_months``. Undated entries count by their stated
     number of months; those all start at month zero, so they overlap."""
     entries = F.transform(
-        experience_entries(section_lines(F.col("lines"), "experience")), lambda e: T.fold(F.array_join(e, "\n"))
+        experience_entries(F.col("lines")), lambda e: T.fold(F.array_join(e, "\n"))
     )
     out = sectioned.withColumn("__entries", entries)
     stated = F.transform(
@@ -520,7 +495,7 @@ def candidate_seniority(student: Column, years: Column) -> Column:
 
 
 def build_profiles(with_units: DataFrame, skills: DataFrame, as_of: date) -> DataFrame:
-    """One profile row per candidate from ``build_units`` output and ``skill_counts``."""
+    """One profile row per candidate from ``segment`` output and ``skill_counts``."""
     x = experience_months(with_units, as_of).join(skills, "cv_id", "left")
     x = x.withColumn("skills", F.coalesce("skills", F.array().cast("array<string>")))
     headline, location = header_facts(section_lines(F.col("lines"), "header"))
@@ -633,4 +608,4 @@ def prepare(cvs: DataFrame, aliases: DataFrame | None) -> DataFrame:
     if aliases is not None:
         found = name_candidates(clean, ["cv_id"], "text")
         known = tag_mentions(found, ["cv_id", "line"], "line", aliases).select("cv_id", "line").distinct()
-    return build_units(assign_cv_sections(redact(clean, "text", known, ["cv_id"]), aliases))
+    return segment(redact(clean, "text", known, ["cv_id"]), aliases)

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from ..cluster import cut_lineage, shared_folder
 from ..functions import text as T
 from ..functions import vocab as V
-from ..operators import cv as C
 from ..operators import mentions as M
 from ..operators import postings as P
 from ..sources import copied, feeds
@@ -156,14 +155,6 @@ def content_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.content_chunks(_sectioned_postings(spark, sf_dir)).groupBy("job_id").agg(F.count(F.lit(1)).alias("n_chunks"))
 
 
-def cv_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as the experience section of a candidate text."""
-    d = texts(spark, sf_dir, "documents")
-    text = F.concat(F.lit("Jane Doe\n\nExperience\nEngineer | Acme | 2019 - 2021\n"), "text", F.lit("\nSkills: SQL, Python\nEducation\nMaster 2018"))
-    cvs = d.select(F.col("doc_id").cast("string").alias("cv_id"), text.alias("text"))
-    return C.section_counts(C.unit_table(C.build_units(C.assign_cv_sections(cvs))))
-
-
 def _arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return jobs.read_landing(spark, sf_dir, table(spark, sf_dir, name).schema, "parquet", only=f"{name}.parquet")
 
@@ -214,7 +205,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         feed_greenhouse, feed_lever, feed_ashby, feed_remotive, feed_arbeitnow, board_resolution, pasted_postings, captured_postings, copied_pages,
-        posting_sections, posting_facts, content_chunks, cv_units, stream_upsert, stage_windows, stream_triage,
+        posting_sections, posting_facts, content_chunks, stream_upsert, stage_windows, stream_triage,
     )
 }
 
