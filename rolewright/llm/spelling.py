@@ -3,8 +3,9 @@
 The grams of a word are its bigrams, ordered from rare to common over all words. Its prefix is the three rarest of them (and any as rare as the third); among three bigrams two never
 overlap, and of all such pairs dynamic programming takes the rarest as the word's pivots. One edit spoils at most one of two disjoint grams. So of two words one edit apart, the one whose prefix ends
 earlier in the order has a pivot that the edit leaves alone, and that pivot is in the other's prefix: pivots are joined with prefixes, nothing else is. The position limit of one edit is used to the
-full: the edit lies either behind the untouched pivot, then both words are equal up to its end, or before it, then they are equal from its start on. The join key holds
-the place and that part of the word, and what meets is verified.
+full: the edit lies either behind the untouched pivot, then both words are equal up to its end, or before it, then they are equal from its start on; and in what lies on the side of the
+edit, either the half next to the pivot or the half away from it is untouched. The join key holds the place, the untouched side and the untouched half, so few words meet that are not
+near, however many begin or end alike; what meets is verified.
 
 Words are runs of Latin letters up to U+00FF, so there are at most 90 x 90 bigrams: their counts are the only thing that is sent to every task.
 """
@@ -12,7 +13,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +25,9 @@ LETTERS = r"[A-Za-zÀ-ÿ]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GRAM, PREFIX_GRAMS = 2, 3
 MIN_LENGTH, MIN_COUNT, SPOIL = 5, 3, 97
-_KEYS = "pivot boolean, key string, last int, word string"
+#: Words whose keys are made at a time.
+KEYED_WORDS = 4096
+_KEYS = "pivot boolean, key long, last int, word string"
 
 
 def spoiled(doc_id: Column, run: Column, every: int) -> Column:
@@ -65,27 +70,46 @@ def pivots(ranks: list[int], weights: list[int], prefix: list[int]) -> tuple[int
     return found[-2], found[-1]
 
 
+def _places(word: str, i: int, slack: int) -> set[str]:
+    """Keys of the gram at place i: what is equal in two words if one edit leaves the gram alone. A side of m letters has halves of m // 2 letters next to the gram and the rest
+    away from it; the other word's side has up to ``slack`` letters more or fewer."""
+    n, end = len(word), i + GRAM
+    out = set()
+    for m in range(max(0, n - end - slack), n - end + slack + 1):
+        inner, outer = m // 2, m - m // 2
+        if inner <= n - end:
+            out.add(f"{i}<{word[: end + inner]}")
+        if 0 < outer <= n - end:
+            out.add(f"{i}<{word[:end]}<{word[n - outer :]}")
+    for m in range(max(0, i - slack), i + slack + 1):
+        inner, outer = m // 2, m - m // 2
+        if inner <= i:
+            out.add(f"{n - i}>{word[i - inner :]}")
+        if 0 < outer <= i:
+            out.add(f"{n - i}>{word[:outer]}>{word[i:]}")
+    return out
+
+
 def _keyed(counts: dict[str, int]):
     order = {g: k for k, g in enumerate(sorted(counts, key=lambda g: (counts[g], g)))}
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            role, key, last, words = [], [], [], []
-            for word in batch.column(0).to_pylist():
-                grams = [word[i : i + GRAM] for i in range(len(word) - GRAM + 1)]
-                ranks = [order[g] for g in grams]
-                end = sorted(ranks)[PREFIX_GRAMS - 1]
-                prefix = [i for i, r in enumerate(ranks) if r <= end]
-                for i in prefix:
-                    role += [False, False]
-                    key += [f"{i}<{word[: i + GRAM]}", f"{len(word) - i}>{word[i:]}"]
-                for i in pivots(ranks, [counts[g] for g in grams], prefix):
-                    role += [True, True]
-                    key += [f"{i}<{word[: i + GRAM]}", f"{len(word) - i}>{word[i:]}"]
-                more = len(role) - len(words)
-                last += [end] * more
-                words += [word] * more
-            yield pa.RecordBatch.from_arrays([pa.array(role, pa.bool_()), pa.array(key, pa.string()), pa.array(last, pa.int32()), pa.array(words, pa.string())], [c.split()[0] for c in _KEYS.split(", ")])
+            for start in range(0, batch.num_rows, KEYED_WORDS):
+                role, key, last, words = [], [], [], []
+                for word in batch.column(0).slice(start, KEYED_WORDS).to_pylist():
+                    grams = [word[i : i + GRAM] for i in range(len(word) - GRAM + 1)]
+                    ranks = [order[g] for g in grams]
+                    end = sorted(ranks)[PREFIX_GRAMS - 1]
+                    prefix = [i for i, r in enumerate(ranks) if r <= end]
+                    met = set().union(*(_places(word, i, 1) for i in prefix))
+                    own = set().union(*(_places(word, i, 0) for i in pivots(ranks, [counts[g] for g in grams], prefix)))
+                    key += [xxhash.xxh3_64_intdigest(k) for k in (*met, *own)]
+                    role += [False] * len(met) + [True] * len(own)
+                    last += [end] * (len(met) + len(own))
+                    words += [word] * (len(met) + len(own))
+                hashed = np.array(key, np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(role, pa.bool_()), pa.array(hashed), pa.array(last, pa.int32()), pa.array(words, pa.string())], [c.split()[0] for c in _KEYS.split(", ")])
 
     return keyed
 
