@@ -70,37 +70,55 @@ WINDOW_ROWS = 2_000_000
 
 
 def rank_all(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, window_rows: int = WINDOW_ROWS) -> DataFrame:
-    """``row_number() over (partition by keys order by order)`` for groups of any size.
+    """``row_number() over (partition by keys order by order)`` for groups of any size, see ``running_sums``."""
+    return running_sums(df, keys, order, {name: F.lit(1)}, window_rows)
+
+
+def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: dict[str, Column], window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """``sum(c) over (partition by keys order by order)``, the row itself included, for each named column of whole numbers and groups of any size. The
+    order has to be total.
 
     The input is materialised once. When the largest group fits one task (``window_rows``) a plain window
-    numbers it. Otherwise the rows are range-partitioned by (keys, order), so a hot key spans many tasks: each
-    task numbers its own stretch, and the offset of a stretch is the number of rows of that key in earlier
-    partitions, read from a small (partition, key) count table. The range-partitioned rows are materialised
-    too, because the counts and the numbering must see identical partition bounds.
+    sums it up. Otherwise the rows are range-partitioned by (keys, order), so a hot key spans many tasks: each
+    task sums its own stretch, and the offset of a stretch is the sum of that key in earlier
+    partitions, read from a small (partition, key) table. The range-partitioned rows are materialised
+    too, because the offsets and the sums must see identical partition bounds.
     """
     rows = cut_lineage(df)
     largest = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    whole = {n: F.sum(c.cast("long")) for n, c in sums.items()}
+    upto = (W.unboundedPreceding, W.currentRow)
     if largest <= window_rows:
-        return rows.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long"))
+        every = W.partitionBy(*keys).orderBy(*order).rowsBetween(*upto)
+        return rows.withColumns({n: c.over(every) for n, c in whole.items()})
     part = "__part"
     ordered = cut_lineage(
         rows.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn(part, F.spark_partition_id())
     )
-    local = W.partitionBy(part, *keys).orderBy(*order)
+    local = W.partitionBy(part, *keys).orderBy(*order).rowsBetween(*upto)
     before = W.partitionBy(*keys).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        ordered.groupBy(part, *keys)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-        .where(F.col("__before") > 0)
-        .select(part, *keys, "__before")
-    )
-    return (
-        ordered.withColumn(name, F.row_number().over(local))
-        .join(offsets, [part, *keys], "left")
-        .withColumn(name, (F.col(name) + F.coalesce(F.col("__before"), F.lit(0))).cast("long"))
-        .drop(part, "__before")
+    totals = ordered.groupBy(part, *keys).agg(*[c.alias(f"__n_{n}") for n, c in whole.items()])
+    offsets = totals.select(part, *keys, *[F.coalesce(F.sum(f"__n_{n}").over(before), F.lit(0)).alias(f"__before_{n}") for n in sums])
+    summed = ordered.withColumns({n: c.over(local) for n, c in whole.items()}).join(offsets, [part, *keys])
+    return summed.withColumns({n: F.col(n) + F.col(f"__before_{n}") for n in sums}).drop(part, *[f"__before_{n}" for n in sums])
+
+
+def first_absent(owners: DataFrame, present: DataFrame, key: str, k: int, sums: Sequence[str] = ()) -> DataFrame:
+    """(key, seq, nth and the ``sums``): the first ``k`` places, from 1 on, that an owner does not hold.
+
+    ``present(key, seq, rank, ...)`` holds the places of each owner with their rank by place, so ``seq - rank`` places before it are absent; the j-th absent
+    place lies behind all present ones with fewer than j absent ones before them. So counts by that number are all that is needed, at most ``k`` an
+    owner, whatever an owner holds. ``sums`` are 0/1 columns of ``present``, summed over the places before.
+    """
+    counted = (
+        present.withColumn("nth", F.col("seq") - F.col("rank") + 1).where(F.col("nth") <= k)
+        .groupBy(key, "nth").agg(F.count(F.lit(1)).alias("__n"), *[F.sum(F.col(c).cast("long")).alias(c) for c in sums])
     )
+    places = owners.select(key).distinct().select(key, F.explode(F.sequence(F.lit(1).cast("long"), F.lit(k).cast("long"))).alias("nth"))
+    upto = W.partitionBy(key).orderBy("nth")
+    every = places.join(counted, [key, "nth"], "left")
+    total = lambda c: F.coalesce(F.sum(c).over(upto), F.lit(0))
+    return every.select(key, (F.col("nth") + total("__n")).alias("seq"), "nth", *[total(c).alias(c) for c in sums])
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import checked_broadcast, cut_lineage, explode_once, rank_all, top_k
+from ..cluster import checked_broadcast, cut_lineage, explode_once, first_absent, rank_all, running_sums, top_k
 from ..functions import text as T
-from .triage import skewed_join
+from .triage import pool_places, skewed_join
 
 K1, B, QUERY_WEIGHT_CAP = 1.4, 0.75, 3
 RRF_C, SHORTLIST, BEST_LINES = 60, 12, 8
@@ -154,35 +154,76 @@ def tfidf_cosine(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return scored.select(F.col("cv_id").cast(types["cv_id"]), F.col("job_id").cast(types["job_id"]), "cosine")
 
 
-def line_cosines(pairs: DataFrame, chunks: DataFrame, units: DataFrame, scope: str = "pair") -> DataFrame:
-    """(cv_id, job_id, chunk_no, unit_no, cosine) inside given pairs, for lines that share a term.
+def line_cosines(pairs: DataFrame | None, chunks: DataFrame, units: DataFrame, scope: str = "pair") -> DataFrame:
+    """(cv_id, job_id, chunk_no, unit_no, cosine) inside given pairs, for lines that share a term. Without ``pairs`` every candidate meets
+    every posting with which it shares a term.
 
     ``chunks(job_id, chunk_no, terms)``, ``units(cv_id, unit_no, terms)``. With ``scope='pair'`` a term's document
-    frequency counts the lines of the one posting and the one candidate; with ``'corpus'`` all lines count and
+    frequency counts the lines of the one posting and the one candidate; with ``'corpus'`` all lines of the pairs count and
     each vector is computed once, which is the choice for large pair tables.
+
+    Pair statistics need no row for a term that only one side has. With g = 1 + ln tf, L = ln(1 + lines of both) + 1 and d = ln(1 + df on the
+    own side), the squared norm of a line is the sum of (g (L - d))^2 = L^2 sum(g^2) - 2 L sum(g^2 d) + sum(g^2 d^2): three sums a line, made once. Shared
+    terms, whose df counts both sides, correct it, and they alone are joined.
     """
-    pairs = pairs.select("cv_id", "job_id").distinct()
-    a = term_frequencies(chunks.join(pairs, "job_id", "left_semi"), ["job_id", "chunk_no"], "terms")
-    b = term_frequencies(units.join(pairs, "cv_id", "left_semi"), ["cv_id", "unit_no"], "terms")
+    if pairs is not None:
+        pairs = pairs.select("cv_id", "job_id").distinct()
+        chunks, units = chunks.join(pairs, "job_id", "left_semi"), units.join(pairs, "cv_id", "left_semi")
     if scope == "corpus":
+        a = term_frequencies(chunks, ["job_id", "chunk_no"], "terms")
+        b = term_frequencies(units, ["cv_id", "unit_no"], "terms")
         n = chunks.select(F.lit(1)).unionAll(units.select(F.lit(1))).agg(F.count(F.lit(1))).scalar()
         df = a.select("term").unionAll(b.select("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        va = _unit_vectors(a.join(df, "term"), ["job_id", "chunk_no"], n)
-        vb = _unit_vectors(b.join(df, "term"), ["cv_id", "unit_no"], n)
-        left = pairs.join(va, "job_id").withColumnRenamed("w", "wa")
-        return _dots(left, vb.withColumnRenamed("w", "wb"), ["cv_id", "term"])
-    na = chunks.groupBy("job_id").agg(F.count(F.lit(1)).alias("na"))
-    nb = units.groupBy("cv_id").agg(F.count(F.lit(1)).alias("nb"))
-    dfa = a.groupBy("job_id", "term").agg(F.count(F.lit(1)).alias("dfa"))
-    dfb = b.groupBy("cv_id", "term").agg(F.count(F.lit(1)).alias("dfb"))
-    size = pairs.join(na, "job_id").join(nb, "cv_id").withColumn("n", F.col("na") + F.col("nb")).drop("na", "nb")
-    pair = ["cv_id", "job_id"]
-    pa = size.join(a.join(dfa, ["job_id", "term"]), "job_id").join(dfb, ["cv_id", "term"], "left")
-    pb = size.join(b.join(dfb, ["cv_id", "term"]), "cv_id").join(dfa, ["job_id", "term"], "left")
-    both = F.coalesce("dfa", F.lit(0)) + F.coalesce("dfb", F.lit(0))
-    va = _unit_vectors(pa.withColumn("df", both), [*pair, "chunk_no"], F.col("n")).withColumnRenamed("w", "wa")
-    vb = _unit_vectors(pb.withColumn("df", both), [*pair, "unit_no"], F.col("n")).withColumnRenamed("w", "wb")
-    return _dots(va, vb, [*pair, "term"])
+        va = _unit_vectors(a.join(df, "term"), ["job_id", "chunk_no"], n).withColumnRenamed("w", "wa")
+        vb = _unit_vectors(b.join(df, "term"), ["cv_id", "unit_no"], n).withColumnRenamed("w", "wb")
+        if pairs is None:
+            return _dots(skewed_join(va, vb, ["term"]))
+        return _dots(pairs.join(va, "job_id").join(vb, ["cv_id", "term"]))
+    a, b = _term_lists(chunks, "job_id", "chunk_no", "a"), _term_lists(units, "cv_id", "unit_no", "b")
+    if pairs is None:
+        shared = skewed_join(a, b, ["term"])
+    else:
+        shared = pairs.join(b, "cv_id").join(a, ["job_id", "term"])
+    own = lambda side: F.ln(1 + F.size(f"l_{side}"))
+    x = shared.withColumn("l", F.ln(1 + F.col("n_a") + F.col("n_b")) + 1).withColumn("both", F.pow(F.col("l") - F.ln(1 + F.size("l_a") + F.size("l_b")), F.lit(2)))
+    x = x.withColumns({f"more_{s}": F.col("both") - F.pow(F.col("l") - own(s), F.lit(2)) for s in "ab"})
+    no = {"chunk_no": F.lit(None).cast(chunks.schema["chunk_no"].dataType), "unit_no": F.lit(None).cast(units.schema["unit_no"].dataType)}
+
+    def entry(chunk_no: Column, unit_no: Column, v: Column) -> Column:
+        return F.struct(chunk_no.alias("chunk_no"), unit_no.alias("unit_no"), v.alias("v"))
+
+    entries = F.concat(
+        F.flatten(F.transform("l_a", lambda c: F.transform("l_b", lambda u: entry(c["no"], u["no"], c["g"] * u["g"] * F.col("both"))))),
+        F.transform("l_a", lambda c: entry(c["no"], no["unit_no"], c["g"] * c["g"] * F.col("more_a"))),
+        F.transform("l_b", lambda u: entry(no["chunk_no"], u["no"], u["g"] * u["g"] * F.col("more_b"))),
+    )
+    keys = ["cv_id", "job_id", "chunk_no", "unit_no"]
+    sums = x.select("cv_id", "job_id", "l", explode_once(entries).alias("e")).select("cv_id", "job_id", "l", "e.*")
+    sums = cut_lineage(sums.groupBy(*keys).agg(F.sum("v").alias("v"), F.first("l").alias("l")))
+
+    def norms(lists: DataFrame, owner: str, line: str, other: str, side: str) -> DataFrame:
+        mine = sums.where(F.col(other).isNull()).join(_line_sums(lists, owner, line, side), [owner, line])
+        square = F.col("l") * F.col("l") * F.col("s0") - 2 * F.col("l") * F.col("s1") + F.col("s2") + F.col("v")
+        return mine.select("cv_id", "job_id", line, F.sqrt(square).alias(f"norm_{side}"))
+
+    dots = sums.where("chunk_no is not null and unit_no is not null").select(*keys, "v")
+    dots = dots.join(norms(a, "job_id", "chunk_no", "unit_no", "a"), keys[:3]).join(norms(b, "cv_id", "unit_no", "chunk_no", "b"), ["cv_id", "job_id", "unit_no"])
+    return dots.select(*keys, (F.col("v") / (F.col("norm_a") * F.col("norm_b"))).alias("cosine"))
+
+
+def _term_lists(rows: DataFrame, owner: str, line: str, side: str) -> DataFrame:
+    """(owner, term, l_side: array of struct(no, g), n_side: lines of the owner), materialised: the lines of an owner that hold a term. An owner is one document."""
+    exploded = rows.select(owner, line, explode_once(F.col("terms")).alias("term")).where("term is not null")
+    tf = exploded.groupBy(owner, line, "term").agg(F.count(F.lit(1)).alias("tf"))
+    lists = tf.groupBy(owner, "term").agg(F.collect_list(F.struct(F.col(line).alias("no"), (1 + F.ln("tf")).alias("g"))).alias(f"l_{side}"))
+    return cut_lineage(lists.join(rows.groupBy(owner).agg(F.count(F.lit(1)).alias(f"n_{side}")), owner))
+
+
+def _line_sums(lists: DataFrame, owner: str, line: str, side: str) -> DataFrame:
+    rows = lists.select(owner, F.ln(1 + F.size(f"l_{side}")).alias("d"), explode_once(F.col(f"l_{side}")).alias("e"))
+    square = F.col("e.g") * F.col("e.g")
+    parts = rows.select(owner, F.col("e.no").alias(line), square.alias("x"), "d").groupBy(owner, line)
+    return parts.agg(F.sum("x").alias("s0"), F.sum(F.col("x") * F.col("d")).alias("s1"), F.sum(F.col("x") * F.col("d") * F.col("d")).alias("s2"))
 
 
 def _unit_vectors(rows: DataFrame, keys: list[str], n: Column) -> DataFrame:
@@ -191,8 +232,8 @@ def _unit_vectors(rows: DataFrame, keys: list[str], n: Column) -> DataFrame:
     return x.join(norm, keys).select(*keys, "term", (F.col("x") / F.col("norm")).alias("w"))
 
 
-def _dots(va: DataFrame, vb: DataFrame, on: list[str]) -> DataFrame:
-    return va.join(vb, on).groupBy("cv_id", "job_id", "chunk_no", "unit_no").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
+def _dots(matched: DataFrame) -> DataFrame:
+    return matched.groupBy("cv_id", "job_id", "chunk_no", "unit_no").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
 
 
 # --- Dense vectors -----------------------------------------------------------------------------------------------
@@ -224,12 +265,15 @@ def dense_cosines(pairs: DataFrame, chunks: DataFrame, units: DataFrame) -> Data
 
 # --- Line matching and fusion --------------------------------------------------------------------------------------
 def maxsim(pairs: DataFrame, chunks: DataFrame, cosines: DataFrame, top: int = BEST_LINES) -> DataFrame:
-    """(cv_id, job_id, semantic): mean of the best ``top`` chunk maxima; a chunk without a match counts 0."""
-    keys = ["cv_id", "job_id", "chunk_no"]
-    best = cosines.groupBy(*keys).agg(F.max("cosine").alias("best"))
-    every = pairs.select("cv_id", "job_id").distinct().join(chunks.select("job_id", "chunk_no").distinct(), "job_id")
-    scored = every.join(best, keys, "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
-    return top_k(scored, ["cv_id", "job_id"], [F.desc("best")], top).groupBy("cv_id", "job_id").agg(F.avg("best").alias("semantic"))
+    """(cv_id, job_id, semantic): mean of the best ``top`` chunk maxima; a chunk without a match counts 0. The maxima of a pair are one list, no
+    longer than its posting has chunks; chunks without a match are only counted."""
+    pair = ["cv_id", "job_id"]
+    best = cosines.groupBy(*pair, "chunk_no").agg(F.max("cosine").alias("best")).groupBy(*pair).agg(F.collect_list("best").alias("best"))
+    n = chunks.select("job_id", "chunk_no").distinct().groupBy("job_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    scored = pairs.select(*pair).distinct().join(n, "job_id").join(best, pair, "left").withColumn("best", F.coalesce("best", F.array().cast("array<double>")))
+    zeros = F.array_repeat(F.lit(0.0), F.greatest(F.lit(0), F.least(F.lit(top), F.col("n") - F.size("best"))))
+    first = F.slice(F.sort_array(F.concat("best", zeros), asc=False), 1, top)
+    return scored.select(*pair, (F.aggregate(first, F.lit(0.0), lambda s, x: s + x) / F.size(first)).alias("semantic"))
 
 
 def rrf(scores: DataFrame, lists: tuple[str, ...] = ("bm25", "semantic"), c: int = RRF_C) -> DataFrame:
@@ -257,5 +301,40 @@ def shortlist(scores: DataFrame, k: int = SHORTLIST, picked: DataFrame | None =
     return wide.where(F.col("place") <= F.greatest(F.lit(k), F.least(F.coalesce("__n", F.lit(0)), F.lit(picked_limit)))).drop("__n")
 
 
+def pool_shortlist(owners: DataFrame, docs: DataFrame, queries: DataFrame, chunks: DataFrame, units: DataFrame, k: int = SHORTLIST, digits: int | None = None) -> DataFrame:
+    """(cv_id, job_id, bm25, semantic, rrf, place): the best ``k`` postings of the whole pool for each owner, for candidates without a relevant posting.
+
+    The result is that of scoring every posting, but no row is made for a posting that shares nothing with a candidate. Postings that share a word or a
+    line term (in-word 4-grams included) are scored through the posting lists of these terms. Every other posting has score 0, so its rank follows from its place in
+    the pool and from the number of scored postings before it; and of those that share nothing at all, only the first ``k`` can be among the best. Ties are broken by
+    place in the pool (``job_id``). ``digits`` rounds both scores before they are ranked.
+    """
+    mine = owners.select("cv_id").distinct()
+    pool = pool_places(docs)
+    keyword = bm25(docs, queries.join(mine, "cv_id", "left_semi"))
+    cosines = line_cosines(None, chunks, units.join(mine, "cv_id", "left_semi"))
+    semantic = maxsim(cosines.select("cv_id", "job_id"), chunks, cosines)
+    scores = keyword.join(semantic, ["cv_id", "job_id"], "full_outer").join(pool, "job_id")
+    shown = lambda c: F.coalesce(F.round(c, digits) if digits is not None else F.col(c), F.lit(0.0))
+    scores = scores.select("cv_id", "job_id", "seq", shown("bm25").alias("bm25"), shown("semantic").alias("semantic"))
+    scores = scores.withColumns({"has_bm25": F.col("bm25") > 0, "has_semantic": F.col("semantic") > 0})
+    held = {name: F.col(f"has_{name}").cast("int") for name in ("bm25", "semantic")}
+    x = running_sums(scores, ["cv_id"], [F.col("seq")], {"rank": F.lit(1), **{f"before_{n}": c for n, c in held.items()}})
+    free = first_absent(mine, x, "cv_id", k, ["has_bm25", "has_semantic"])
+    free = skewed_join(free.withColumnsRenamed({"has_bm25": "before_bm25", "has_semantic": "before_semantic"}), pool, ["seq"])
+    for name in held:
+        x = rank_all(x, ["cv_id", f"has_{name}"], [F.desc(name), F.asc("seq")], f"rank_{name}")
+    whole = x.groupBy("cv_id").agg(*[F.sum(c).alias(f"all_{n}") for n, c in held.items()])
+    columns = ["cv_id", "job_id", "seq", "bm25", "semantic", "before_bm25", "before_semantic"]
+    nothing = F.lit(None).cast("long")
+    rows = x.select(*columns, *[F.when(F.col(f"has_{n}"), F.col(f"rank_{n}")).alias(f"scored_{n}") for n in held]).unionByName(
+        free.withColumns({"bm25": F.lit(0.0), "semantic": F.lit(0.0)}).select(*columns, *[nothing.alias(f"scored_{n}") for n in held])
+    )
+    rows = rows.join(whole, "cv_id", "left")
+    rank = {n: F.coalesce(f"scored_{n}", F.coalesce(f"all_{n}", F.lit(0)) + F.col("seq") - F.col(f"before_{n}")) for n in held}
+    fused = rows.withColumn("rrf", sum((1 / (RRF_C + r) for r in rank.values()), F.lit(0.0)))
+    return top_k(fused.select("cv_id", "job_id", "bm25", "semantic", "rrf"), ["cv_id"], [F.desc("rrf"), F.asc("job_id")], k, "place")
+
+
 def rank_by(scores: DataFrame, score: str, k: int, name: str = "rank") -> DataFrame:
     return top_k(scores, ["cv_id"], [F.desc(score), F.asc("job_id")], k, name)

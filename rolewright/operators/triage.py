@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import checked_broadcast, is_small, rank_all, spread_hot_keys, top_k
+from ..cluster import checked_broadcast, cut_lineage, first_absent, is_small, rank_all, spread_hot_keys, top_k
 from ..functions import roles as R
 from ..functions import text as T
 
@@ -52,44 +52,25 @@ def overlap_threshold(n_skills: Column) -> Column:
 def shared_skills(cv_skills: DataFrame, job_skills: DataFrame, threshold=overlap_threshold) -> DataFrame:
     """(cv_id, job_id, n_overlap, shared) for pairs with at least ``threshold(n)`` common skills.
 
-    Both inputs are one row per owner with a ``skills`` array. Skills are ordered by rarity; two sets with m
-    common members must meet within the first n - m + 1 of each, so the commonest skills of a set are never
-    joined on. A pair is taken at its rarest common skill only, so no pair is built twice.
+    Both inputs are one row per owner with a ``skills`` array. A candidate's skills are ordered by rarity; who shares m of n
+    skills shares one of the n - m + 1 rarest, so a pair is only looked at if it shares one of these. Only (owner, skill) rows meet, never whole sets: a pair's
+    common skills are the candidate's skills that the posting has a row for.
     """
-    counts = job_skills.select(F.explode("skills").alias("skill")).groupBy("skill").agg(F.count(F.lit(1)).alias("n"))
-
-    def by_rarity(df: DataFrame, owner: str) -> DataFrame:
-        n = checked_broadcast(counts)
-        return (
-            df.select(owner, F.explode(F.array_distinct("skills")).alias("skill"))
-            .join(n, "skill", "left")
-            .groupBy(owner)
-            .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "skill"))).alias("s"))
-            .select(owner, F.transform("s", lambda x: x["skill"]).alias("skills"))
-        )
-
-    cv = by_rarity(cv_skills, "cv_id").withColumn("need", threshold(F.size("skills")))
-    lowest = cv.agg(F.min("need").alias("m")).first()["m"] or 1
-    cv = cv.where(F.size("skills") >= F.col("need"))
-    left = cv.select(
-        "cv_id", "need", F.col("skills").alias("cv_set"),
-        F.explode(F.slice("skills", F.lit(1), F.size("skills") - F.col("need") + 1)).alias("skill"),
-    )
-    right = (
-        by_rarity(job_skills, "job_id")
-        .where(F.size("skills") >= lowest)
-        .select(
-            "job_id", F.col("skills").alias("job_set"),
-            F.explode(F.slice("skills", F.lit(1), F.size("skills") - (lowest - 1))).alias("skill"),
-        )
-    )
-    joined = skewed_join(right, left, ["skill"])
-    common = F.array_intersect("cv_set", "job_set")
-    return (
-        joined.withColumn("common", common)
-        .where((F.size("common") >= F.col("need")) & (F.get("common", F.lit(0)) == F.col("skill")))
-        .select("cv_id", "job_id", F.size("common").alias("n_overlap"), F.array_sort("common").alias("shared"))
+    held = job_skills.select("job_id", F.explode(F.array_distinct("skills")).alias("skill"))
+    counts = held.groupBy("skill").agg(F.count(F.lit(1)).alias("n"))
+    cv = (
+        cv_skills.select("cv_id", F.explode(F.array_distinct("skills")).alias("skill"))
+        .join(counts, "skill", "left")
+        .groupBy("cv_id")
+        .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "skill"))).alias("s"))
+        .select("cv_id", F.transform("s", lambda x: x["skill"]).alias("cv_set"))
     )
+    cv = cut_lineage(cv.withColumn("need", threshold(F.size("cv_set"))).where(F.size("cv_set") >= F.col("need")))
+    rare = cv.select("cv_id", F.explode(F.slice("cv_set", F.lit(1), F.size("cv_set") - F.col("need") + 1)).alias("skill"))
+    met = skewed_join(held, rare, ["skill"]).select("cv_id", "job_id").distinct()
+    asked = skewed_join(met, cv.select("cv_id", "need", F.explode("cv_set").alias("skill")), ["cv_id"])
+    shared = asked.join(held, ["job_id", "skill"]).groupBy("cv_id", "job_id", "need").agg(F.array_sort(F.collect_list("skill")).alias("shared"))
+    return shared.where(F.size("shared") >= F.col("need")).select("cv_id", "job_id", F.size("shared").alias("n_overlap"), "shared")
 
 
 def skewed_join(big: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -234,19 +215,17 @@ def candidates_without_match(cvs: DataFrame, triaged: DataFrame) -> DataFrame:
 def rejected_titles(cv_ids: DataFrame, triaged: DataFrame, postings: DataFrame, k: int = 40, order: tuple[str, ...] = ("job_id",)) -> DataFrame:
     """First ``k`` postings in pool order (``order``) that are not relevant, per candidate, with their ``rank``.
 
-    At most k + (number of relevant) leading postings have to be looked at for a candidate, so each candidate is
-    paired with that leading stretch of the pool only. Places in the pool are numbered over many tasks.
+    The first ``k`` places that a candidate's relevant postings leave free are found from their counts (``first_absent``), so a candidate asks for ``k`` places,
+    however many relevant postings it has; places that many candidates ask for are sliced. Places in the pool are numbered over many tasks.
     """
-    pool = postings.select("job_id", "title", *[c for c in order if c != "job_id"]).withColumn("__all", F.lit(0))
-    ordered = rank_all(pool, ["__all"], [F.col(c) for c in order], "seq", window_rows=0).select("job_id", "title", "seq")
-    n = triaged.select("cv_id", "job_id").distinct().groupBy("cv_id").agg(F.count(F.lit(1)).alias("n"))
-    need = cv_ids.select("cv_id").distinct().join(n, "cv_id", "left").select("cv_id", (F.coalesce("n", F.lit(0)) + k).alias("upto"))
-    stretch = need.select("cv_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("upto"))).alias("seq"))
-    return top_k(
-        stretch.join(ordered, "seq")
-        .join(triaged.select("cv_id", "job_id"), ["cv_id", "job_id"], "left_anti")
-        .select("cv_id", "job_id", "title", "seq"),
-        ["cv_id"],
-        [F.asc("seq")],
-        k,
-    ).drop("seq")
+    ordered = pool_places(postings, order, "title")
+    relevant = triaged.select("cv_id", "job_id").distinct().join(ordered.select("job_id", "seq"), "job_id")
+    present = rank_all(relevant, ["cv_id"], [F.col("seq")], "rank")
+    asked = first_absent(cv_ids, present, "cv_id", k).select("cv_id", "seq", F.col("nth").alias("rank"))
+    return skewed_join(asked, ordered, ["seq"]).select("cv_id", "job_id", "title", F.col("rank").cast("int").alias("rank"))
+
+
+def pool_places(postings: DataFrame, order: tuple[str, ...] = ("job_id",), *carry: str) -> DataFrame:
+    """(job_id, carry, seq): place of each posting in the pool, materialised."""
+    pool = postings.select("job_id", *carry, *[c for c in order if c != "job_id"]).withColumn("__all", F.lit(0))
+    return cut_lineage(rank_all(pool, ["__all"], [F.col(c) for c in order], "seq", window_rows=0).select("job_id", *carry, "seq"))

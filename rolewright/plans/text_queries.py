@@ -115,14 +115,14 @@ def _most(n):
     return F.greatest(F.lit(3), ((n * 4 + 9) / 10).cast("int"))
 
 
-def _overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), "text")
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("cv_id"), "text")
     return G.shared_skills(cut_lineage(_token_skills(b, "cv_id", "text")), cut_lineage(_token_skills(d, "job_id", "text")), _most)
 
 
 def skill_overlap_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _overlap_pairs(spark, sf_dir).select("cv_id", "job_id", "n_overlap")
+    return overlap_pairs(spark, sf_dir).select("cv_id", "job_id", "n_overlap")
 
 
 def _part_queries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -190,7 +190,7 @@ def tfidf_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hybrid_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triage by shared words, then BM25 and line matching inside the triaged pairs, fused by rank."""
-    pairs = cut_lineage(_overlap_pairs(spark, sf_dir).select("cv_id", "job_id"))
+    pairs = cut_lineage(overlap_pairs(spark, sf_dir).select("cv_id", "job_id"))
     docs, items = _docs(spark, sf_dir), _items(spark, sf_dir)
     wanted = pairs.select("job_id").distinct()
     lines = texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), "text").join(wanted, "job_id", "left_semi")
@@ -306,7 +306,7 @@ def _bm25_sql() -> str:
 
 
 _TFIDF = "(1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1)"
-_PAIRS_SQL = f"""
+PAIRS_SQL = f"""
       bs AS (SELECT DISTINCT item_id AS cv_id, token FROM (SELECT item_id, unnest({tokens_sql('text')}) AS token FROM benchmark)),
       ds AS (SELECT DISTINCT doc_id AS job_id, token FROM (SELECT doc_id, unnest({tokens_sql('text')}) AS token FROM documents)),
       bn AS (SELECT cv_id, greatest(3, (count(*) * 4 + 9) // 10) AS need FROM bs GROUP BY cv_id),
@@ -396,7 +396,7 @@ ORACLES = {
       f AS (SELECT conv_id, skill, array_to_string(list_sort(list(DISTINCT key)), ',') AS keys, bool_and(weak) AS weak_only,
                    arg_min(surface, place::BIGINT * 1000000000 + turn::BIGINT * 100000 + pos) FILTER (NOT member) AS plain FROM u GROUP BY ALL)
       SELECT conv_id AS cv_id, skill, ids, keys, weak_only, plain FROM ids JOIN f USING (conv_id, skill)""",
-    "skill_overlap_triage": f"WITH {_PAIRS_SQL} SELECT cv_id, job_id, n_overlap FROM pairs",
+    "skill_overlap_triage": f"WITH {PAIRS_SQL} SELECT cv_id, job_id, n_overlap FROM pairs",
     "title_match_triage": f"""WITH {_PART_MATCH_SQL} SELECT cv_id, job_id, pos, query FROM m""",
     "triage_summary": f"""WITH {_PART_MATCH_SQL}, cv AS (SELECT p_type AS cv_id FROM part UNION SELECT p_brand FROM part), n AS (SELECT count(*) AS total FROM part)
       SELECT cv.cv_id, count(m.job_id) AS relevant, total, count(m.job_id) AS by_title, 0::BIGINT AS by_skills, least(15, total)::INTEGER AS target
@@ -428,7 +428,7 @@ ORACLES = {
       s AS (SELECT a.id AS item_id, b.id AS doc_id, round(sum(a.w * b.w), 6) AS score FROM w a JOIN w b ON a.token = b.token AND a.side = 'cv' AND b.side = 'job' GROUP BY ALL),
       r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s)
       SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 5""",
-    "hybrid_shortlist": f"""WITH {_PAIRS_SQL}, {_bm25_sql()},
+    "hybrid_shortlist": f"""WITH {PAIRS_SQL}, {_bm25_sql()},
       pool AS (SELECT cv_id, job_id, len(t) AS dl FROM pairs JOIN docs ON doc_id = job_id),
       st AS (SELECT cv_id, count(*) AS n, avg(dl) AS mean FROM pool GROUP BY cv_id),
       h AS (SELECT p.cv_id, p.job_id, token, f, tf.dl FROM pairs p JOIN tf ON tf.doc_id = p.job_id JOIN q USING (token) WHERE q.item_id = p.cv_id),
