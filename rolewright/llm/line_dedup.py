@@ -118,13 +118,14 @@ def remove_repeated_lines(docs: DataFrame, run: int = RUN, gram: int = GRAM, id_
     later = windows.join(first.where(F.col("window") != _blank(run)), "window").where(F.struct("doc_id", "doc", "line") > F.col("first"))
     gone = stage(later.groupBy("doc").agg(F.collect_set(F.col("line") * run + F.col("length") - 1).alias("starts")), "repeated-lines")
     discard(found, windows)
+    # the joins that carry texts are merge joins at every size: one plan, whose cost grows as the texts do
     kinds = (("doc", T.LongType()), ("doc_id", T.LongType()), ("kept_text", T.StringType()), ("n_lines", T.LongType()), ("removed", T.ArrayType(T.IntegerType())))
     schema = T.StructType([T.StructField(*k) for k in kinds])
     if not carry:
-        return rows.join(gone, "doc", "left").select("doc_id", "text", "starts", "doc").mapInArrow(_cut(run), schema)
+        return rows.join(gone.hint("merge"), "doc", "left").select("doc_id", "text", "starts", "doc").mapInArrow(_cut(run), schema)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     whole = docs.select(F.xxhash64(F.col(id_col).cast("long"), text).alias("doc"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.struct(*carry).alias("carried"))
-    cut = whole.join(gone, "doc", "left").select("doc_id", "text", "starts", "doc", "carried")
+    cut = whole.join(gone.hint("merge"), "doc", "left").select("doc_id", "text", "starts", "doc", "carried")
     return cut.mapInArrow(_cut(run), T.StructType([*schema.fields, T.StructField("carried", whole.schema["carried"].dataType)]))
 
 

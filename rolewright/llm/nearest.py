@@ -64,9 +64,35 @@ class Tree:
         self.norms = (queries**2).sum(1)
         self.best = np.full((len(queries), k), -np.inf)
         self.rows = np.full((len(queries), k), -1)
+        self.dropped = np.full(len(queries), -np.inf)
         self._visit(self.root, np.arange(len(queries)))
         return self.rows, self.best
 
+    def ties(self) -> dict[int, np.ndarray]:
+        """After ``search``: for the queries whose k-th best score others may equal, all row numbers with that score or a better one that the same search reaches. Products of
+        matrices are not exact to the last bit, hence the small allowance."""
+        least = self.best.min(1)
+        allowance = 1e-9 * np.sqrt(self.norms * self.bound)
+        at = np.flatnonzero(np.isfinite(least) & (self.dropped >= least - allowance))
+        self.floor, self.tied = least - allowance, {i: [] for i in at.tolist()}
+        self._collect(self.root, at)
+        return {i: np.concatenate(rows) for i, rows in self.tied.items() if rows}
+
+    def _collect(self, node: _Node, at: np.ndarray) -> None:
+        if not len(at):
+            return
+        if node.rows is not None:
+            hits = self.q[at] @ self.x[node.rows].T >= self.floor[at][:, None]
+            for i, hit in zip(at.tolist(), hits, strict=True):
+                if hit.any():
+                    self.tied[i].append(node.rows[hit])
+            return
+        apart = np.sqrt(np.maximum(self.norms[at] + self.bound - 2 * (self.q[at] @ self.x[node.vantage]), 0))
+        inner = apart < node.median
+        near = np.abs(node.median - apart) <= self._reach(at)
+        self._collect(node.near, at[inner | near])
+        self._collect(node.far, at[~inner | near])
+
     def _reach(self, at: np.ndarray) -> np.ndarray:
         with np.errstate(invalid="ignore"):
             return np.sqrt(np.maximum(self.norms[at] + self.bound - 2 * self.best[at].min(1), 0)) * self.factor + 1e-9
@@ -77,7 +103,9 @@ class Tree:
         if node.rows is not None:
             score = np.concatenate((self.best[at], self.q[at] @ self.x[node.rows].T), 1)
             rows = np.concatenate((self.rows[at], np.broadcast_to(node.rows, (len(at), len(node.rows)))), 1)
-            top = np.argpartition(-score, self.k - 1, 1)[:, : self.k]
+            split = np.argpartition(-score, self.k - 1, 1)
+            top, rest = split[:, : self.k], split[:, self.k :]
+            self.dropped[at] = np.maximum(self.dropped[at], np.take_along_axis(score, rest, 1).max(1, initial=-np.inf))
             self.best[at], self.rows[at] = np.take_along_axis(score, top, 1), np.take_along_axis(rows, top, 1)
             return
         apart = np.sqrt(np.maximum(self.norms[at] + self.bound - 2 * (self.q[at] @ self.x[node.vantage]), 0))
@@ -114,9 +142,10 @@ def _search(k: int, factor: float, leaf_rows: int):
         stops = np.minimum(stops, starts + k + 1)
         tree = Tree(base[starts], leaf_rows)
         found, _ = tree.search(ask, min(k + _MARGIN, len(starts)), factor)
+        tied = tree.ties()
         out_q, out_v, out_s = [], [], []
         for i in range(len(ask)):
-            rows = found[i][found[i] >= 0]
+            rows = np.union1d(found[i][found[i] >= 0], tied[i]) if i in tied else found[i][found[i] >= 0]
             each = stops[rows] - starts[rows]
             at = np.repeat(starts[rows] - np.cumsum(each) + each, each) + np.arange(each.sum())
             score = np.repeat((base[starts[rows]] * ask[i]).sum(1), each)

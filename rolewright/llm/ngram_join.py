@@ -289,10 +289,10 @@ class _Verifier:
 def similar_documents(
     docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = B.BLOCK_BYTES, cell_rows: int = CELL_ROWS
 ) -> DataFrame:
-    """``doc, doc_id, n_shingles, component_id`` for every row. Two documents are linked when the Jaccard similarity of their sets of ``words``-word
+    """``doc, doc_id, n_shingles, component_id, root`` for every row. Two documents are linked when the Jaccard similarity of their sets of ``words``-word
     shingles is at least ``percent`` / 100; ``component_id`` is the least ``doc_id`` that links lead to.
 
-    ``doc`` is a hash of id and text. Null texts and texts without words have no shingles and no links: their component is their own id. Repeated rows are linked
+    ``doc`` is a hash of id and text; ``root`` names the component, whatever its ids are, and is null without shingles. Null texts and texts without words have no shingles and no links: their component is their own id. Repeated rows are linked
     with each other. Ids that are null take part and are never the least, unless a component has no other. Columns beside id and text
     are ignored, whatever their names.
     """
@@ -321,10 +321,10 @@ def similar_documents(
     of_set = every.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     of_set = of_set.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     least = of_set.groupBy("root").agg(F.min("least").alias("component_id"))
-    final = of_set.join(least, "root").select("set_id", "component_id")
+    final = of_set.join(least, "root").select("set_id", "component_id", "root")
     whole = every.select("doc", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_id")).alias("set_id"))
-    named = whole.where("n_shingles > 0").join(final, "set_id").select("doc", "doc_id", "n_shingles", "component_id")
-    return named.unionByName(whole.where("n_shingles = 0").select("doc", "doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    named = whole.where("n_shingles > 0").join(final, "set_id").select("doc", "doc_id", "n_shingles", "component_id", "root")
+    return named.unionByName(whole.where("n_shingles = 0").select("doc", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root")))
 
 
 def _able(shared: DataFrame, percent: int, passes: int = 2) -> DataFrame:

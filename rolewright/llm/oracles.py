@@ -13,12 +13,14 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 l AS (
   SELECT doc_id, unnest(ls) AS raw, generate_subscripts(ls, 1) AS i
   FROM (SELECT doc_id, string_split(CASE WHEN right(text, 1) = chr(10) THEN left(text, length(text) - 1) ELSE text END, chr(10)) AS ls FROM d WHERE text <> '')),
-n AS (SELECT doc_id, i, raw, {_low("trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13))")} AS t FROM l),
+n AS (SELECT doc_id, i, raw, t, len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) AS nw FROM (SELECT *, {_low("trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13))")} AS t FROM l)),
+m AS (SELECT *, lead(t, 1) OVER p AS t1, lead(t, 2) OVER p AS t2, lead(nw, 1) OVER p AS nw1 FROM n WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
 w AS (
-  SELECT doc_id, i, t || chr(10) || lead(t, 1) OVER p || chr(10) || lead(t, 2) OVER p AS w
-  FROM n WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
-r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS k FROM w WHERE w IS NOT NULL AND w <> chr(10) || chr(10)),
-g AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS i, TRUE AS gone FROM r WHERE k > 1),
+  SELECT doc_id, i, 3 AS n, t || chr(10) || t1 || chr(10) || t2 AS w FROM m WHERE t || t1 || t2 <> ''
+  UNION ALL SELECT doc_id, i, 2, t || chr(10) || t1 FROM m WHERE nw + nw1 >= 50
+  UNION ALL SELECT doc_id, i, 1, t FROM m WHERE nw >= 50),
+r AS (SELECT doc_id, i, n, row_number() OVER (PARTITION BY n, w ORDER BY doc_id, i) AS k FROM w),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS i, TRUE AS gone FROM r WHERE k > 1),
 k AS (
   SELECT n.doc_id, count(*) AS n_lines, count(gone) AS n_removed, string_agg(raw, chr(10) ORDER BY n.i) FILTER (gone IS NULL) AS kept
   FROM n LEFT JOIN g ON n.doc_id = g.doc_id AND n.i = g.i GROUP BY n.doc_id)

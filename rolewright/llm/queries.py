@@ -47,7 +47,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar_documents(table(spark, sf_dir, "documents"), words=3, percent=90).drop("doc")
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"), words=3, percent=90).drop("doc", "root")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents"))
+    found = line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents"), words=line_dedup.WORDS)
     return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

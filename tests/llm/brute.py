@@ -92,18 +92,19 @@ def contaminated(docs, items, width=10):
     return out
 
 
-def removed_lines(rows, run):
-    """rows: (doc_id, text, hash of both)."""
+def removed_lines(rows, run, words=None):
+    """rows: (doc_id, text, hash of both). With ``words`` shorter runs that hold that many words count too."""
     seen, out = set(), []
     for d, t, h in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, r[2])):
         lines = t.removesuffix("\n").split("\n") if t else []
         plain, gone = [lower(x.strip(" \t\n\v\f\r")) for x in lines], set()
-        for i in range(len(plain) - run + 1):
-            w = tuple(plain[i : i + run])
-            if any(w):
-                if w in seen:
-                    gone.update(range(i, i + run))
-                seen.add(w)
+        for n in range(run if words is None else 1, run + 1):
+            for i in range(len(plain) - n + 1):
+                w = tuple(plain[i : i + n])
+                if any(w) and (n == run or sum(len(re.findall(r"[^ \t\n\v\f\r]+", x)) for x in w) >= words):
+                    if w in seen:
+                        gone.update(range(i, i + n))
+                    seen.add(w)
         kept = [x for i, x in enumerate(lines) if i not in gone]
         out.append((h, "\n".join(kept) + ("\n" if kept and t.endswith("\n") else ""), len(lines), sorted(gone)))
     return out

@@ -1,6 +1,7 @@
 """Nearest vectors, URL filter, pipeline."""
 import brute as X
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -75,7 +76,7 @@ def test_pipeline_stages_do_what_they_say(spark):
     assert after.columns == docs.columns and after.where("doc_id >= 9000").count() == 0 and after.count() >= docs.count()
     named = [tuple(r) for r in after.selectExpr("doc_id", "text", "xxhash64(doc_id, coalesce(text, ''))").collect()]
     lines = steps["line dedup"](spark, after, X.SF).cache()
-    expected = [k for _, k, _, g in X.removed_lines(named, 3) if not g or k.strip()]
+    expected = [k for _, k, _, g in X.removed_lines(named, 3, 50) if not g or k.strip()]
     assert sorted(r.text for r in lines.collect()) == sorted(expected) and lines.columns == docs.columns
     apart = steps["n-gram Jaccard join"](spark, lines, X.SF).cache()
     groups = {(d if d is not None else -1): c for d, _, c in X.jaccard_components([(r.doc_id, r.text) for r in lines.collect()], 5, 80)}
@@ -86,3 +87,27 @@ def test_pipeline_stages_do_what_they_say(spark):
     assert X.ordered(r.doc_id for r in clean.collect()) == X.ordered(kept) and clean.columns == docs.columns
     packed = steps["packing"](spark, clean, X.SF)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(kept)
+
+
+def test_pipeline_keeps_other_columns_and_one_row_of_a_group_whatever_its_ids(spark):
+    words = [f"word{i}" for i in range(60)]
+    text, near, other = " ".join(words), " ".join(words[:-1] + ["end"]), " ".join(reversed(words))
+    rows = [(1, text, "a"), (1, near, "b"), (None, other, "c"), (None, other + " end", "d"), (2, "x", "e"), (2, "x", "f"), (3, None, "g"), (None, None, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string").withColumn("lang", F.lit("en"))
+    steps = dict(corpus_pipeline.STAGES)
+    left = steps["n-gram Jaccard join"](spark, docs, X.SF).collect()
+    assert len(left) == 5 and {r.row for r in left} >= {"e", "g", "h"} and len({r.row for r in left} & set("ab")) == len({r.row for r in left} & set("cd")) == 1
+    for name in ("language ID", "line dedup", "decontamination"):
+        kept = steps[name](spark, docs, X.SF)
+        assert kept.columns == docs.columns and {r.row for r in kept.collect()} <= set("abcdefgh")
+    for name in ("language ID", "line dedup", "n-gram Jaccard join", "decontamination", "packing"):
+        assert steps[name](spark, docs.limit(0), X.SF).count() == 0
+
+
+@pytest.mark.parametrize("factor", [1.0, 0.6])
+def test_ties_among_distinct_vectors_go_to_the_smaller_ids(spark, factor):
+    rng = np.random.default_rng(3)
+    rows = [(0, [1.0] + [0.0] * 7)] + [(i, [1.0, *rng.normal(size=7).tolist()]) for i in rng.permutation(np.arange(1, 400)).tolist()]
+    got = nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, factor=factor).orderBy("rank").collect()
+    assert [r.score for r in got] == [1.0] * 20
+    assert [r.vec_id for r in got] == list(range(1, 21)) if factor == 1 else len({r.vec_id for r in got}) == 20
