@@ -546,7 +546,7 @@ def build_profiles(with_units: DataFrame, skills: DataFrame, as_of: date) -> Dat
 
 def merge_profiles(profiles: DataFrame, extra: DataFrame, canonical: DataFrame | None = None) -> DataFrame:
     """Merge an external profile table: its titles, domains and headline win when given, skills are united,
-    the higher language level counts, and dates found in the document win over stated years.
+    the higher language level counts, and dates found in the document win over stated years. Family scores follow the merged skills and headline.
 
     ``canonical(term, skill)`` maps outside skill names to the vocabulary (see ``canonicalise``).
     """
@@ -556,15 +556,17 @@ def merge_profiles(profiles: DataFrame, extra: DataFrame, canonical: DataFrame |
         more = more.join(canonical.withColumnRenamed("skill", "__c"), F.trim(F.col("term")) == canonical["term"], "left").select(
             "cv_id", "at", F.coalesce("__c", F.trim(more["term"])).alias("term")
         )
-    named = more.groupBy("cv_id").agg(F.array_sort(F.collect_list(F.struct("at", F.trim("term").alias("term")))).alias("s"))
-    named = named.select("cv_id", F.transform("s", lambda x: x["term"]).alias("__skills"))
+    more_skills = more.groupBy("cv_id").agg(F.array_sort(F.collect_list(F.struct("at", F.trim("term").alias("term")))).alias("s"))
+    more_skills = more_skills.select("cv_id", F.transform("s", lambda x: x["term"]).alias("__skills"))
     word = lambda s: F.lower(F.trim(s))
     level = lambda s: F.when(word(s) == "native", 5).when(word(s).isin("fluent", "advanced"), 4).when(word(s) == "basic", 1).otherwise(3)
     name = lambda l: F.coalesce(F.get(language_hits(l["name"]), F.lit(0))["lang"], F.initcap(F.trim(l["name"])))
-    outside = F.map_from_entries(
-        F.transform(F.coalesce("x.languages", F.array().cast("array<struct<name:string,level:string>>")), lambda l: F.struct(name(l), level(l["level"])))
-    )
-    x = profiles.alias("p").join(extra.alias("x"), "cv_id").join(named, "cv_id", "left")
+    given_levels = F.transform(F.coalesce("x.languages", F.array().cast("array<struct<name:string,level:string>>")), lambda l: F.struct(name(l).alias("name"), level(l["level"]).alias("level")))
+    # a language that is listed twice counts with its higher level
+    named = lambda ls: F.array_distinct(F.transform(ls, lambda l: l["name"]))
+    highest = lambda ls: F.transform(named(ls), lambda n: F.array_max(F.transform(F.filter(ls, lambda l: l["name"] == n), lambda l: l["level"])))
+    outside = F.map_from_arrays(named(given_levels), highest(given_levels))
+    x = profiles.alias("p").join(extra.alias("x"), "cv_id").join(more_skills, "cv_id", "left")
     dated = (F.col("p.years_experience") > 0) | (F.col("p.internship_months") > 0)
     levels = ("student", "junior", "mid", "senior", "lead")
 
@@ -581,7 +583,7 @@ def merge_profiles(profiles: DataFrame, extra: DataFrame, canonical: DataFrame |
         given_list("target_titles", 5).alias("target_titles"),
         F.array_distinct(F.concat("p.skills", F.coalesce("__skills", none))).alias("skills"),
         given_list("domains", 4).alias("domains"),
-        "p.family_scores",
+        F.lit(None).cast(profiles.schema["family_scores"].dataType).alias("family_scores"),
         F.when(dated, F.col("p.years_experience")).otherwise(F.coalesce("x.years_experience", F.lit(0.0))).alias("years_experience"),
         "p.internship_months",
         F.when(F.col("x.seniority").isin(*levels), F.col("x.seniority")).otherwise(F.col("p.seniority")).alias("seniority"),
@@ -591,6 +593,7 @@ def merge_profiles(profiles: DataFrame, extra: DataFrame, canonical: DataFrame |
         "p.cv_language",
         F.lit("external").alias("source"),
     )
+    merged = merged.withColumn("family_scores", family_scores(F.col("skills"), F.coalesce("headline", F.lit(""))))
     return merged.unionByName(profiles.join(extra.select("cv_id"), "cv_id", "left_anti").select(*merged.columns))
 
 

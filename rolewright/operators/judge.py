@@ -5,17 +5,17 @@ requirement. A requirement is one short line, so lists collected per requirement
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..cluster import checked_broadcast, top_k
+from ..cluster import checked_broadcast, cut_lineage, explode_once, top_k
 from ..functions import text as T
 from ..functions.vocab import PRODUCT_KINDS
 from .languages import language_levels
 from .mentions import implied_skills
 from .postings import STUDENT_REQUIREMENT
-from .retrieval import line_cosines, line_terms
+from .retrieval import dot, line_cosines, line_terms, unit_vector
 
 # Section order for citing, verdict ranks, similarity thresholds, study fields.
 SECTION_ORDER = ["experience", "projects", "summary", "certifications", "other", "skills", "education", "languages"]
@@ -229,22 +229,25 @@ def judge_skills(
 def literal_evidence(pairs: DataFrame, terms: DataFrame, units: DataFrame) -> DataFrame:
     """(cv_id, job_id, skill, literal): first unit whose text has the term as whole words.
 
-    Terms are joined on their first word, then confirmed on the unit's words, so there is no scan of every unit
-    for every term.
+    ``terms(job_id, skill)``. The lines are indexed once by their words and a term is looked up under its rarest one, so neither a common first word nor the number of postings
+    that use a term matters: a candidate and a term meet once, and only lines that hold that word are fetched and confirmed.
     """
     word = rf"([{T.WORD_CHAR}]+)"
-    asked = terms.select("job_id", "skill").distinct().withColumn("need", F.regexp_extract_all(T.fold(F.col("skill")), F.lit(word), F.lit(1)))
-    asked = pairs.select(*PAIR).distinct().join(asked.where("size(need) > 0"), "job_id").withColumn("w", F.get("need", F.lit(0)))
-    said = units.select("cv_id", "unit_no", "unit_id", T.fold(F.col("text")).alias("folded")).withColumn(
-        "w", F.explode(F.array_distinct(F.regexp_extract_all("folded", F.lit(word), F.lit(1))))
-    )
+    words_of = lambda text: F.array_distinct(F.regexp_extract_all(text, F.lit(word), F.lit(1)))
+    folded = units.select("cv_id", "unit_no", "unit_id", T.fold(F.col("text")).alias("folded"))
+    index = folded.select("cv_id", "unit_no", explode_once(words_of(F.col("folded"))).alias("w"))
+    known = terms.select("skill").distinct().withColumn("need", words_of(T.fold(F.col("skill")))).where("size(need) > 0")
+    known = known.select("skill", F.explode("need").alias("w"))
+    asked_words = known.select("w").distinct()
+    index = cut_lineage(index.join(checked_broadcast(asked_words), "w", "left_semi"))
+    counts = index.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    rarest = known.join(counts, "w", "left").groupBy("skill").agg(F.min_by("w", F.struct(F.coalesce("n", F.lit(0)), "w")).alias("w"))
+    wanted = pairs.select(*PAIR).distinct().join(terms.select("job_id", "skill").distinct(), "job_id")
+    asked = wanted.select("cv_id", "skill").distinct().join(rarest, "skill")
+    hits = asked.join(index, ["cv_id", "w"]).join(folded, ["cv_id", "unit_no"])
     quoted = F.concat(F.lit(rf"(?<![{T.WORD_CHAR}])\Q"), T.fold(F.col("skill")), F.lit(rf"\E(?![{T.WORD_CHAR}])"))
-    return (
-        asked.join(said, ["cv_id", "w"])
-        .where(F.call_function("rlike", F.col("folded"), quoted))
-        .groupBy(*PAIR, "skill")
-        .agg(F.min_by("unit_id", "unit_no").alias("literal"))
-    )
+    found = hits.where(F.call_function("rlike", F.col("folded"), quoted)).groupBy("cv_id", "skill").agg(F.min_by("unit_id", "unit_no").alias("literal"))
+    return wanted.join(found, ["cv_id", "skill"]).select(*PAIR, "skill", "literal")
 
 
 # --- Combination -------------------------------------------------------------------------------------------------
@@ -288,38 +291,48 @@ def languages_verdict(languages: Column, text: Column, levels: Column) -> Column
     return rank_verdict(F.coalesce(F.array_min(ranks), F.lit(0)))
 
 
-def study_fields(text: Column) -> Column:
-    f = T.fold(text)
-    return F.array_compact(F.array(*[F.when(f.rlike("|".join(words)), name) for name, words in STUDY_FIELDS.items()]))
+def study_field_table(spark: SparkSession) -> DataFrame:
+    """(concept, word): the built-in fields of study and their wordings, folded."""
+    return spark.createDataFrame([(c, w) for c, words in STUDY_FIELDS.items() for w in words], "concept string, word string")
 
 
-def education_verdict(text: Column, seniority: Column, education: Column) -> Column:
-    """struct(verdict, unit_id, note). ``education`` is the array of the candidate's education units
-    (unit_id, text, fields)."""
-    f = T.fold(text)
-    student = f.rlike(STUDENT_REQUIREMENT)
-    wanted = study_fields(text)
-    have = F.array_distinct(F.flatten(F.transform(education, lambda u: u["fields"])))
-    common = F.array_intersect(wanted, have)
-    field = (
-        F.when((F.size(wanted) > 0) & (F.size(common) > 0), 2)
-        .when(F.size(wanted) > 0, 1)
-        .when(f.rlike(ENGINEERING), F.when(F.exists(education, lambda u: T.fold(u["text"]).rlike(ENGINEERING)), 2).otherwise(1))
-        .otherwise(2)
-    )
-    as_student = F.when(student, F.when(seniority == "student", 2).otherwise(1)).otherwise(2)
-    fitting = F.get(F.filter(education, lambda u: F.size(F.array_intersect(u["fields"], common)) > 0), F.lit(0))
-    best = F.when(F.size(common) > 0, F.coalesce(fitting, F.get(education, F.lit(0)))).otherwise(F.get(education, F.lit(0)))
-    notes = F.concat_ws(
-        "; ",
-        F.when(student, F.when(seniority == "student", "student").otherwise("asks for a student")),
-        F.when((F.size(wanted) > 0) & (F.size(common) == 0), "different field of study"),
-    )
-    some = F.size(education) > 0
-    return F.struct(
-        F.when(some, rank_verdict(F.least(field, as_student))).otherwise("missing").alias("verdict"),
-        F.when(some, best["unit_id"]).alias("unit_id"),
-        F.when(some, notes).otherwise("no education section found").alias("note"),
+def with_concepts(texts: DataFrame, keys: list[str], fields: DataFrame) -> DataFrame:
+    """(keys, concept): the concepts that a text names. A wording counts inside words too ("electromechanical" names "mechanical"), so it can't be joined
+    on words; the dictionary ``fields(concept, word)`` is one aggregated row, a few hundred wordings, that every text is held against."""
+    one = F.broadcast(fields.groupBy("concept").agg(F.collect_set(F.lower("word")).alias("words")).agg(F.collect_list(F.struct("concept", "words")).alias("fields")))
+    named = lambda f: F.exists(f["words"], lambda w: F.col("folded").contains(w))
+    found = texts.select(*keys, T.fold(F.col("text")).alias("folded"), F.lit(1).alias("one")).join(one.withColumn("one", F.lit(1)), "one")
+    return found.select(*keys, F.explode(F.filter("fields", named)).alias("f")).select(*keys, F.col("f.concept").alias("concept"))
+
+
+def education_judgments(pairs: DataFrame, requirements: DataFrame, education: DataFrame, profiles: DataFrame, fields: DataFrame) -> DataFrame:
+    """(cv_id, job_id, req_no, verdict, unit_id, note) of education requirements: the worst of their parts.
+
+    ``requirements(job_id, req_no, text)``, ``education(cv_id, unit_no, unit_id, text)`` are the education lines, ``profiles(cv_id, seniority)``, ``fields(concept, word)`` the fields of
+    study. Parts: the field (a common concept, any one will do; without a named field, engineering as such) and being a student. The cited line is the first
+    with a common field, else the first. A candidate without education lines is missing.
+    """
+    wanted = with_concepts(requirements, ["job_id", "req_no"], fields)
+    held = with_concepts(education, ["cv_id", "unit_no", "unit_id"], fields)
+    by_req = wanted.groupBy("job_id", "req_no").agg(F.count(F.lit(1)).alias("n_wanted"))
+    line = F.struct("unit_no", "unit_id")
+    lines = education.groupBy("cv_id").agg(F.min(line).alias("first"), F.bool_or(T.fold(F.col("text")).rlike(ENGINEERING)).alias("engineer"))
+    asked = pairs.select(*PAIR).distinct().join(
+        requirements.select("job_id", "req_no", T.fold(F.col("text")).rlike(STUDENT_REQUIREMENT).alias("student"), T.fold(F.col("text")).rlike(ENGINEERING).alias("generic")), "job_id"
+    )
+    common = asked.select(*REQ).join(wanted, ["job_id", "req_no"]).join(held, ["cv_id", "concept"]).groupBy(*REQ).agg(F.min(line).alias("fitting"))
+    x = (
+        asked.join(by_req, ["job_id", "req_no"], "left").join(lines, "cv_id", "left").join(common, REQ, "left")
+        .join(profiles.select("cv_id", (F.col("seniority") == "student").alias("is_student")), "cv_id", "left")
+    )
+    named, fits, is_student = F.col("n_wanted") > 0, F.col("fitting").isNotNull(), F.coalesce("is_student", F.lit(False))
+    field = F.when(named, F.when(fits, 2).otherwise(1)).when(F.col("generic"), F.when(F.col("engineer"), 2).otherwise(1)).otherwise(2)
+    as_student = F.when(F.col("student"), F.when(is_student, 2).otherwise(1)).otherwise(2)
+    notes = F.concat_ws("; ", F.when(F.col("student"), F.when(is_student, "student").otherwise("asks for a student")), F.when(named & ~fits, "different field of study"))
+    some = F.col("first").isNotNull()
+    return x.select(
+        *REQ, F.when(some, rank_verdict(F.least(field, as_student))).otherwise("missing").alias("verdict"),
+        F.when(some, F.coalesce("fitting", "first")["unit_id"]).alias("unit_id"), F.when(some, notes).otherwise("no education section found").alias("note"),
     )
 
 
@@ -329,12 +342,10 @@ def has_topic(text: Column) -> Column:
 
 
 def candidate_facts(profiles: DataFrame, units: DataFrame) -> DataFrame:
-    """Per candidate: levels, years, education units, first experience units and the languages unit."""
-    edu = F.when(F.col("section") == "education", F.struct("unit_no", "unit_id", "text", study_fields(F.col("text")).alias("fields")))
+    """Per candidate: levels, years, first experience units and the languages unit."""
     exp = F.when((F.col("section") == "experience") & (F.col("n") <= 2), F.struct("unit_no", "unit_id"))
     numbered = units.withColumn("n", F.row_number().over(W.partitionBy("cv_id", "section").orderBy("unit_no")))
     per_cv = numbered.groupBy("cv_id").agg(
-        F.array_sort(F.collect_list(edu)).alias("edu"),
         F.transform(F.array_sort(F.collect_list(exp)), lambda e: e["unit_id"]).alias("exp_ids"),
         F.min_by(F.when(F.col("section") == "languages", F.col("unit_id")), F.when(F.col("section") == "languages", F.col("unit_no"))).alias("lang_id"),
     )
@@ -350,6 +361,10 @@ def free_text_requirements(requirements: DataFrame) -> DataFrame:
     )
 
 
+def education_requirements(requirements: DataFrame) -> DataFrame:
+    return requirements.where((F.col("category") == "education") & (F.size("skills") == 0))
+
+
 def judge_free_text(best: DataFrame, backend: str = "tfidf") -> DataFrame:
     """``best(cv_id, job_id, req_no, unit_no, unit_id, score)`` to verdicts by the thresholds of the similarity."""
     met, partial = THRESHOLDS[backend]
@@ -386,6 +401,31 @@ def closest_units(
     return out.join(units.select("cv_id", "unit_no", "unit_id"), ["cv_id", "unit_no"])
 
 
+BLOCK_VECTORS = 32
+
+
+def closest_by_vector(pairs: DataFrame, free: DataFrame, units: DataFrame, requirement_vectors: DataFrame, unit_vectors: DataFrame, block: int = BLOCK_VECTORS) -> DataFrame:
+    """The columns of ``closest_units`` from given vectors: ``requirement_vectors(job_id, req_no, vec)``, ``unit_vectors(cv_id, unit_no, vec)``.
+
+    The vectors of a candidate and of a posting lie in blocks of ``block``; inside a pair each block meets each block in one row, which gives the best line of the block
+    for every requirement of the other. So a row never holds more than two blocks, what is shuffled on are these partial bests, and they are combined before the shuffle. Lines of the
+    languages section take no part; a requirement or line without a vector counts as the zero vector.
+    """
+    pool = units.where("section <> 'languages'").select("cv_id", "unit_no", "unit_id")
+    part = lambda c: F.floor((F.row_number().over(W.partitionBy(c[0]).orderBy(c[1])) - 1) / block)
+    held = pool.join(unit_vectors.select("cv_id", "unit_no", unit_vector(F.col("vec")).alias("v")), ["cv_id", "unit_no"], "left")
+    asked = free.select("job_id", "req_no").join(requirement_vectors.select("job_id", "req_no", unit_vector(F.col("vec")).alias("v")), ["job_id", "req_no"], "left")
+    lists = lambda df, owner, no: df.withColumn("block", part((owner, no))).groupBy(owner, "block").agg(F.collect_list(F.struct(no, "v")).alias(f"of_{owner}")).drop("block")
+    met = pairs.select(*PAIR).distinct().join(lists(asked, "job_id", "req_no"), "job_id").join(lists(held, "cv_id", "unit_no"), "cv_id")
+
+    def best(r: Column) -> Column:
+        scores = F.transform("of_cv_id", lambda u: F.struct(F.coalesce(dot(r["v"], u["v"]), F.lit(0.0)).alias("score"), (-u["unit_no"]).alias("less")))
+        return F.struct(r["req_no"].alias("req_no"), F.array_max(scores).alias("b"))
+
+    tops = met.select(*PAIR, explode_once(F.transform("of_job_id", best)).alias("r")).groupBy(*PAIR, F.col("r.req_no").alias("req_no")).agg(F.max("r.b").alias("b"))
+    return tops.select(*REQ, (-F.col("b.less")).alias("unit_no"), F.col("b.score").alias("score")).join(pool, ["cv_id", "unit_no"])
+
+
 # --- Judgments ---------------------------------------------------------------------------------------------------
 def judge(
     pairs: DataFrame,
@@ -394,8 +434,12 @@ def judge(
     facts: DataFrame,
     closest: DataFrame | None = None,
     backend: str = "tfidf",
+    education: DataFrame | None = None,
 ) -> DataFrame:
-    """(cv_id, job_id, req_no, verdict, evidence_ids, note, gap_type, cv_term, jd_term, missing_skills)."""
+    """(cv_id, job_id, req_no, verdict, evidence_ids, note, gap_type, cv_term, jd_term, missing_skills).
+
+    ``closest`` are the lines closest to the free-text requirements by ``backend``, ``education`` the ``education_judgments``.
+    """
     none = F.array().cast("array<string>")
     collected = skill_rows.groupBy(*REQ).agg(
         F.array_sort(F.collect_list(F.struct("at", "label", "verdict", "ids", "note", "cv_term", "jd_term"))).alias("sk")
@@ -413,9 +457,11 @@ def judge(
     best = F.slice(F.filter("sk", lambda s: verdict_rank(s["verdict"]) == top), 1, 1)
     x = x.withColumn("chosen", F.when(any_of, best).otherwise(F.col("sk")))
     asks_years = F.coalesce("min_years", F.lit(0.0)) > 0
-    plain_edu = (F.col("category") == "education") & (F.size("skills") == 0)
-    x = x.withColumn("edu_v", F.when(plain_edu, education_verdict(F.col("text"), F.col("seniority"), F.coalesce("edu", F.array().cast(
-        "array<struct<unit_no:int,unit_id:string,text:string,fields:array<string>>>")))))
+    nothing = F.lit(None).cast("struct<verdict:string,unit_id:string,note:string>")
+    if education is not None:
+        x = x.join(education.select(*REQ, F.struct("verdict", "unit_id", "note").alias("edu_v")), REQ, "left")
+    else:
+        x = x.withColumn("edu_v", nothing)
     years = F.when(asks_years, years_verdict(F.col("min_years"), F.col("years_experience"), F.col("internship_months")))
     langs = F.when(F.size("languages") > 0, languages_verdict(F.col("languages"), F.col("text"), F.col("levels")))
     skill_verdicts = F.transform("chosen", lambda s: s["verdict"])

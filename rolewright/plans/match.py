@@ -59,12 +59,15 @@ def run_match(
     prefs: DataFrame | None = None,
     verdicts: DataFrame | None = None,
     extra_profiles: DataFrame | None = None,
+    vectors: tuple[DataFrame, DataFrame] | None = None,
+    study_fields: DataFrame | None = None,
 ) -> MatchRun:
     """Profiles, triage, shortlist, requirements, judgments, ranking, learn-next, tailored bullets and reports.
 
     Stage tables that several later stages read are materialised in the checkpoint folder; the costly line
     matching and judging run on triaged and shortlisted pairs only. Optional inputs: ``keywords(cv_id, keywords)``,
-    ``picks(cv_id, job_id)``, ``prefs(cv_id, location)``, and external ``verdicts`` or ``extra_profiles`` tables.
+    ``picks(cv_id, job_id)``, ``prefs(cv_id, location)``, external ``verdicts`` or ``extra_profiles`` tables, ``vectors`` (of requirements and of lines, see
+    ``judge.closest_by_vector``) that take the place of line matching for free-text requirements, and ``study_fields(concept, word)``.
     """
     spark = cvs.sparkSession
     aliases = cut_lineage(V.alias_table(skills))
@@ -115,14 +118,17 @@ def run_match(
     ).select("cv_id", F.concat_ws(" ", "headline", "titles", "body").alias("text"))
     query = cut_lineage(X.query_terms(query_text, profiles))
     docs = X.doc_tokens(pool, job_skills)
-    stranded = G.candidates_without_match(profiles, triaged)
-    from_index = X.bm25(docs, query.join(stranded, "cv_id", "left_semi")).select(*PAIR)
-    pairs = cut_lineage(triaged.select(*PAIR).unionByName(from_index).distinct())
+    stranded = cut_lineage(G.candidates_without_match(profiles, triaged))
+    pairs = cut_lineage(triaged.select(*PAIR).distinct())
     chunks = _chunk_terms(pool, aliases)
     lines = _unit_terms(units, unit_mentions, profiles)
     cosines = X.line_cosines(pairs, chunks, lines, settings.idf_scope)
-    scores = X.bm25_in_pool(docs, query, pairs).join(X.maxsim(pairs, chunks, cosines), PAIR)
-    shortlist = cut_lineage(X.shortlist(X.rrf(scores), settings.shortlist_size, picks))
+    scores = X.bm25_in_pool(docs.join(pairs.select("job_id").distinct(), "job_id", "left_semi"), query, pairs).join(X.maxsim(pairs, chunks, cosines), PAIR)
+    columns = [*PAIR, "bm25", "semantic", "rrf", "place"]
+    shortlist = X.shortlist(X.rrf(scores), settings.shortlist_size, picks).select(*columns)
+    if stranded.limit(1).count():
+        shortlist = shortlist.unionByName(X.pool_shortlist(stranded, docs, query, chunks, lines, settings.shortlist_size).select(*columns))
+    shortlist = cut_lineage(shortlist)
 
     # Requirements and judgments
     wanted = pool.join(shortlist.select("job_id").distinct(), "job_id", "left_semi")
@@ -134,8 +140,14 @@ def run_match(
         req_skills = J.requirement_skills(requirements, req_mentions, skills)
         skill_rows = J.judge_skills(shortlist, req_skills, index, closure, related, units)
         free = J.free_text_requirements(requirements)
-        closest = J.closest_units(shortlist, free, units, _unit_skills(units, unit_mentions))
-        judgments = J.judge(shortlist, requirements, skill_rows, J.candidate_facts(profiles, units), closest)
+        if vectors is None:
+            closest = J.closest_units(shortlist, free, units, _unit_skills(units, unit_mentions))
+        else:
+            closest = J.closest_by_vector(shortlist, free, units, *vectors)
+        education = J.education_judgments(
+            shortlist, J.education_requirements(requirements), units.where("section = 'education'"), profiles, J.study_field_table(spark) if study_fields is None else study_fields
+        )
+        judgments = J.judge(shortlist, requirements, skill_rows, J.candidate_facts(profiles, units), closest, "tfidf" if vectors is None else "dense", education)
         judgments = judgments.withColumn("downgraded", F.lit(False))
     else:
         owned = M.implied_skills(index.select("cv_id", "skill"), "cv_id", closure)

@@ -50,11 +50,11 @@ QUERIES = {f.__name__: f for f in (fallback_shortlist, line_terms)}
 
 
 #: List of the words, neighbouring pairs and in-word 4-grams of a line whose words are ``ws``.
-_TERMS = (
+TERMS_SQL = (
     "list_concat(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || '_' || ws[i + 1])), "
     "flatten(list_transform(list_filter(ws, lambda w: length(w) >= 4), lambda w: list_transform(range(1, length(w) - 2), lambda i: '#' || substr(w, i, 4)))))"
 )
-_TFIDF = "(1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1)"
+TFIDF_SQL = "(1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1)"
 _LINES = lines_sql("(SELECT doc_id AS job_id, text FROM documents)", "job_id", "text")
 
 ORACLES = {
@@ -67,16 +67,16 @@ ORACLES = {
       qs AS (SELECT DISTINCT cv_id, unnest({tokens_sql('text')}) AS token FROM cvs),
       df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
       kw AS (SELECT cv_id, job_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.4 / (f + 1.4 * (0.25 + 0.75 * dl / mean))) AS s FROM qs JOIN tf USING (token) JOIN df USING (token), st GROUP BY ALL),
-      ch AS (SELECT job_id, line_no AS chunk_no, {_TERMS} AS t FROM (SELECT *, {tokens_sql('text')} AS ws FROM ({_LINES}))),
-      un AS (SELECT cv_id, unit_no, {_TERMS} AS t FROM (SELECT *, {tokens_sql('clause')} AS ws FROM (
+      ch AS (SELECT job_id, line_no AS chunk_no, {TERMS_SQL} AS t FROM (SELECT *, {tokens_sql('text')} AS ws FROM ({_LINES}))),
+      un AS (SELECT cv_id, unit_no, {TERMS_SQL} AS t FROM (SELECT *, {tokens_sql('clause')} AS ws FROM (
                SELECT cv_id, generate_subscripts(cs, 1) AS unit_no, unnest(cs) AS clause FROM (SELECT cv_id, regexp_split_to_array(text, '[.,]') AS cs FROM cvs)) WHERE trim(clause) <> '')),
       a AS (SELECT job_id, chunk_no, token, count(*) AS tf FROM (SELECT job_id, chunk_no, unnest(t) AS token FROM ch) GROUP BY ALL),
       b AS (SELECT cv_id, unit_no, token, count(*) AS tf FROM (SELECT cv_id, unit_no, unnest(t) AS token FROM un) GROUP BY ALL),
       da AS (SELECT job_id, token, count(*) AS d FROM a GROUP BY ALL), db AS (SELECT cv_id, token, count(*) AS d FROM b GROUP BY ALL),
       sz AS (SELECT e.cv_id, e.job_id, x.n + y.n AS n FROM every e JOIN (SELECT job_id, count(*) AS n FROM ch GROUP BY ALL) x USING (job_id) JOIN (SELECT cv_id, count(*) AS n FROM un GROUP BY ALL) y USING (cv_id)),
-      xa AS (SELECT cv_id, job_id, chunk_no, token, {_TFIDF} AS x FROM (
+      xa AS (SELECT cv_id, job_id, chunk_no, token, {TFIDF_SQL} AS x FROM (
                SELECT sz.cv_id, job_id, n, chunk_no, token, tf, da.d + coalesce(db.d, 0) AS df FROM sz JOIN a USING (job_id) JOIN da USING (job_id, token) LEFT JOIN db ON db.cv_id = sz.cv_id AND db.token = a.token)),
-      xb AS (SELECT cv_id, job_id, unit_no, token, {_TFIDF} AS x FROM (
+      xb AS (SELECT cv_id, job_id, unit_no, token, {TFIDF_SQL} AS x FROM (
                SELECT sz.cv_id, sz.job_id, n, unit_no, token, tf, db.d + coalesce(da.d, 0) AS df FROM sz JOIN b USING (cv_id) JOIN db USING (cv_id, token) LEFT JOIN da ON da.job_id = sz.job_id AND da.token = b.token)),
       na AS (SELECT cv_id, job_id, chunk_no, sqrt(sum(x * x)) AS norm FROM xa GROUP BY ALL),
       nb AS (SELECT cv_id, job_id, unit_no, sqrt(sum(x * x)) AS norm FROM xb GROUP BY ALL),
@@ -89,7 +89,7 @@ ORACLES = {
       rk AS (SELECT *, row_number() OVER (PARTITION BY cv_id ORDER BY bm25 DESC, job_id) AS r1, row_number() OVER (PARTITION BY cv_id ORDER BY semantic DESC, job_id) AS r2 FROM sc),
       pl AS (SELECT *, 1 / (60 + r1) + 1 / (60 + r2) AS rrf, row_number() OVER (PARTITION BY cv_id ORDER BY 1 / (60 + r1) + 1 / (60 + r2) DESC, job_id)::INTEGER AS place FROM rk)
       SELECT cv_id, job_id, bm25, semantic, round(rrf, 6) AS rrf, place FROM pl WHERE place <= 12""",
-    "line_terms": f"""WITH t AS (SELECT job_id, unnest(list_concat({_TERMS}, ['sk:' || job_id, 'sk:' || job_id])) AS term FROM (SELECT *, {tokens_sql('text')} AS ws FROM ({_LINES}))),
+    "line_terms": f"""WITH t AS (SELECT job_id, unnest(list_concat({TERMS_SQL}, ['sk:' || job_id, 'sk:' || job_id])) AS term FROM (SELECT *, {tokens_sql('text')} AS ws FROM ({_LINES}))),
       k AS (SELECT *, CASE WHEN term LIKE 'sk:%' THEN 'skill' WHEN term LIKE '#____' THEN 'gram' WHEN contains(term, {lit('_')}) THEN 'pair' ELSE 'word' END AS kind FROM t)
       SELECT job_id, kind, count(*) AS n_terms, count(DISTINCT term) AS n_distinct, min(term) AS first FROM k GROUP BY ALL""",
 }

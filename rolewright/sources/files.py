@@ -1,6 +1,8 @@
 """Snapshots, CV folders, label files and exports."""
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +25,16 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_snapshot(postings: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Write a snapshot as a directory, one folder per source. The ids keep their source prefix."""
-    as_postings(postings).write.mode("overwrite").partitionBy("source").format(fmt).save(path)
+    """Write a snapshot as a directory, one folder per source. The ids keep their source prefix. Folders of sources that are not among the postings stay as they are, so a source
+    that is read anew replaces its own postings only."""
+    as_postings(postings).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").format(fmt).save(path)
+
+
+def read_posting_table(spark: SparkSession, path: str, sources: Sequence[str] | None = None, fmt: str = "parquet") -> DataFrame:
+    """Postings of a written snapshot; with ``sources`` only their folders are listed and read."""
+    found = spark.read.schema(POSTING).format(fmt).load(path)
+    chosen = found.where(F.col("source").isin(*sources)) if sources is not None else found
+    return chosen.select(*POSTING_COLUMNS)
 
 
 def read_cvs(spark: SparkSession, folder: str) -> DataFrame:
