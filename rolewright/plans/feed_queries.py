@@ -155,8 +155,19 @@ def content_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.content_chunks(_sectioned_postings(spark, sf_dir)).groupBy("job_id").agg(F.count(F.lit(1)).alias("n_chunks"))
 
 
-def _arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return jobs.read_landing(spark, sf_dir, table(spark, sf_dir, name).schema, "parquet", only=f"{name}.parquet")
+def _land(rows: DataFrame, folder: str) -> None:
+    """One more file in a landing folder: one more batch."""
+    rows.coalesce(1).write.mode("append").parquet(folder)
+
+
+def _arriving(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame:
+    return jobs.read_landing(spark, folder, like.schema, "parquet", max_files=1)
+
+
+def _folders(spark: SparkSession, name: str) -> tuple[str, str, str]:
+    """Landing folder, results and checkpoint of one run."""
+    run = uuid.uuid4().hex
+    return tuple(shared_folder(spark, f"{name}-{kind}-{run}") for kind in ("land", "out", "state"))
 
 
 def _since_epoch(unit: str, c: str) -> Column:
@@ -164,48 +175,87 @@ def _since_epoch(unit: str, c: str) -> Column:
     return F.expr(f"timestampdiff({unit}, TIMESTAMP_NTZ '1970-01-01 00:00:00', cast({c} AS timestamp_ntz))")
 
 
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _thirds(events: DataFrame) -> list[DataFrame]:
+    """Three batches in order of time, of about as many events each."""
+    lo, hi = events.select(F.unix_micros("ts").alias("t")).agg(F.percentile_approx("t", F.array(F.lit(1 / 3), F.lit(2 / 3)))).first()[0]
+    t = F.unix_micros("ts")
+    return [events.where(t < lo), events.where((t >= lo) & (t < hi)), events.where(t >= hi)]
+
+
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events arrive as postings keyed by user; the latest version of each remains."""
-    out, ckpt = shared_folder(spark, f"ingest-{uuid.uuid4().hex}"), shared_folder(spark, f"ingest-state-{uuid.uuid4().hex}")
-    arriving = _arriving(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    """Events arrive in three batches as postings keyed by user, the last one after a restart and with a tenth of the second sent again; the latest version of each remains."""
+    land, out, ckpt = _folders(spark, "ingest")
+    events = _events(spark, sf_dir)
+    one, two, three = _thirds(events)
     shape = lambda df: df.select(F.col("user_id").cast("string").alias("job_id"), F.col("event_type").alias("title"), "value", F.col("ts").alias("landed_at"))
-    jobs.finish(jobs.start_ingest(arriving, shape, out, ckpt))
+    for batches in ([one, two], [three.unionByName(two.where("event_id % 10 = 0"))]):
+        for rows in batches:
+            _land(rows, land)
+        jobs.finish(jobs.start_ingest(_arriving(spark, land, events), shape, out, ckpt))
     return jobs.current_postings(spark, out).select("job_id", "title", F.round("value", 4).alias("value"), _since_epoch("MICROSECOND", "landed_at").alias("landed_us"))
 
 
 def stage_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run-event windows computed by the stream; the last window stays open and is completed from the table."""
-    out, ckpt = shared_folder(spark, f"windows-{uuid.uuid4().hex}"), shared_folder(spark, f"windows-state-{uuid.uuid4().hex}")
+    """Run-event windows computed by the stream alone, over three batches and a restart; the last window is the last version that the stream wrote."""
+    land, out, ckpt = _folders(spark, "windows")
     shape = lambda df: df.select("ts", F.col("event_type").alias("node"), F.col("value").alias("ms"), F.col("props").alias("status"), F.col("event_id").alias("seq"))
-    arriving = _arriving(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    jobs.finish(jobs.start_windows(shape(arriving), out, ckpt, window="1 hour", late="2 hours"))
-    closed = spark.read.parquet(out)
-    every = jobs.stage_windows(shape(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))), window="1 hour")
-    rows = closed.unionByName(every.join(closed, ["window_start", "node"], "left_anti"))
+    events = _events(spark, sf_dir)
+    one, two, three = _thirds(events)
+    for batches in ([one, two], [three]):
+        for rows in batches:
+            _land(rows, land)
+        jobs.finish(jobs.start_windows(shape(_arriving(spark, land, events)), out, ckpt, window="1 hour", late="2 hours"))
+    rows = jobs.current_windows(spark, out)
     return rows.select(_since_epoch("SECOND", "window_start").alias("window_s"), "node", "n_events", F.round("total_ms", 2).alias("total_ms"), "last_status")
 
 
+def stage_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks as starts and purchases as ends of a user's stage, over three batches and a restart. The very first event of all arrives last: it is too late and counts for nothing."""
+    land, out, ckpt = _folders(spark, "durations")
+    events = _events(spark, sf_dir)
+    first = events.agg(F.min(F.struct("ts", "event_id")).alias("f")).select("f.event_id").first()[0]
+    one, two, three = _thirds(events)
+    status = F.when(F.col("event_type") == "click", "start").when(F.col("event_type") == "purchase", "done").otherwise("note")
+    shape = lambda df: df.select("ts", F.col("user_id").alias("run_id"), F.lit("stage").alias("node"), status.alias("status"), F.col("event_id").alias("seq"))
+    for batches in ([one.where(F.col("event_id") != first), two], [three.unionByName(one.where(F.col("event_id") == first))]):
+        for rows in batches:
+            _land(rows, land)
+        jobs.finish(jobs.start_durations(shape(_arriving(spark, land, events)), out, ckpt, timeout="12 hours", late="2 hours"))
+    got = jobs.stage_durations(spark, out)
+    return got.select("run_id", F.col("start_seq").alias("event_id"), _since_epoch("MICROSECOND", "started").alias("started_us"), F.coalesce("ms", F.lit(-1)).alias("ms"), "status")
+
+
 def stream_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents arrive as postings and meet the static skills of the benchmark candidates."""
+    """Documents arrive as postings in three batches and meet the static skills of the benchmark candidates. The second batch replaces every tenth text by one word, the third, after a
+    restart, brings every twentieth back."""
     aliases = cut_lineage(benchmark_aliases(spark, sf_dir))
     b = M.tag_mentions(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("cv_id"), "text"), ["cv_id"], "text", aliases)
     cv_skills = cut_lineage(b.groupBy("cv_id").agg(F.collect_set("skill").alias("skills")))
-    out, ckpt = shared_folder(spark, f"triage-{uuid.uuid4().hex}"), shared_folder(spark, f"triage-state-{uuid.uuid4().hex}")
-    arriving = _arriving(spark, sf_dir, "documents")
+    land, out, ckpt = _folders(spark, "triage")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    again = docs.where("doc_id % 10 = 0").withColumn("text", F.lit("withdrawn"))
 
     def skills_of(batch: DataFrame) -> DataFrame:
         m = M.tag_mentions(batch.select(F.col("doc_id").alias("job_id"), "text"), ["job_id"], "text", aliases)
         return cut_lineage(m.groupBy("job_id").agg(F.collect_set("skill").alias("skills")))
 
-    jobs.finish(jobs.start_scoring(arriving, cv_skills, skills_of, out, ckpt, lambda n: F.greatest(F.lit(6), F.ceil(n * 0.6)).cast("int")))
-    return spark.read.parquet(f"{out}/batch=*").select("cv_id", "job_id", "n_overlap")
+    enough = lambda n: F.greatest(F.lit(6), F.ceil(n * 0.6)).cast("int")
+    for batches in ([docs.where("doc_id % 3 < 2 or doc_id % 10 = 0"), docs.where("doc_id % 3 = 2 and doc_id % 10 > 0").unionByName(again)], [docs.where("doc_id % 20 = 0")]):
+        for rows in batches:
+            _land(rows, land)
+        jobs.finish(jobs.start_scoring(_arriving(spark, land, docs), cv_skills, skills_of, out, ckpt, enough, key="doc_id"))
+    return jobs.current_pairs(spark, out).select("cv_id", "job_id", "n_overlap")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         feed_greenhouse, feed_lever, feed_ashby, feed_remotive, feed_arbeitnow, board_resolution, pasted_postings, captured_postings, copied_pages,
-        posting_sections, posting_facts, content_chunks, stream_upsert, stage_windows, stream_triage,
+        posting_sections, posting_facts, content_chunks, stream_upsert, stage_windows, stage_durations, stream_triage,
     )
 }
 
@@ -255,10 +305,17 @@ ORACLES = {
              CASE WHEN regexp_matches(lower(left(body, 600)), 'remote|télétravail') THEN 'remote' WHEN contains(lower(left(body, 600)), 'hybrid') THEN 'hybrid' ELSE 'unknown' END AS workplace,
              count(*) AS n_postings, count(DISTINCT block) AS n_ids, sum(length(body))::BIGINT AS n_chars FROM c GROUP BY ALL""",
     "stream_upsert": """SELECT user_id::VARCHAR AS job_id, arg_max(event_type, ts) AS title, round(arg_max(value, ts), 4) AS value, epoch_us(max(ts)) AS landed_us FROM events GROUP BY user_id""",
-    "stream_triage": f"""WITH {vocabulary_sql()}, {mentions_sql('mb', 'benchmark', 'item_id', 'text')}, {mentions_sql('md', 'documents', 'doc_id', 'text')},
+    "stream_triage": f"""WITH now AS (SELECT doc_id, CASE WHEN doc_id % 20 = 10 THEN 'withdrawn' ELSE text END AS text FROM documents),
+      {vocabulary_sql()}, {mentions_sql('mb', 'benchmark', 'item_id', 'text')}, {mentions_sql('md', 'now', 'doc_id', 'text')},
       cs AS (SELECT DISTINCT item_id AS cv_id, skill FROM mb), js AS (SELECT DISTINCT doc_id AS job_id, skill FROM md),
       n AS (SELECT cv_id, greatest(6, ceil(count(*) * 0.6::DOUBLE)) AS need FROM cs GROUP BY cv_id)
       SELECT cv_id, job_id, count(*)::INTEGER AS n_overlap FROM cs JOIN js USING (skill) JOIN n USING (cv_id) GROUP BY cv_id, job_id, need HAVING count(*) >= need""",
+    "stage_durations": """WITH f AS (SELECT arg_min(event_id, {'t': ts, 'i': event_id}) AS first FROM events), e AS (SELECT * FROM events, f WHERE event_id <> first),
+      wm AS (SELECT least(max(ts) FILTER (event_type = 'click'), max(ts) FILTER (event_type = 'purchase')) - INTERVAL 2 HOURS AS w FROM e),
+      p AS (SELECT s.user_id AS run_id, s.event_id, s.ts, min(d.ts) AS finished FROM e s LEFT JOIN e d ON d.event_type = 'purchase' AND d.user_id = s.user_id AND d.ts >= s.ts AND d.ts <= s.ts + INTERVAL 12 HOURS
+            WHERE s.event_type = 'click' GROUP BY ALL)
+      SELECT run_id, event_id, epoch_us(ts) AS started_us, coalesce((epoch_us(finished) - epoch_us(ts)) // 1000, -1) AS ms, CASE WHEN finished IS NULL THEN 'timed out' ELSE 'done' END AS status
+      FROM p, wm WHERE finished IS NOT NULL OR ts + INTERVAL 12 HOURS < w""",
     "stage_windows": """SELECT epoch(date_trunc('hour', ts))::BIGINT AS window_s, event_type AS node, count(*) AS n_events, round(sum(value), 2) AS total_ms,
       arg_max(props, event_id) AS last_status FROM events GROUP BY ALL""",
 }
