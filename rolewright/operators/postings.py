@@ -74,7 +74,8 @@ TITLE_LEVELS = [
     ("senior", r"\b(senior|sr|confirme|experimente|expert)\b"),
     ("junior", r"\b(junior|jr|graduate|entry[- ]level|debutant|jeune diplome|new grad)\b"),
 ]
-MUST_LIMIT, REQUIREMENT_LIMIT, REQUIREMENT_CHARS = 10, 14, 220
+#: Limits a user may ask for: musts and requirements of a posting, characters of a requirement, characters that tell two wordings apart.
+MUST_LIMIT, REQUIREMENT_LIMIT, REQUIREMENT_CHARS, WORDING_CHARS = 10, 14, 220, 90
 
 
 def heading_kind(line: Column, headings: dict[str, list[str]] = HEADINGS) -> Column:
@@ -144,9 +145,12 @@ def requirement_lines(postings: DataFrame, headings: dict[str, list[str]] = HEAD
     return x.where("text is not null").select("job_id", "line_no", kind.alias("kind"), "text").where("kind is not null")
 
 
-def content_chunks(postings: DataFrame, limit: int = 18, chars: int = 300) -> DataFrame:
+def content_chunks(postings: DataFrame, limit: int | None = None, chars: int | None = None) -> DataFrame:
     """(job_id, chunk_no, text) of the lines used for retrieval: requirements, then duties, then longer intro
-    lines; the start of the description when there is none."""
+    lines; the description when there is none. ``limit`` lines of ``chars`` characters each, if these are given; else all of them, whole."""
+    def head(text: Column | str) -> Column:
+        return F.substring(text, 1, chars) if chars else F.col(text) if isinstance(text, str) else text
+
     def section(lines: Column, *names: str, words: int = 0) -> Column:
         return F.filter(
             lines,
@@ -158,20 +162,23 @@ def content_chunks(postings: DataFrame, limit: int = 18, chars: int = 300) -> Da
 
     def chosen(lines: Column) -> Column:
         ordered = F.concat(section(lines, "must", "nice"), section(lines, "duties"), section(lines, "intro", words=5))
-        return F.transform(F.slice(ordered, 1, limit), lambda p: F.substring(p["text"], 1, chars))
+        return F.transform(F.slice(ordered, 1, limit) if limit else ordered, lambda p: head(p["text"]))
 
     chunks = T.bind(layout(F.col("description")), chosen)
-    whole = T.bind(chunks, lambda c: F.when(F.size(c) == 0, F.array(F.substring("description", 1, chars))).otherwise(c))
+    whole = T.bind(chunks, lambda c: F.when(F.size(c) == 0, F.array(head("description"))).otherwise(c))
     return postings.select("job_id", F.posexplode_outer(whole).alias("pos", "text")).select(
         "job_id", (F.col("pos") + 1).alias("chunk_no"), "text"
     )
 
 
-def extract_requirements(postings: DataFrame, aliases: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+def extract_requirements(
+    postings: DataFrame, aliases: DataFrame, candidates: DataFrame | None = None, must_limit: int | None = None, limit: int | None = None, chars: int | None = None
+) -> DataFrame:
     """(job_id, req_no, text, kind, category, skills, min_years, languages) from the postings' own lines.
 
     ``candidates`` (job_id, line_no, kind, text) may come from elsewhere; by default they are the lines of
-    ``requirement_lines``. Everything is keyed by (job_id, line_no); a posting has few candidate lines.
+    ``requirement_lines``. Everything is keyed by (job_id, line_no); a posting has few candidate lines. All requirements are kept whole unless ``must_limit``,
+    ``limit`` (see ``prioritise``) or ``chars`` say otherwise.
     """
     # Tagging and assembling both read the candidate lines; they are few compared with the postings' text.
     lines = cut_lineage(candidates if candidates is not None else requirement_lines(postings))
@@ -211,33 +218,32 @@ def extract_requirements(postings: DataFrame, aliases: DataFrame, candidates: Da
     )
     return prioritise(
         x.select(
-            "job_id", "line_no", T.truncate(F.col("text"), REQUIREMENT_CHARS).alias("text"), "kind", category.alias("category"),
+            "job_id", "line_no", (T.truncate(F.col("text"), chars) if chars else T.strip(F.col("text"))).alias("text"), "kind", category.alias("category"),
             "skills", "min_years", "languages",
-        )
+        ),
+        must_limit, limit,
     )
 
 
-def dedupe_lines(lines: DataFrame, key_chars: int = 90) -> DataFrame:
-    """First line per posting and folded wording."""
-    key = F.substring(T.strip(F.regexp_replace(T.fold(F.col("text")), rf"[^{T.WORD_CHAR}]+", " ")), 1, key_chars)
+def dedupe_lines(lines: DataFrame, key_chars: int | None = None) -> DataFrame:
+    """First line per posting and folded wording, or the first ``key_chars`` characters of that."""
+    wording = T.strip(F.regexp_replace(T.fold(F.col("text")), rf"[^{T.WORD_CHAR}]+", " "))
+    key = F.substring(wording, 1, key_chars) if key_chars else F.xxhash64(wording)
     first = W.partitionBy("job_id", "__key").orderBy("line_no")
     # One shuffle by posting serves this window and the ones of ``prioritise``.
     return lines.repartition("job_id").withColumn("__key", key).withColumn("__rn", F.row_number().over(first)).where("__rn = 1").drop("__key", "__rn")
 
 
-def prioritise(lines: DataFrame, must_limit: int = MUST_LIMIT, limit: int = REQUIREMENT_LIMIT) -> DataFrame:
-    """First ``must_limit`` musts, then nices up to ``limit`` in all; back in text order as ``req_no`` 1, 2, …"""
+def prioritise(lines: DataFrame, must_limit: int | None = None, limit: int | None = None) -> DataFrame:
+    """First ``must_limit`` musts, then nices up to ``limit`` in all, as far as these are given; in text order as ``req_no`` 1, 2, …"""
     of_kind = W.partitionBy("job_id", "kind").orderBy("line_no")
     by_kind = W.partitionBy("job_id").orderBy((F.col("kind") == "nice").cast("int"), "line_no")
     in_text = W.partitionBy("job_id").orderBy("line_no")
-    return (
-        lines.withColumn("__k", F.row_number().over(of_kind))
-        .where((F.col("kind") != "must") | (F.col("__k") <= must_limit))
-        .withColumn("__k", F.row_number().over(by_kind))
-        .where(F.col("__k") <= limit)
-        .withColumn("req_no", F.row_number().over(in_text).cast("int"))
-        .drop("__k", "line_no")
-    )
+    if must_limit:
+        lines = lines.withColumn("__k", F.row_number().over(of_kind)).where((F.col("kind") != "must") | (F.col("__k") <= must_limit)).drop("__k")
+    if limit:
+        lines = lines.withColumn("__k", F.row_number().over(by_kind)).where(F.col("__k") <= limit).drop("__k")
+    return lines.withColumn("req_no", F.row_number().over(in_text).cast("int")).drop("line_no")
 
 
 def title_level(title: Column, min_years: Column) -> Column:

@@ -8,7 +8,7 @@ from ..cluster import checked_broadcast, cut_lineage, first_absent, is_small, ra
 from ..functions import roles as R
 from ..functions import text as T
 
-TOP_SKILLS = 30
+TOP_SKILLS = 30  # the limit a user may ask for
 QUERY_LIMIT, WIDE_QUERY_LIMIT, PER_ROUND = 5, 12, 4
 
 
@@ -171,13 +171,14 @@ def triage(
     job_skills: DataFrame,
     picked_sources: tuple[str, ...] = (),
     cv_picks: DataFrame | None = None,
+    top_skills: int | None = None,
 ) -> DataFrame:
     """(cv_id, job_id, reason, query, n_overlap) of the relevant pairs; a title match takes precedence.
 
-    ``cv_picks`` (cv_id, job_id) are postings the candidate chose; with ``picked_sources`` they skip the tests.
+    ``cv_picks`` (cv_id, job_id) are postings the candidate chose; with ``picked_sources`` they skip the tests. ``top_skills`` keeps the first skills of a candidate only.
     """
     by_title = first_title_match(cv_queries, postings).select("cv_id", "job_id", "query")
-    top = cv_skills.select("cv_id", F.slice("skills", 1, TOP_SKILLS).alias("skills"))
+    top = cv_skills.select("cv_id", F.slice("skills", 1, top_skills).alias("skills")) if top_skills else cv_skills.select("cv_id", "skills")
     by_skill = shared_skills(top, job_skills)
     both = by_title.join(by_skill, ["cv_id", "job_id"], "full_outer")
     reason = F.when(F.col("query").isNotNull(), F.concat(F.lit("title matches '"), "query", F.lit("'"))).otherwise(

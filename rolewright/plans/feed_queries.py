@@ -151,8 +151,8 @@ def posting_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def content_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Retrieval lines per posting; the limit of eighteen is the operator's own."""
-    return P.content_chunks(_sectioned_postings(spark, sf_dir)).groupBy("job_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+    """Retrieval lines of every posting, whole."""
+    return P.content_chunks(_sectioned_postings(spark, sf_dir))
 
 
 def _land(rows: DataFrame, folder: str) -> None:
@@ -290,7 +290,8 @@ ORACLES = {
             UNION ALL SELECT doc_id, 'skip', 1 FROM c)
       SELECT doc_id::VARCHAR AS job_id, section, n::BIGINT AS n_lines FROM x WHERE n > 0""",
     "content_chunks": f"""WITH l AS ({lines_sql('documents', 'doc_id', 'text')})
-      SELECT d.doc_id::VARCHAR AS job_id, least(18, 1 + count(l.line_no) FILTER (length(l.text) >= 12)) AS n_chunks FROM documents d LEFT JOIN l ON l.doc_id = d.doc_id GROUP BY d.doc_id""",
+      SELECT doc_id::VARCHAR AS job_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no)::INTEGER AS chunk_no, text
+      FROM (SELECT doc_id, line_no, text FROM l WHERE length(text) >= 12 UNION ALL SELECT doc_id, 1.5, '3+ years of SQL' FROM documents)""",
     "captured_postings": f"""{_DOC}, c AS (SELECT *, 'Role ' || doc_id AS title, CASE WHEN doc_id % 5 = 0 THEN CASE WHEN length(t) >= 200 THEN t ELSE 'short' END ELSE t END AS body,
         CASE WHEN doc_id % 3 = 0 THEN 'https://www.linkedin.com/jobs/view/role-' || (doc_id + 1000000) || '/?x=1' ELSE 'https://e.example/jobs/1' END AS sent FROM d)
       SELECT CASE WHEN doc_id % 3 = 0 THEN 'linkedin:' || (doc_id + 1000000) ELSE 'linkedin:' || left(sha1(lower(title || '|' || source)), 12) END AS job_id, title,
@@ -302,7 +303,7 @@ ORACLES = {
         SELECT doc_id, source, {clean_sql("'Title: Role ' || doc_id || chr(10) || 'Entreprise: ' || source || chr(10) || chr(10) || text")} AS block, t AS body, 1 AS i FROM d
         UNION ALL SELECT doc_id, source, t, t, 2 FROM d)
       SELECT CASE i WHEN 1 THEN source ELSE 'Pasted posting 2' END AS company,
-             CASE WHEN regexp_matches(lower(left(body, 600)), 'remote|télétravail') THEN 'remote' WHEN contains(lower(left(body, 600)), 'hybrid') THEN 'hybrid' ELSE 'unknown' END AS workplace,
+             CASE WHEN regexp_matches(lower(body), 'remote|télétravail') THEN 'remote' WHEN contains(lower(body), 'hybrid') THEN 'hybrid' ELSE 'unknown' END AS workplace,
              count(*) AS n_postings, count(DISTINCT block) AS n_ids, sum(length(body))::BIGINT AS n_chars FROM c GROUP BY ALL""",
     "stream_upsert": """SELECT user_id::VARCHAR AS job_id, arg_max(event_type, ts) AS title, round(arg_max(value, ts), 4) AS value, epoch_us(max(ts)) AS landed_us FROM events GROUP BY user_id""",
     "stream_triage": f"""WITH now AS (SELECT doc_id, CASE WHEN doc_id % 20 = 10 THEN 'withdrawn' ELSE text END AS text FROM documents),

@@ -34,6 +34,11 @@ class Settings:
     jobs_to_tailor: int = 3
     idf_scope: str = "pair"
     picked_sources: tuple[str, ...] = ("pasted", "linkedin")
+    #: Limits, none by default: skills that count in triage, lines of a posting that are matched, musts and requirements of a posting that are judged.
+    top_skills: int | None = None
+    chunk_limit: int | None = None
+    must_limit: int | None = None
+    requirement_limit: int | None = None
 
 
 @dataclass
@@ -106,11 +111,11 @@ def run_match(
     )
     none = F.array().cast("array<string>")
     plans = cut_lineage(plans.join(ranked_families, "cv_id", "left").withColumn("titles", F.coalesce("titles", none)))
-    top = profiles.select("cv_id", F.slice("skills", 1, G.TOP_SKILLS).alias("skills"))
+    top = profiles.select("cv_id", F.slice("skills", 1, settings.top_skills).alias("skills")) if settings.top_skills else profiles.select("cv_id", "skills")
     overlaps = cut_lineage(G.shared_skills(top, job_skills))
     search = G.widen_search(plans, postings, overlaps, settings.min_relevant)
     queries = search.select("cv_id", F.posexplode("queries").alias("pos", "query"))
-    triaged = cut_lineage(G.triage(queries, postings, profiles, job_skills, settings.picked_sources, picks))
+    triaged = cut_lineage(G.triage(queries, postings, profiles, job_skills, settings.picked_sources, picks, settings.top_skills))
 
     # Shortlist
     query_text = profiles.select("cv_id", "headline", F.array_join("target_titles", " ").alias("titles")).join(
@@ -120,7 +125,7 @@ def run_match(
     docs = X.doc_tokens(pool, job_skills)
     stranded = cut_lineage(G.candidates_without_match(profiles, triaged))
     pairs = cut_lineage(triaged.select(*PAIR).distinct())
-    chunks = _chunk_terms(pool, aliases)
+    chunks = _chunk_terms(pool, aliases, settings.chunk_limit)
     lines = _unit_terms(units, unit_mentions, profiles)
     cosines = X.line_cosines(pairs, chunks, lines, settings.idf_scope)
     scores = X.bm25_in_pool(docs.join(pairs.select("job_id").distinct(), "job_id", "left_semi"), query, pairs).join(X.maxsim(pairs, chunks, cosines), PAIR)
@@ -132,7 +137,7 @@ def run_match(
 
     # Requirements and judgments
     wanted = pool.join(shortlist.select("job_id").distinct(), "job_id", "left_semi")
-    requirements = cut_lineage(P.extract_requirements(wanted, aliases))
+    requirements = cut_lineage(P.extract_requirements(wanted, aliases, None, settings.must_limit, settings.requirement_limit))
     facts = P.posting_facts(wanted, requirements)
     req_mentions = cut_lineage(M.tag_mentions(requirements.select("job_id", "req_no", "text"), ["job_id", "req_no"], "text", aliases))
     index = cut_lineage(J.skill_index(unit_mentions, units))
@@ -205,10 +210,10 @@ def _skill_lists(mentions: DataFrame, keys: list[str]) -> DataFrame:
     return mentions.groupBy(*keys).agg(F.array_sort(F.collect_set("skill")).alias("skills"))
 
 
-def _chunk_terms(postings: DataFrame, aliases: DataFrame) -> DataFrame:
+def _chunk_terms(postings: DataFrame, aliases: DataFrame, limit: int | None = None) -> DataFrame:
     """(job_id, chunk_no, terms): the title as chunk 0, then the content lines."""
     title = postings.select("job_id", F.lit(0).alias("chunk_no"), F.col("title").alias("text"))
-    rows = cut_lineage(title.unionByName(P.content_chunks(postings)))
+    rows = cut_lineage(title.unionByName(P.content_chunks(postings, limit)))
     skills = _skill_lists(M.tag_mentions(rows, ["job_id", "chunk_no"], "text", aliases), ["job_id", "chunk_no"])
     none = F.array().cast("array<string>")
     x = rows.join(skills, ["job_id", "chunk_no"], "left")

@@ -247,7 +247,7 @@ def compare_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def requirement_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = N.to_lines(texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), "text"), ["job_id"], "text")
     kinds = lines.select("job_id", "line_no", F.when(F.length("text") % 3 == 0, "nice").otherwise("must").alias("kind"), "text")
-    kept = P.prioritise(P.dedupe_lines(kinds).withColumn("line", F.col("line_no")))
+    kept = P.prioritise(P.dedupe_lines(kinds, P.WORDING_CHARS).withColumn("line", F.col("line_no")), P.MUST_LIMIT, P.REQUIREMENT_LIMIT)
     return kept.select("job_id", "req_no", "kind", "line")
 
 

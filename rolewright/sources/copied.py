@@ -168,18 +168,19 @@ def looks_copied(text: Column) -> Column:
 
 # --- Pasted batches ------------------------------------------------------------------------------------------
 PASTED_KEYS = {"title": "title|poste", "company": "company|entreprise", "location": "location|lieu", "url": "url"}
-PASTED_LIMIT = 10
+#: Of a pasted batch: postings that a user may want to be the most, lines that may hold ``Title:`` and the like.
+PASTED_LIMIT, PASTED_META_LINES = 10, 6
 
 
-def split_pasted(batches: DataFrame, key: str = "batch_id", col: str = "text") -> DataFrame:
-    """Postings of pasted batches: blocks between ``---`` lines, at most ten per batch, with optional
+def split_pasted(batches: DataFrame, key: str = "batch_id", col: str = "text", limit: int | None = None) -> DataFrame:
+    """Postings of pasted batches: blocks between ``---`` lines, the first ``limit`` of a batch if that is given, with optional
     ``Title:`` / ``Company:`` / ``Location:`` / ``URL:`` lines (or their French names) among the first six."""
     blocks = F.filter(F.transform(F.split(T.clean_text(F.col(col)), r"\n\s*-{3,}\s*\n"), T.strip), lambda b: b != "")
-    b = batches.select(key, F.posexplode(F.slice(blocks, 1, PASTED_LIMIT)).alias("i", "block")).withColumn(
+    b = batches.select(key, F.posexplode(F.slice(blocks, 1, limit) if limit else blocks).alias("i", "block")).withColumn(
         "lines", T.split_lines(F.col("block"))
     )
     any_key = "|".join(PASTED_KEYS.values())
-    top = F.slice("lines", 1, 6)
+    top = F.slice("lines", 1, PASTED_META_LINES)
     meta_re = rf"(?i)^\s*({any_key})\s*:\s*(.+?)\s*$"
 
     def meta(name: str) -> Column:
@@ -195,7 +196,7 @@ def split_pasted(batches: DataFrame, key: str = "batch_id", col: str = "text") -
     b = b.withColumn("body", F.when(rest != "", rest).otherwise(F.col("block"))).withColumn(
         "digest", F.substring(F.sha1("block"), 1, 10)
     )
-    low = F.lower(F.concat_ws(" ", F.coalesce("m_location", F.lit("")), F.substring("body", 1, 600)))
+    low = F.lower(F.concat_ws(" ", F.coalesce("m_location", F.lit("")), "body"))
     b = b.withColumn(
         "place", F.when(low.rlike("remote|télétravail"), "remote").when(low.contains("hybrid"), "hybrid").otherwise("unknown")
     )
@@ -268,7 +269,7 @@ def captures_to_postings(captures: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(low.rlike(r"(?U)\b(remote|télétravail|teletravail)\b|à distance"), "remote")
         .when(low.rlike(r"\b(on-site|onsite)\b|sur site|sur place"), "onsite")
     )
-    around = F.transform(T.split_lines(F.concat_ws("\n", "loc", F.substring("body", 1, 600))), T.one_line)
+    around = F.transform(T.split_lines(F.concat_ws("\n", "loc", "body")), T.one_line)
     place = F.coalesce(from_top, F.nullif("page.workplace", F.lit("unknown")), workplace_of_lines(around))
     intern = low.rlike(r"\b(internship|stage|stagiaire|alternance|apprenticeship)\b") | F.coalesce("page.internship", F.lit(False))
     number = F.regexp_extract("url", r"/jobs/view/(?:[^/?#]*?-)?([0-9]{6,})|[?&]currentJobId=([0-9]{6,})", 1)
