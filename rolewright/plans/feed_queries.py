@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..cluster import cut_lineage, shared_folder
 from ..functions import text as T
-from ..functions import vocab as V
 from ..operators import mentions as M
 from ..operators import postings as P
 from ..sources import copied, feeds
@@ -143,13 +142,6 @@ def posting_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.split_postings(_sectioned_postings(spark, sf_dir)).groupBy("job_id", "section").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
-def posting_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    postings = _sectioned_postings(spark, sf_dir)
-    reqs = cut_lineage(P.extract_requirements(postings, cut_lineage(V.alias_table(V.starter_skills(spark)))))
-    facts = P.posting_facts(postings, reqs)
-    return facts.groupBy("seniority", "min_years", "posting_language").agg(F.count(F.lit(1)).alias("n_postings"), F.sum("n_must").alias("n_must"), F.sum("n_nice").alias("n_nice"))
-
-
 def content_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieval lines of every posting, whole."""
     return P.content_chunks(_sectioned_postings(spark, sf_dir))
@@ -255,7 +247,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         feed_greenhouse, feed_lever, feed_ashby, feed_remotive, feed_arbeitnow, board_resolution, pasted_postings, captured_postings, copied_pages,
-        posting_sections, posting_facts, content_chunks, stream_upsert, stage_windows, stage_durations, stream_triage,
+        posting_sections, content_chunks, stream_upsert, stage_windows, stage_durations, stream_triage,
     )
 }
 
