@@ -358,6 +358,12 @@ ORACLES = {
     "page_lines": f"""WITH c AS (SELECT page_id, {html_text_sql('html')} AS t FROM pages)
       SELECT page_id, line_no::INTEGER AS line_no, text, is_bullet FROM ({lines_sql('c', 'page_id', 't')})""",
     "document_lines": f"SELECT doc_id, line_no::INTEGER AS line_no, text, is_bullet FROM ({lines_sql('documents', 'doc_id', 'text')})",
+    "packed_sentences": r"""WITH t AS (SELECT doc_id, regexp_replace(text, '\s+', ' ', 'g') AS x FROM documents),
+      s AS (SELECT doc_id, x, list_filter(list_transform(string_split(regexp_replace(x, '([.!?;])\s+([A-Z0-9À-Ý])', '\1' || chr(31) || '\2', 'g'), chr(31)), lambda y: trim(y)), lambda y: y <> '') AS ss FROM t),
+      p AS (SELECT doc_id, CASE WHEN length(x) <= 420 OR len(ss) = 0 THEN [x]
+              ELSE list_transform(string_split(list_reduce(list_concat([' ' || ss[1]], ss[2:]), lambda a, y: CASE WHEN length(string_split(a, chr(30))[-1]) + length(y) > 420 THEN a || chr(30) || ' ' || y ELSE a || ' ' || y END), chr(30)), lambda y: trim(y)) END AS packs
+            FROM s)
+      SELECT doc_id, len(packs)::INTEGER AS n_packs, list_max(list_transform(packs, lambda y: length(y)))::INTEGER AS longest FROM p""",
     "token_counts": f"""SELECT lang, count(*) AS n_tokens, count(DISTINCT token) AS n_distinct
       FROM (SELECT lang, unnest({tokens_sql('text')}) AS token FROM documents) GROUP BY lang""",
     "language_confusion": f"""WITH w AS (SELECT lang, regexp_extract_all({fold_sql('text')}, '[a-z]+') AS ws FROM documents),
