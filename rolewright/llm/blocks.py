@@ -33,16 +33,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Spans of this length and more are hashed by a second polynomial too, modulo a prime: modulo a power of two alone, any base lets some long sequences collide.
+LONG = 256
+_PRIME = np.uint64((1 << 31) - 1)
+_BASE = 0x2545F491
+_prime_powers = [np.ones(1, np.uint32), np.ones(1, np.uint32)]
+
+
+def _prime_powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    for k, base in enumerate((_BASE, pow(_BASE, -1, int(_PRIME)))):
+        while len(_prime_powers[k]) < n:  # twice as many a round: the known powers times the next one
+            known = _prime_powers[k]
+            step = np.uint64(pow(base, len(known), int(_PRIME)))
+            _prime_powers[k] = np.concatenate((known, (known.astype(np.uint64) * step % _PRIME).astype(np.uint32)))
+    return _prime_powers[0], _prime_powers[1]
+
+
 class Prefix:
-    """Polynomial hashes of any spans of one sequence from one pass of prefix sums."""
+    """Polynomial hashes of any spans of one sequence from one pass of prefix sums; of long spans from two."""
 
     def __init__(self, values: np.ndarray):
+        self.values, self.prime_sums = values, None
         self.up, self.down = _powers_to(len(values) + 1)
         self.sums = np.zeros(len(values) + 1, np.uint64)
         np.cumsum((values.astype(np.uint64) + np.uint64(1)) * self.up[: len(values)], out=self.sums[1:])
 
     def raw(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return (self.sums[ends] - self.sums[starts]) * self.down[starts]
+        value = (self.sums[ends] - self.sums[starts]) * self.down[starts]
+        long = np.flatnonzero(ends - starts >= LONG)
+        if len(long):
+            value[long] ^= mix(self._prime(starts[long], ends[long]))
+        return value
+
+    def _prime(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        n = len(self.values)
+        up, down = _prime_powers_to(n + 1)
+        if self.prime_sums is None:
+            terms = (self.values.astype(np.uint64) % _PRIME + np.uint64(1)) * up[:n]
+            # each term below 2 ** 32, so the sums of a block stay exact
+            self.prime_sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((terms & _PRIME) + (terms >> np.uint64(31)), dtype=np.uint64)))
+        return (self.prime_sums[ends] - self.prime_sums[starts]) % _PRIME * down[starts] % _PRIME
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """64-bit hashes of values[start:end]; equal for equal values wherever they stand."""
@@ -51,6 +81,8 @@ class Prefix:
     def runs(self, length: int) -> np.ndarray:
         """Hashes of all stretches of this length, by start."""
         n = len(self.sums) - length
+        if length >= LONG and n > 0:
+            return self.spans(np.arange(n), np.arange(n) + length)
         return mix((self.sums[length:] - self.sums[:n]) * self.down[:n]) if n > 0 else np.zeros(0, np.uint64)
 
 
