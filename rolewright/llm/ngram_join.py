@@ -7,8 +7,9 @@ the join on cells, size band by size band, finds every such pair. With a few cel
 shares fewer cells than that with all others together is left out before any pair is built. Sketches of single bits, one of fixed size and one as large as the set, then bound the
 difference of a pair from below by their Hamming distance, and the pairs that are left are verified on their shingles.
 
-Equal sets are one vertex. Pairs are verified hub by hub: first the cell's least set with each other one, most shared cells first, and then, only
-between components that are still apart, every pair of a cell. So a group of n near copies costs about n verifications and no link is lost.
+Equal sets are one vertex. Pairs are verified hub by hub: first the set of a cell that shares most with others with each other one, most shared cells first, and then, only
+between components that are still apart, the pairs of a cell. There the more equal cells of a similar pair serve again: each set leaves out its most common cells, as many
+as the pair can do without, and so the cells that a whole group of copies shares make no pairs. A group of n near copies costs about n verifications and no link is lost.
 """
 from __future__ import annotations
 
@@ -16,14 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolewright.llm import blocks as B
 from rolewright.llm.components import components
 from rolewright.llm.stage import broadcast_if_small, discard, identified, stage
 
-MINI_BITS = 512
+MINI_BITS, MINI_MOST = 512, 4096  # bits of the sketch that rows of a cell carry
 BAND_GROWTH = 1.5
 BAND_BITS = 6
 MORE_CELLS = 30  # percent of the cells that pigeonhole asks for
@@ -144,7 +145,7 @@ def sketched(rows: DataFrame, words: int, percent: int, block_bytes: int = B.BLO
                 keep = first[row] if len(row) else np.zeros(0, bool)
                 keys, width = cells_of(row[keep], value[keep], np.where(first, sizes, 0), percent)
                 large = np.where(first, np.maximum(MINI_BITS, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64)), 0)
-                mini, sketch = (_parity(row[keep], value[keep], width) for width in (np.where(first, MINI_BITS, 0), large))
+                mini, sketch = (_parity(row[keep], value[keep], width) for width in (np.minimum(large, MINI_MOST), large))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(width))).astype(np.int32)), pa.array(keys))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes), pa.array(set_id), pa.array(first), lists, mini, sketch], [c.split()[0] for c in _SKETCHED.split(", ")])
 
@@ -181,6 +182,16 @@ def _shared_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield from out(*(np.array([x]) for x in (*held, hub, run)))
 
 
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """Bit sketches, one a row, folded to the width of the smallest one: half of a sketch XOR its other half is the sketch of half the size."""
+    least = min(map(len, sketches))
+    rows = []
+    for x in sketches:
+        bits = np.frombuffer(x, np.uint64)
+        rows.append(np.bitwise_xor.reduce(bits.reshape(-1, least // 8), axis=0))
+    return np.stack(rows)
+
+
 def _pairs_apart(percent: int):
     """Pairs of different components within a cell block whose sizes and bit sketches allow the similarity."""
 
@@ -202,17 +213,18 @@ def _pairs_apart(percent: int):
         if not table.num_rows:  # all rows so far are of the group that is held
             return
         sets, size, root, own, i, j = (table[c].to_numpy() for c in ("set_id", "n", "root", "own", "i", "j"))
-        bits = np.frombuffer(b"".join(table["mini"].to_pylist()), np.uint64).reshape(table.num_rows, -1)
+        mini = table["mini"].to_pylist()
         for lo, hi in zip(begins, np.append(begins[1:], table.num_rows), strict=True):
             if (root[lo:hi] == root[lo]).all():
                 continue
             at = np.arange(lo, hi)
+            bits = _folded(mini[lo:hi])
             left, right = at[own[lo:hi] == i[lo]], at[own[lo:hi] == j[lo]]
             for x in left.tolist():
                 y = right[(root[right] != root[x]) & (np.minimum(size[right], size[x]) * 100 >= np.maximum(size[right], size[x]) * percent)]
                 if i[lo] == j[lo]:
                     y = y[sets[y] > sets[x]]
-                y = y[np.bitwise_count(bits[y] ^ bits[x]).sum(1) * (100 + percent) <= (size[y] + size[x]) * (100 - percent)]
+                y = y[np.bitwise_count(bits[y - lo] ^ bits[x - lo]).sum(1, dtype=np.int64) * (100 + percent) <= (size[y] + size[x]) * (100 - percent)]
                 if len(y):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sets[y], sets[x])), pa.array(np.maximum(sets[y], sets[x]))], ["a", "b"])
 
@@ -314,7 +326,8 @@ def similar_documents(
     second = verify(_apart(stars.select("a", "b"), roots).join(first.select("a", "b"), ["a", "b"], "left_anti"))
     tested = first.unionByName(second)
     roots = components(tested.where("linked"))
-    apart = _cell_pairs(shared, sets, roots, percent, cell_rows).join(stars.select("a", "b"), ["a", "b"], "left_anti")
+    starred = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    apart = _cell_pairs(shared, sets, roots, percent, cell_rows).join(starred, ["a", "b"], "left_anti")
     third = verify(verify.near(apart.withColumn("cells", F.lit(1).cast("long"))).select("a", "b"))
     roots = components(tested.unionByName(third).where("linked"))
     discard(first, second, third, stars, shared, sets, *verify.lists)
@@ -327,21 +340,32 @@ def similar_documents(
     return named.unionByName(whole.where("n_shingles = 0").select("doc", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root")))
 
 
-def _able(shared: DataFrame, percent: int, passes: int = 2) -> DataFrame:
-    """Without the rows of sets that share too few cells of a band with others to be similar to any: each set needs as many equal cells as its band has beyond
-    those that a similar set may differ in. Every pass may make others unable."""
+def _able(shared: DataFrame, percent: int) -> DataFrame:
+    """``cell, set_id, n, hub, prefix`` without the sets that share too few cells of a band with others to be similar to any: each set needs as many equal cells as its band has
+    beyond those that a similar set may differ in. The second pass starts from what the first one left.
+
+    A similar pair has ``need`` equal cells at least, so it still has one when each set leaves out its ``need - 1`` most common ones; ``prefix`` tells those that are not left out.
+    The hub of a cell is the set whose cells others have most often: among near copies the one that most others are close to."""
     _, cells = size_bands(1 << 40, percent)
     band = F.col("cell").bitwiseAND((1 << BAND_BITS) - 1).cast("int")
     of_band = F.element_at(F.array(*[F.lit(int(c)) for c in cells]), F.col("band") + 1)
     differ = F.floor((F.col("n") + F.floor(F.col("n") * 100 / percent)) * (100 - percent) / (100 + percent))
-    for _ in range(passes):
-        able = shared.groupBy("set_id", band.alias("band")).agg(F.count("*").alias("m"), F.max("n").alias("n")).where(F.col("m") >= of_band - differ).select("set_id", "band")
-        left = shared.drop("hub").withColumn("band", band).join(able, ["set_id", "band"]).drop("band")
-        hubs = left.groupBy("cell").agg(F.min("set_id").alias("hub"), F.count("*").alias("m")).where("m > 1").drop("m")
-        now = stage(left.join(hubs, "cell").select("cell", "set_id", "n", "hub"), "cells")
-        discard(shared)
-        shared = now
-    return shared
+    rows = shared.select("cell", "set_id", "n", F.lit(1).cast("long").alias("m"), band.alias("band"))
+    for last in (False, True):
+        able = rows.groupBy("set_id", "band").agg(F.count("*").alias("own"), F.max("n").alias("n"), F.sum("m").alias("common"))
+        able = able.withColumn("need", of_band - differ).where("own >= need").select("set_id", "band", "need", "common")
+        left = rows.join(able, ["set_id", "band"])
+        most = F.max_by("set_id", F.struct("common", F.negative("set_id"))).alias("hub")
+        hubs = left.groupBy("cell").agg(F.count("*").alias("now"), most).where("now > 1")
+        if not last:
+            now = stage(left.select("cell", "set_id", "n", "band").join(hubs.select("cell", F.col("now").alias("m")), "cell"), "cells")
+            rows = now
+            continue
+        rank = F.row_number().over(Window.partitionBy("set_id", "band").orderBy(F.desc("m"), "cell"))
+        left = left.withColumn("prefix", rank >= F.col("need"))
+        done = stage(left.select("cell", "set_id", "n", "prefix").join(hubs.select("cell", "hub"), "cell"), "cells")
+    discard(shared, now)
+    return done
 
 
 def _rooted(frame: DataFrame, column: str, roots: DataFrame, name: str) -> DataFrame:
@@ -356,7 +380,7 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 def _cell_pairs(shared: DataFrame, sets: DataFrame, roots: DataFrame, percent: int, cell_rows: int) -> DataFrame:
     """All pairs of sets that share a cell, lie in different components and may be similar by their bit sketches. Cells with many sets are dealt
     out as pairs of blocks; what leaves a task is not all pairs of a cell but those within the bound."""
-    rooted = _rooted(shared, "set_id", roots, "root")
+    rooted = _rooted(shared.where("prefix"), "set_id", roots, "root")
     mixed = rooted.groupBy("cell").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("cell", F.ceil(F.col("m") / cell_rows).cast("int").alias("k"))
     members = rooted.join(mixed, "cell").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("k")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))

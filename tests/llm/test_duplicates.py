@@ -3,10 +3,11 @@ import random
 import re
 
 import brute as X
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from rolewright.llm import components, decontaminate, line_dedup, ngram_join, suffix_dedup
+from rolewright.llm import blocks, components, decontaminate, line_dedup, ngram_join, suffix_dedup
 
 
 @pytest.fixture(scope="module")
@@ -60,6 +61,43 @@ def test_pairs_of_a_single_cell_block_whatever_the_batches(rows):
         assert got == near and got
 
 
+def test_candidates_of_a_large_group_of_near_copies_stay_few(spark, monkeypatch):
+    draw = random.Random(13)
+    vocab = [f"w{i}" for i in range(3000)]
+    base, rows = [draw.choice(vocab) for _ in range(120)], []
+    for i in range(500):  # few copies are similar enough to the base text, most stay alone
+        words = list(base)
+        for _ in range(draw.randrange(1, 9)):
+            words[draw.randrange(120)] = draw.choice(vocab)
+        rows.append((7000 + i, " ".join(words)))
+    pairs, plain = [], ngram_join._cell_pairs
+    monkeypatch.setattr(ngram_join, "_cell_pairs", lambda *a: pairs.append(plain(*a).count()) or plain(*a))
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_documents(X.table(spark, rows), 5, 80).collect()]
+    assert X.ordered(got) == X.ordered(X.jaccard_components(rows, 5, 80))
+    assert len({c for _, _, c in got}) > 200 and pairs[0] < 2 * len(rows)
+
+
+def _colliding(n):
+    """Two sequences of n bytes, n a power of two of 1,024 or more, that collide under every polynomial modulo 2 ** 64 with an odd base."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_long_spans_that_one_polynomial_cannot_tell_apart(spark):
+    one, two = _colliding(1024)
+    data = np.frombuffer((one + two + one).encode(), np.uint8)
+    starts = np.array([0, 1024, 2048])
+    found = blocks.Prefix(data).spans(starts, starts + 1024).tolist()
+    assert found[0] == found[2] != found[1]
+    values = blocks.Prefix(np.random.default_rng(3).integers(0, 1 << 63, 3000).astype(np.uint64).repeat(2).reshape(-1, 2).T.reshape(-1))
+    at = np.arange(0, 2700, 7)
+    assert (values.spans(at, at + 300) == values.spans(at + 3000, at + 3300)).all() and len(set(values.runs(300).tolist())) == 3000
+    docs = X.table(spark, [(1, f"{one}\n{one}x\n{two}"), (2, f"{two}\n{two}x\n{one}")])
+    assert [list(r.removed) for r in line_dedup.remove_repeated_lines(docs, words=None).collect()] == [[], []]
+    docs = X.table(spark, [(1, f"{one} same"), (2, f"{two} same")])
+    assert {r.component_id for r in ngram_join.similar_documents(docs, 1, 80).collect()} == {1, 2}
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 120)] + [(7, 7)]
     random.Random(2).shuffle(edges)
