@@ -24,11 +24,36 @@ def _row(*cells: Column) -> Column:
     return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
 
 
-def match_report(
+#: Sections of a report in order, with the text that opens and closes each.
+SECTIONS = (
+    ("", ""),
+    ("## Ranked jobs\n\n| # | Job | Company | Fit | Must-haves | Nice-to-haves | Flags |\n|---|-----|---------|-----|------------|---------------|-------|\n", ""),
+    ("", ""),
+    ("## Learn next\n\n| Skill | Jobs asking | As must-have | Jobs fully unlocked | Avg. fit gain |\n|---|---|---|---|---|\n", "\n"),
+    ("## Tailored bullets\n\n", ""),
+    ("## Sources\n", ""),
+)
+PROFILE, RANKED, DETAILS, LEARN, BULLETS, SOURCES = range(len(SECTIONS))
+LAST = (1 << 31) - 1
+
+
+def _listed(value: str, separator: str, *order: str) -> Column:
+    return F.expr(f"listagg({value}, '{separator}') WITHIN GROUP (ORDER BY {', '.join(order)})")
+
+
+def _lines(frame: DataFrame, part: int, line: Column, a: Column | int = 0, b: Column | int = 0, c: Column | int = 0) -> DataFrame:
+    """Lines of a section with their place in it."""
+    places = [(x if isinstance(x, Column) else F.lit(x)).cast("long").alias(n) for x, n in ((a, "a"), (b, "b"), (c, "c"))]
+    return frame.select("cv_id", F.lit(part).alias("part"), *places, line.alias("line"))
+
+
+def report_lines(
     profiles: DataFrame, ranked: DataFrame, postings: DataFrame, requirements: DataFrame, judgments: DataFrame,
     units: DataFrame, flags: DataFrame, learn: DataFrame, tailored: DataFrame, checked: DataFrame, mode: str = "rules",
+    top_skills: int | None = None, quote_chars: int | None = None,
 ) -> DataFrame:
-    """(cv_id, markdown). The report covers the shortlisted postings of a candidate, which are few."""
+    """(cv_id, part, a, b, c, line): all lines of all reports; part, a, b, c and line order those of a candidate. A row is a line of one requirement, posting, skill, draft or source, so no row
+    and no group grows with the number of postings of a candidate. ``top_skills`` and ``quote_chars`` shorten the list of skills and the quotes; by default both are whole."""
     p = profiles.select(
         "cv_id",
         F.concat_ws(
@@ -46,38 +71,29 @@ def match_report(
                 F.lit("- **Languages:** "),
                 _dash(F.array_join(F.transform(F.map_entries("languages"), lambda e: F.concat(e["key"], F.lit(" ("), e["value"].cast("string"), F.lit("/5)"))), ", ")),
             ),
-            F.concat(F.lit("- **Skills found:** "), _dash(F.array_join(F.slice("skills", 1, 30), ", "))),
+            F.concat(F.lit("- **Skills found:** "), _dash(F.array_join(F.slice("skills", 1, top_skills) if top_skills else F.col("skills"), ", "))),
         ).alias("s_profile"),
     )
     j = ranked.join(postings.select("job_id", "title", "company", "url", F.col("location").alias("place"), "workplace", "attribution", "source_label"), "job_id")
-    messages = flags.groupBy(*PAIR).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "message"))), lambda x: x["message"]), "; ").alias("flags"))
+    messages = flags.groupBy(*PAIR).agg(_listed("message", "; ", "seq").alias("flags"))
     title = F.when(F.col("url") != "", F.concat(F.lit("["), "title", F.lit("]("), "url", F.lit(")"))).otherwise(F.col("title"))
     line = _row(
         F.col("rank").cast("string"), title, F.col("company"), _whole(F.col("fit")), _percent(F.col("must_coverage")),
         _percent(F.col("nice_coverage")), _dash(F.col("flags")),
     )
-    quote = units.select("cv_id", "unit_id", F.substring("text", 1, 90).alias("quote"))
-    evidence = (
-        judgments.select(*PAIR, "req_no", F.posexplode_outer("evidence_ids").alias("at", "unit_id"))
-        .join(quote, ["cv_id", "unit_id"], "left")
-        .groupBy(*PAIR, "req_no")
-        .agg(F.array_sort(F.collect_list(F.when(F.col("quote").isNotNull(), F.struct("at", F.concat("unit_id", F.lit(": “"), "quote", F.lit("”")).alias("e"))))).alias("ev"))
-        .select(*PAIR, "req_no", _dash(F.array_join(F.transform("ev", lambda x: x["e"]), " / ")).alias("ev"))
-    )
+    quote = units.select("cv_id", "unit_id", (F.substring("text", 1, quote_chars) if quote_chars else F.col("text")).alias("quote"))
+    cited = judgments.select(*PAIR, "req_no", F.posexplode_outer("evidence_ids").alias("at", "unit_id")).join(quote, ["cv_id", "unit_id"], "left")
+    cited = cited.withColumn("e", F.concat("unit_id", F.lit(": “"), "quote", F.lit("”")))
+    evidence = cited.groupBy(*PAIR, "req_no").agg(_listed("e", " / ", "at").alias("ev")).withColumn("ev", _dash(F.col("ev")))
     wording = F.when(
         F.col("gap_type") == "wording", F.concat(F.lit(" *(you write “"), "cv_term", F.lit("”, they write “"), "jd_term", F.lit("”)*"))
     ).otherwise("")
     mark = F
     for v, m in MARKS.items():
         mark = mark.when(F.col("verdict") == v, m)
-    table = (
-        judgments.drop("kind").join(requirements.select("job_id", "req_no", "text", "kind"), ["job_id", "req_no"])
-        .join(evidence, [*PAIR, "req_no"])
-        .groupBy(*PAIR)
-        .agg(F.array_sort(F.collect_list(F.struct("req_no", _row(F.col("text"), F.col("kind"), mark, F.concat("ev", wording)).alias("r")))).alias("rs"))
-        .select(*PAIR, F.array_join(F.transform("rs", lambda x: x["r"]), "\n").alias("rows"))
-    )
-    detail = F.concat_ws(
+    asked = judgments.drop("kind").join(requirements.select("job_id", "req_no", "text", "kind"), ["job_id", "req_no"])
+    asked = asked.join(evidence, [*PAIR, "req_no"]).join(ranked.select(*PAIR, "rank"), PAIR)
+    head = F.concat_ws(
         "\n",
         F.concat(F.lit("### "), F.col("rank").cast("string"), F.lit(". "), "title", F.lit(" — "), "company"),
         F.concat(
@@ -86,56 +102,56 @@ def match_report(
         ),
         F.when(F.col("url") != "", F.concat(F.lit("Posting: "), "url")),
         F.lit("\n| Requirement | Kind | Verdict | Evidence from your CV |\n|---|---|---|---|"),
-        F.col("rows"),
-        F.lit(""),
-    )
-    jobs = (
-        j.join(messages, PAIR, "left").join(table, PAIR, "left")
-        .groupBy("cv_id")
-        .agg(
-            F.array_sort(F.collect_list(F.struct("rank", line.alias("l"), detail.alias("d")))).alias("js"),
-            F.array_sort(F.collect_set(F.coalesce("attribution", "source_label"))).alias("sources"),
-        )
-        .select(
-            "cv_id",
-            F.concat(
-                F.lit("## Ranked jobs\n\n| # | Job | Company | Fit | Must-haves | Nice-to-haves | Flags |\n|---|-----|---------|-----|------------|---------------|-------|\n"),
-                F.array_join(F.transform("js", lambda x: x["l"]), "\n"), F.lit("\n\n"), F.array_join(F.transform("js", lambda x: x["d"]), "\n"),
-            ).alias("s_jobs"),
-            F.concat(F.lit("## Sources\n"), F.array_join(F.transform("sources", lambda s: F.concat(F.lit("- "), s)), "\n")).alias("s_sources"),
-        )
     )
     item = _row(
         F.col("skill"), F.col("jobs_requiring").cast("string"), F.col("must_count").cast("string"), F.col("unlocks").cast("string"),
         F.concat(F.lit("+"), _whole(F.col("fit_gain")), F.lit(" pts")),
     )
-    learning = learn.groupBy("cv_id").agg(F.array_sort(F.collect_list(F.struct("place", item.alias("l")))).alias("ls")).select(
-        "cv_id",
-        F.concat(
-            F.lit("## Learn next\n\n| Skill | Jobs asking | As must-have | Jobs fully unlocked | Avg. fit gain |\n|---|---|---|---|---|\n"),
-            F.array_join(F.transform("ls", lambda x: x["l"]), "\n"), F.lit("\n"),
-        ).alias("s_learn"),
-    )
-    rejected = checked.where(F.size("problems") > 0).groupBy(*PAIR, "unit_no").agg(
-        F.array_sort(F.collect_list(F.struct("attempt", F.concat(F.lit("  - Rejected draft: “"), "draft", F.lit("” — "), F.array_join("problems", "; ")).alias("l")))).alias("rj")
-    )
+    places = j.select(*PAIR, "rank", "title")
     block = F.concat_ws(
         "\n",
         F.concat(F.lit("**For "), "title", F.lit("** (E"), F.col("unit_no").cast("string"), F.lit(", "), F.replace("status", F.lit("_"), F.lit(" ")), F.lit(")\n")),
         F.concat(F.lit("- Before: "), "original"),
         F.concat(F.lit("- After: "), "final"),
-        F.nullif(F.array_join(F.transform("rj", lambda x: x["l"]), "\n"), F.lit("")),
-        F.lit(""),
-    )
-    bullets = (
-        tailored.join(rejected, [*PAIR, "unit_no"], "left").join(j.select(*PAIR, "rank", "title"), PAIR)
-        .groupBy("cv_id").agg(F.array_sort(F.collect_list(F.struct("rank", "unit_no", block.alias("b")))).alias("bs"))
-        .select("cv_id", F.concat(F.lit("## Tailored bullets\n\n"), F.array_join(F.transform("bs", lambda x: x["b"]), "\n")).alias("s_bullets"))
     )
-    out = p.join(jobs, "cv_id", "left").join(learning, "cv_id", "left").join(bullets, "cv_id", "left")
-    return out.select("cv_id", F.concat_ws("\n\n", "s_profile", "s_jobs", "s_learn", "s_bullets", "s_sources").alias("markdown"))
+    written = tailored.join(places, PAIR)
+    refused = checked.where(F.size("problems") > 0).join(written.select(*PAIR, "unit_no", "rank"), [*PAIR, "unit_no"])
+    refusal = F.concat(F.lit("  - Rejected draft: “"), "draft", F.lit("” — "), F.array_join("problems", "; "))
+    rank, unit = F.col("rank"), F.col("unit_no")
+    parts = [
+        _lines(p, PROFILE, F.col("s_profile")),
+        _lines(j.join(messages, PAIR, "left"), RANKED, line, rank),
+        _lines(j, DETAILS, head, rank, -1),
+        _lines(asked, DETAILS, _row(F.col("text"), F.col("kind"), mark, F.concat("ev", wording)), rank, F.col("req_no")),
+        _lines(j, DETAILS, F.lit(""), rank, LAST),
+        _lines(learn, LEARN, item, F.col("place")),
+        _lines(written, BULLETS, block, rank, unit, -1),
+        _lines(refused, BULLETS, refusal, rank, unit, F.col("attempt")),
+        _lines(written, BULLETS, F.lit(""), rank, unit, LAST),
+        _lines(j.select("cv_id", F.coalesce("attribution", "source_label").alias("named")).distinct(), SOURCES, F.concat(F.lit("- "), "named")),
+    ]
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+    return every.where("line is not null")
+
+
+def match_report(
+    profiles: DataFrame, ranked: DataFrame, postings: DataFrame, requirements: DataFrame, judgments: DataFrame,
+    units: DataFrame, flags: DataFrame, learn: DataFrame, tailored: DataFrame, checked: DataFrame, mode: str = "rules",
+    top_skills: int | None = None, quote_chars: int | None = None,
+) -> DataFrame:
+    """(cv_id, markdown) for every profile, put together section by section. Candidates without a profile have no report; sections without lines are left out."""
+    lines = report_lines(profiles, ranked, postings, requirements, judgments, units, flags, learn, tailored, checked, mode, top_skills, quote_chars)
+    opens, closes = (F.element_at(F.array(*[F.lit(x[k]) for x in SECTIONS]), F.col("part") + 1) for k in (0, 1))
+    sections = lines.groupBy("cv_id", "part").agg(_listed("line", "\\n", "a", "b", "c", "line").alias("body"))
+    whole = sections.withColumn("body", F.concat(opens, "body", closes))
+    return whole.groupBy("cv_id").agg(_listed("body", "\\n\\n", "part").alias("markdown"), F.min("part").alias("least")).where(F.col("least") == PROFILE).drop("least")
 
 
-def write_reports(reports: DataFrame, path: str) -> None:
-    """One Parquet table of reports; a folder per candidate would mean millions of tiny files."""
-    reports.write.mode("overwrite").parquet(path)
+def write_reports(reports: DataFrame, path: str, folders: bool = False) -> None:
+    """One Parquet table of reports; with ``folders`` a text file in a folder per candidate, which for very many candidates means as many small files."""
+    if folders:
+        reports.select("cv_id", F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("cv_id").text(path)
+    else:
+        reports.write.mode("overwrite").parquet(path)

@@ -4,6 +4,8 @@ import samples
 from pyspark.sql import functions as F
 
 from rolewright.operators import cv as C
+from rolewright.operators import report as R
+from rolewright.schemas import POSTING
 
 
 def by(df, *keys):
@@ -80,3 +82,16 @@ def test_report_covers_every_stage(run):
     for part in ("## Profile", "## Ranked jobs", "you write “AMDEC”, they write “FMEA”", "## Learn next", "## Tailored bullets", "Rejected draft", "## Sources"):
         assert part in text
     assert samples.JOB_COOK.split()[0] not in text
+
+
+def test_report_folders_and_a_candidate_without_postings(spark, run, tmp_path):
+    R.write_reports(run.reports, str(tmp_path / "reports"), folders=True)
+    back = {r.cv_id: r.value for r in spark.read.text(str(tmp_path / "reports"), wholetext=True).collect()}
+    assert {k: v.removesuffix("\n") for k, v in back.items()} == {r.cv_id: r.markdown.removesuffix("\n") for r in run.reports.collect()}
+    frames = [run.ranked, spark.createDataFrame(samples.posting_rows(), POSTING), run.requirements, run.judgments, run.units, run.flags, run.learn, run.tailored]
+    tries = spark.createDataFrame([], "cv_id string, job_id string, unit_no int, attempt int, draft string, problems array<string>")
+    bare = {r.cv_id: r.markdown for r in R.match_report(run.profiles, *(f.limit(0) for f in frames), tries).collect()}
+    assert set(bare) == set(back) and all("## Profile" in t and t.count("## ") == 1 for t in bare.values())
+    assert R.match_report(run.profiles.limit(0), *frames, tries).count() == 0
+    short = {r.cv_id: r.markdown for r in R.match_report(run.profiles, *frames, tries, top_skills=1, quote_chars=5).collect()}
+    assert "“Partic”" not in short["student"] and "“Parti”" in short["student"]
