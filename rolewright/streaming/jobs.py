@@ -30,12 +30,13 @@ def start_ingest(
 ) -> StreamingQuery:
     """Normalise arriving postings and append their changes, one folder per batch.
 
-    A posting re-sent unchanged within ``late`` is dropped in the stream; a changed one becomes a new version.
+    A version re-sent within ``late`` is dropped in the stream; any other becomes a new version, also one that goes back to an
+    earlier content, or a later one with the same.
     ``current_postings`` folds the versions, so no batch rewrites the table.
     """
     rows = normalise(arriving)
     hashed = rows.withColumn("content_hash", F.xxhash64(*[c for c in rows.columns if c != event_time]))
-    fresh = hashed.withWatermark(event_time, late).dropDuplicatesWithinWatermark([key, "content_hash"])
+    fresh = hashed.withWatermark(event_time, late).dropDuplicatesWithinWatermark([key, event_time, "content_hash"])
 
     def append(batch: DataFrame, batch_id: int) -> None:
         latest_per_id(batch.withColumn("batch_id", F.lit(batch_id)), key, event_time).write.mode("overwrite").parquet(
