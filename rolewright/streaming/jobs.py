@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..cluster import spread_small
 from ..operators.triage import shared_skills
 from ..sources.saved import latest_per_id
 
@@ -124,7 +125,8 @@ def start_scoring(
     posting: one that is sent again replaces its pairs, also by none. With ``event_time`` the latest version of an id counts within a batch.
     """
     def score(batch: DataFrame, batch_id: int) -> None:
-        rows = latest_per_id(batch, key, event_time) if event_time else batch
+        spread = spread_small(batch)  # a batch may be one file, which few tasks read
+        rows = latest_per_id(spread, key, event_time) if event_time else spread
         held = job_skills_of(rows)
         pairs = shared_skills(cv_skills, held, threshold) if threshold else shared_skills(cv_skills, held)
         for name, table in (("pairs", pairs), ("seen", rows.select(F.col(key).alias("job_id")).distinct())):
