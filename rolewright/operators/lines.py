@@ -65,6 +65,12 @@ def to_lines(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
     )
 
 
+def line_texts(text: Column) -> Column:
+    """Array of the texts that ``to_lines`` gives, inside the row."""
+    shown = F.transform(F.filter(T.split_lines(text), lambda r: F.trim(r) != ""), lambda r: T.bullet_parts(r)["text"])
+    return F.filter(shown, lambda t: t != "")
+
+
 def pack_sentences(text: Column, limit: int = 420) -> Column:
     """Array of sentence groups of about ``limit`` characters, filled greedily."""
     empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
