@@ -11,7 +11,8 @@ from ..operators import scoring as S
 from ..operators import tailor as L
 from ..functions import vocab as V
 from ..sources import feeds, saved
-from .tables import JUDGMENTS_SQL, judgments, table
+from ..cluster import spread_by
+from .tables import JUDGMENTS_SQL, judgments, line_rows, table
 
 
 def _analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +41,7 @@ def fit_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def skill_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = judgments(spark, sf_dir)
+    j = spread_by(judgments(spark, sf_dir), line_rows(spark, sf_dir), "cv_id", "skill")
     return S.skill_demand(j.where("verdict = 'met'").select("cv_id", "skill"), j.select("cv_id", "job_id", "skill"))
 
 
