@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import rank_all, top_k
+from ..cluster import rank_all, spread_by, top_k
 from ..functions import text as T
 
 MUST_WEIGHT = 0.75
@@ -110,15 +110,16 @@ def fit_bands(analyses: DataFrame, by: list[str]) -> DataFrame:
 
 
 # --- Learn next ----------------------------------------------------------------------------------------------------
-def learn_next(judgments: DataFrame, analyses: DataFrame) -> DataFrame:
+def learn_next(judgments: DataFrame, analyses: DataFrame, rows: int = 0) -> DataFrame:
     """(cv_id, skill, jobs_requiring, must_count, unlocks, fit_gain, job_ids) for every missing skill; ``job_ids`` are the
     candidate's analysed postings that ask for it, in order.
 
     ``judgments(cv_id, job_id, req_no, kind, verdict, missing_skills)``. Learning a skill turns a judgment to met
     when nothing else is missing in it, and missing to partial otherwise. The new coverage of a pair is its old
     sums plus the change, so only the judgments that lack the skill are touched: rows are exploded once and
-    summed twice, and nothing is joined back to the full judgment table.
+    summed twice, and nothing is joined back to the full judgment table. ``rows``, the number of judgments if it is known, sets the number of tasks.
     """
+    judgments = spread_by(judgments, rows, *PAIR)
     v = half_points(F.col("verdict"))
     is_must = F.col("kind") == "must"
     after = F.when(F.size("missing_skills") == 1, 2).when(F.col("verdict") == "missing", 1).otherwise(v)
@@ -141,7 +142,7 @@ def learn_next(judgments: DataFrame, analyses: DataFrame) -> DataFrame:
     # Gains have four decimals; their mean is rounded half up on whole numbers, so ties do not depend on the order
     # in which partial sums arrive.
     n, total = F.count(F.lit(1)), F.sum(F.round(F.col("gain") * 10_000).cast("long"))
-    return x.groupBy("cv_id", "skill").agg(
+    return spread_by(x, rows, "cv_id").groupBy("cv_id", "skill").agg(
         n.alias("jobs_requiring"),
         F.count_if("asked_as_must").alias("must_count"),
         F.count_if("opened").alias("unlocks"),

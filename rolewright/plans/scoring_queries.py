@@ -55,8 +55,9 @@ def combine_all_any(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def learn_next(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = judgments(spark, sf_dir)
-    return S.top_learn(S.learn_next(j, S.coverage(j))).withColumn("job_ids", F.array_join(F.col("job_ids").cast("array<string>"), ","))
+    rows = line_rows(spark, sf_dir)
+    j = spread_by(judgments(spark, sf_dir), rows, "cv_id", "job_id")
+    return S.top_learn(S.learn_next(j, S.coverage(j), rows)).withColumn("job_ids", F.array_join(F.col("job_ids").cast("array<string>"), ","))
 
 
 def select_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 import pytest
 
 from rolewright import cluster
+from rolewright.operators import scoring as S
 from rolewright.plans import scoring_queries, tables
 
 SMALL = "/root/testdata/sf0.001"
@@ -9,7 +10,7 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture
 def few_rows_a_task(monkeypatch):
-    for module in (scoring_queries, tables):
+    for module in (S, scoring_queries, tables):
         monkeypatch.setattr(module, "spread_by", lambda df, rows, *keys: cluster.spread_by(df, rows, *keys, task_rows=200))
 
 
@@ -31,3 +32,12 @@ def test_skill_demand_is_counted_in_tasks_of_bounded_size(spark, few_rows_a_task
     got = rows(df)
     monkeypatch.undo()
     assert got == rows(scoring_queries.skill_demand(spark, SMALL))
+
+
+def test_learn_next_is_summed_in_tasks_of_bounded_size(spark, few_rows_a_task, monkeypatch):
+    df = scoring_queries.learn_next(spark, SMALL)
+    # neither the gaps of a pair, nor its sums, nor the gains of a candidate fall back to the session's partitions
+    assert df.rdd.getNumPartitions() == tasks(spark) and "ENSURE_REQUIREMENTS" not in plan(df).replace("SinglePartition, ENSURE_REQUIREMENTS", "")
+    got = rows(df)
+    monkeypatch.undo()
+    assert got == rows(scoring_queries.learn_next(spark, SMALL))
