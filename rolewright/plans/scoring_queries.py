@@ -185,7 +185,8 @@ def saved_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tailoring_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as drafts: the line number is the attempt, a quantity under 20 is a rejected draft."""
-    j = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    li = spread_by(table(spark, sf_dir, "lineitem"), line_rows(spark, sf_dir), "l_orderkey")
+    j = li.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     drafts = j.groupBy(F.col("o_custkey").alias("cv_id"), F.col("o_orderkey").alias("job_id"), F.col("l_linenumber").alias("attempt")).agg(F.max("l_quantity").alias("q"))
     checked = drafts.select(
         "cv_id", "job_id", "attempt", F.lit("original").alias("original"), F.concat(F.lit("draft "), F.col("attempt").cast("string")).alias("draft"),

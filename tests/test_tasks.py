@@ -41,3 +41,13 @@ def test_learn_next_is_summed_in_tasks_of_bounded_size(spark, few_rows_a_task, m
     got = rows(df)
     monkeypatch.undo()
     assert got == rows(scoring_queries.learn_next(spark, SMALL))
+
+
+def test_drafts_are_verified_in_tasks_of_bounded_size(spark, few_rows_a_task, monkeypatch):
+    df = scoring_queries.tailoring_summary(spark, SMALL)
+    assert f", {tasks(spark)}), REPARTITION_BY_NUM" in plan(df)
+    # only the counts of a candidate are dealt out once more
+    assert all("cv_id" in line for line in plan(df).splitlines() if "hashpartitioning" in line and "ENSURE_REQUIREMENTS" in line)
+    got = rows(df)
+    monkeypatch.undo()
+    assert got == rows(scoring_queries.tailoring_summary(spark, SMALL))
