@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import checked_broadcast, cut_lineage, first_absent, is_small, rank_all, spread_hot_keys, top_k
+from ..cluster import checked_broadcast, cut_lineage, first_absent, is_small, rank_all, spread_by, spread_hot_keys, top_k
 from ..functions import roles as R
 from ..functions import text as T
 
@@ -54,10 +54,10 @@ def shared_skills(cv_skills: DataFrame, job_skills: DataFrame, threshold=overlap
 
     Both inputs are one row per owner with a ``skills`` array. A candidate's skills are ordered by rarity; who shares m of n
     skills shares one of the n - m + 1 rarest, so a pair is only looked at if it shares one of these. Only (owner, skill) rows meet, never whole sets: a pair's
-    common skills are the candidate's skills that the posting has a row for.
+    common skills are the candidate's skills that the posting has a row for. Rows are dealt out over tasks in proportion to their number.
     """
     held = job_skills.select("job_id", F.explode(F.array_distinct("skills")).alias("skill"))
-    counts = held.groupBy("skill").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(held.groupBy("skill").agg(F.count(F.lit(1)).alias("n")))
     cv = (
         cv_skills.select("cv_id", F.explode(F.array_distinct("skills")).alias("skill"))
         .join(counts, "skill", "left")
@@ -67,12 +67,20 @@ def shared_skills(cv_skills: DataFrame, job_skills: DataFrame, threshold=overlap
     )
     cv = cut_lineage(cv.withColumn("need", threshold(F.size("cv_set"))).where(F.size("cv_set") >= F.col("need")))
     rare = cv.select("cv_id", F.explode(F.slice("cv_set", F.lit(1), F.size("cv_set") - F.col("need") + 1)).alias("skill"))
-    met = skewed_join(held, rare, ["skill"]).select("cv_id", "job_id").distinct()
+    met = skewed_join(held, rare, ["skill"]).select("cv_id", "job_id")
+    met = cut_lineage(spread_by(met, _total(rare.join(counts, "skill"), "n"), "cv_id", "job_id").distinct())
     asked = skewed_join(met, cv.select("cv_id", "need", F.explode("cv_set").alias("skill")), ["cv_id"])
-    shared = asked.join(held, ["job_id", "skill"]).groupBy("cv_id", "job_id", "need").agg(F.array_sort(F.collect_list("skill")).alias("shared"))
+    sizes = cv.select("cv_id", F.size("cv_set").alias("n"))
+    rows = max(_total(counts, "n"), _total(met.join(checked_broadcast(sizes), "cv_id"), "n"))
+    found = spread_by(asked, rows, "job_id", "skill").join(spread_by(held, rows, "job_id", "skill"), ["job_id", "skill"])
+    shared = spread_by(found, rows, "cv_id", "job_id").groupBy("cv_id", "job_id", "need").agg(F.array_sort(F.collect_list("skill")).alias("shared"))
     return shared.where(F.size("shared") >= F.col("need")).select("cv_id", "job_id", F.size("shared").alias("n_overlap"), "shared")
 
 
+def _total(df: DataFrame, n: str) -> int:
+    return df.agg(F.sum(n)).first()[0] or 0
+
+
 def skewed_join(big: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Inner join that broadcasts ``other`` when it is small and slices hot keys of ``big`` when it is not."""
     if is_small(other):

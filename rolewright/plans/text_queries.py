@@ -14,11 +14,14 @@ from ..operators import postings as P
 from ..operators import retrieval as R
 from ..operators import tailor as L
 from ..operators import triage as G
-from ..cluster import cut_lineage
+from ..cluster import checked_broadcast, cut_lineage
 from .tables import (
     benchmark_aliases, clean_sql, fold_sql, html_text_sql, lines_sql, lit, mentions_sql, table, texts, tokens_sql, vocabulary_sql,
 )
 
+#: So many ids are sent to every task rather than texts to their ids.
+NUMBERS = 4_000_000
+
 # --- Corpus preparation -------------------------------------------------------------------------------------------
 def corpus_normalise_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.normalise_stats(texts(spark, sf_dir, "documents"), "text", "source")
@@ -193,7 +196,7 @@ def hybrid_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = cut_lineage(overlap_pairs(spark, sf_dir).select("cv_id", "job_id"))
     docs, items = _docs(spark, sf_dir), _items(spark, sf_dir)
     wanted = pairs.select("job_id").distinct()
-    lines = texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), "text").join(wanted, "job_id", "left_semi")
+    lines = texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), "text").join(checked_broadcast(wanted, NUMBERS), "job_id", "left_semi")
     lines = N.to_lines(lines, ["job_id"], "text")
     chunks = cut_lineage(lines.select("job_id", F.col("line_no").alias("chunk_no"), T.tokens(F.col("text")).alias("terms")))
     clauses = items.select("cv_id", F.posexplode(F.split("text", "[.,]")).alias("unit_no", "clause"))

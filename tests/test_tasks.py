@@ -4,6 +4,7 @@ import pytest
 from rolewright import cluster
 from rolewright.operators import retrieval as R
 from rolewright.operators import scoring as S
+from rolewright.operators import triage
 from rolewright.plans import scoring_queries, tables, text_queries
 
 SMALL = "/root/testdata/sf0.001"
@@ -75,3 +76,24 @@ def test_tfidf_shuffles_the_terms_of_a_document_once(spark, monkeypatch):
     moved = [line for line in plan(df).splitlines() if "hashpartitioning" in line]
     assert len(moved) == 2 and sum("job_id" in line and "REPARTITION_BY_NUM" in line for line in moved) == 1
     assert rows(df) == whole
+
+
+def test_line_terms_are_dealt_out_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(R, "LIST_TERMS", 10, raising=False)
+    made = spark.range(40).selectExpr("id AS job_id", "0 AS chunk_no", "array('a', 'b', 'b') AS terms")
+    terms, sums = R._term_lists(made, "job_id", "chunk_no", "a")
+    assert sums.rdd.getNumPartitions() >= 12 and terms.count() == 80 and sums.count() == 40
+
+
+def test_hybrid_shortlist_deals_out_pairs_and_lines(spark, monkeypatch):
+    whole = rows(text_queries.hybrid_shortlist(spark, SMALL))
+    dealt = []
+
+    def spread(df, n, *keys, task_rows=0):
+        dealt.append(keys)
+        return df.repartition(9, *keys)
+
+    for module in (R, triage):
+        monkeypatch.setattr(module, "spread_by", spread)
+    assert rows(text_queries.hybrid_shortlist(spark, SMALL)) == whole
+    assert {("job_id", "skill"), ("cv_id", "job_id"), ("job_id", "term"), ("job_id",)} <= set(dealt)
