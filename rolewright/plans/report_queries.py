@@ -4,8 +4,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..cluster import spread_by
 from ..operators.report import match_report
-from .tables import table
+from .tables import line_rows, table
 
 
 def match_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +27,8 @@ def match_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(o % 5 == 0, "remote").otherwise("onsite").alias("workplace"), F.when(o % 6 == 0, "By courtesy").alias("attribution"), F.concat(F.lit("Feed "), (o % 4).cast("string")).alias("source_label"),
     )
     # lines that repeat a number within an order are one requirement
-    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("req_no"))
+    rows = line_rows(spark, sf_dir)
+    li = spread_by(table(spark, sf_dir, "lineitem"), rows, "l_orderkey").groupBy(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("req_no"))
     li = li.agg(F.max("l_partkey").alias("part"), F.max("l_suppkey").alias("supp"), F.max("l_returnflag").alias("flag"))
     requirements = li.select("job_id", "req_no", F.concat(F.lit("Knows part "), F.col("part").cast("string")).alias("text"), F.when(F.col("part") % 3 == 0, "nice").otherwise("must").alias("kind"))
     unit = F.concat(F.lit("E"), (F.col("supp") % 5).cast("string"))
@@ -52,7 +54,7 @@ def match_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cv_id", "job_id", "unit_no", "attempt", F.concat(F.lit("draft "), F.col("attempt").cast("string")).alias("draft"),
         F.when((F.col("job_id") % 8 == 0) & (F.col("attempt") == 2), F.array()).otherwise(F.array(problem, F.lit("too long"))).alias("problems"),
     )
-    return match_report(profiles, ranked, postings, requirements, judgments, units, flags, learn, tailored, checked)
+    return match_report(profiles, ranked, postings, requirements, judgments, units, flags, learn, tailored, checked, rows=rows)
 
 
 _PERCENT = "CASE WHEN {0} IS NULL THEN '–' ELSE round({0} * 100)::INTEGER || '%' END"

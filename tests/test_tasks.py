@@ -2,10 +2,11 @@
 import pytest
 
 from rolewright import cluster
+from rolewright.operators import report
 from rolewright.operators import retrieval as R
 from rolewright.operators import scoring as S
 from rolewright.operators import triage
-from rolewright.plans import scoring_queries, tables, text_queries
+from rolewright.plans import report_queries, scoring_queries, tables, text_queries
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -97,3 +98,12 @@ def test_hybrid_shortlist_deals_out_pairs_and_lines(spark, monkeypatch):
         monkeypatch.setattr(module, "spread_by", spread)
     assert rows(text_queries.hybrid_shortlist(spark, SMALL)) == whole
     assert {("job_id", "skill"), ("cv_id", "job_id"), ("job_id", "term"), ("job_id",)} <= set(dealt)
+
+
+def test_report_lines_lie_where_the_report_is_put_together(spark, monkeypatch):
+    df = report_queries.match_reports(spark, SMALL)
+    assert "Exchange" not in plan(df).split("Union")[0]
+    whole = rows(df)
+    monkeypatch.setattr(report, "TASK_ROWS", 100, raising=False)
+    dealt = report_queries.match_reports(spark, SMALL)
+    assert dealt.rdd.getNumPartitions() > 12 and rows(dealt) == whole
