@@ -14,7 +14,7 @@ from ..operators import postings as P
 from ..operators import retrieval as R
 from ..operators import tailor as L
 from ..operators import triage as G
-from ..cluster import checked_broadcast, cut_lineage
+from ..cluster import checked_broadcast, cut_lineage, spread_small
 from .tables import (
     benchmark_aliases, clean_sql, fold_sql, html_text_sql, lines_sql, lit, mentions_sql, table, texts, tokens_sql, vocabulary_sql,
 )
@@ -99,11 +99,13 @@ def evidence_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def term_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wording of conversations against the document with the same number."""
     aliases = cut_lineage(benchmark_aliases(spark, sf_dir))
-    d = texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), "text")
-    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("cv_id"), F.col("turn").alias("unit_no"), "text")
+    c = texts(spark, sf_dir, "conversations").select(F.col("conv_id").alias("cv_id"), F.col("turn").alias("unit_no"), "text")
+    pairs = c.select("cv_id", F.col("cv_id").alias("job_id")).distinct()
+    # a document of no pair has no part in the join, so its text is not searched
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), "text")
+    d = spread_small(d.join(checked_broadcast(cut_lineage(pairs.select("job_id")), NUMBERS), "job_id", "left_semi"))
     pm = M.tag_mentions(d, ["job_id"], "text", aliases).select("job_id", F.col("pos").alias("at"), "skill", "surface", "key", "member")
     terms = L.posting_terms(pm.limit(0), pm)
-    pairs = c.select("cv_id", F.col("cv_id").alias("job_id")).distinct()
     um = M.tag_mentions(c, ["cv_id", "unit_no"], "text", aliases)
     return L.alignments(um, terms, pairs).select("cv_id", "job_id", "unit_no", "skill", "cv_term", "jd_term")
 

@@ -107,3 +107,12 @@ def test_report_lines_lie_where_the_report_is_put_together(spark, monkeypatch):
     monkeypatch.setattr(report, "TASK_ROWS", 100, raising=False)
     dealt = report_queries.match_reports(spark, SMALL)
     assert dealt.rdd.getNumPartitions() > 12 and rows(dealt) == whole
+
+
+def test_alignments_search_the_documents_of_a_pair_only(spark, monkeypatch):
+    whole = rows(text_queries.term_alignments(spark, SMALL))
+    searched, tag = {}, text_queries.M.tag_mentions
+    monkeypatch.setattr(text_queries.M, "tag_mentions", lambda lines, keys, *more: searched.update({keys[0]: lines}) or tag(lines, keys, *more))
+    assert rows(text_queries.term_alignments(spark, SMALL)) == whole
+    asked = {r[0] for r in tables.table(spark, SMALL, "conversations").select("conv_id").collect()}
+    assert {r[0] for r in searched["job_id"].select("job_id").collect()} == asked & {r[0] for r in tables.table(spark, SMALL, "documents").select("doc_id").collect()}
