@@ -157,10 +157,11 @@ def section_rows(cvs: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
         {"plain": F.coalesce(F.col("h.inline") == "", F.lit(False)), "inline": F.coalesce((F.col("h.inline") != "") & ~F.col("sub"), F.lit(False))}
     )
     document = W.partitionBy("cv_id").orderBy("line_no")
-    lines = lines.withColumn("island", F.count_if("plain").over(document))
-    above = W.partitionBy("cv_id", "island").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
+    above = document.rowsBetween(W.unboundedPreceding, -1)
     of_skills = (F.col("plain") | F.col("inline")) & (F.col("h.section") == "skills")
-    in_skills = F.coalesce(F.bool_or(of_skills).over(above), F.lit(False))
+    # the last of either above; a line that is plain itself opens a section anyway
+    at = lambda c: F.last(F.when(c, F.col("line_no")), ignorenulls=True).over(above)
+    in_skills = F.coalesce(at(of_skills) >= F.coalesce(at(F.col("plain")), F.lit(-1)), F.lit(False))
     lines = lines.withColumn("opens", F.col("plain") | (F.col("inline") & ~in_skills))
     section = F.coalesce(F.last(F.when(F.col("opens"), F.col("h.section")), ignorenulls=True).over(document), F.lit("header"))
     raw = F.when(F.col("opens"), F.col("h.inline")).otherwise(F.col("raw")).alias("raw")
@@ -210,11 +211,18 @@ def unit_rows(lines: DataFrame) -> DataFrame:
         }
     )
 
-    block = W.partitionBy("cv_id", "block").orderBy("line_no")
-    before = block.rowsBetween(W.unboundedPreceding, -1)
+    # all windows share one order, so lines are sorted once; blocks, and roles within them, follow each other, and what an earlier one set is left out
+    document = W.partitionBy("cv_id").orderBy("line_no")
+    before = document.rowsBetween(W.unboundedPreceding, -1)
 
-    def last(c: Column, window=before) -> Column:
-        return F.last(c, ignorenulls=True).over(window)
+    def last(c: Column, *within: str) -> Column:
+        """The value of the last line above that sets it, in the block of this line."""
+        places = ("block", *within)
+        found = F.last(F.when(c.isNotNull(), F.struct(*places, c.alias("v"))), ignorenulls=True).over(before)
+        same = found[places[0]] == F.col(places[0])
+        for p in within:
+            same = same & (found[p] == F.col(p))
+        return F.when(same, found["v"])
 
     def state(c: Column) -> Column:
         """The value of the last line that sets it; lines without text set nothing."""
@@ -252,15 +260,13 @@ def unit_rows(lines: DataFrame) -> DataFrame:
     piece = F.when(F.col("opens_unit"), body).when(F.col("more"), F.concat(glue, "body"))
 
     # the last two role lines since the roles were renewed
-    x = x.withColumns({"piece": piece, "roles": F.count_if("renews").over(block)})
-    since = W.partitionBy("cv_id", "block", "roles").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
-    x = x.withColumn("pair", F.when(F.col("role"), F.struct(last(F.when(F.col("role"), F.col("body")), since).alias("a"), F.col("body").alias("b"))))
-    above = last(F.col("pair"), since)
+    x = x.withColumns({"piece": piece, "roles": F.count_if("renews").over(document)})
+    x = x.withColumn("pair", F.when(F.col("role"), F.struct(last(F.when(F.col("role"), F.col("body")), "roles").alias("a"), F.col("body").alias("b"))))
+    above = last(F.col("pair"), "roles")
     context = F.when(work, F.concat_ws(" | ", above["a"], above["b"])).otherwise("")
 
-    document = W.partitionBy("cv_id").orderBy("line_no")
     at_work = section == "experience"
-    role_above = last(F.when(at_work, meta & ~bullet), document.rowsBetween(W.unboundedPreceding, -1))
+    role_above = F.last(F.when(at_work, meta & ~bullet), ignorenulls=True).over(before)
     entry = at_work & meta & ~bullet & ~F.coalesce(role_above, F.lit(True))
     number = F.when(F.col("opens_unit") | F.col("more"), F.count_if("opens_unit").over(document))
     return x.select(*lines.columns, "opens_unit", "piece", number.alias("unit"), context.alias("context"), F.coalesce(entry, F.lit(False)).alias("entry"))

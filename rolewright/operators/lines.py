@@ -87,7 +87,7 @@ def pack_sentences(text: Column, limit: int = 420) -> Column:
         add,
         lambda acc: F.when(F.trim(acc["cur"]) != "", F.concat(acc["done"], F.array(F.trim(acc["cur"])))).otherwise(acc["done"]),
     )
-    whole = F.when(F.size(packed) == 0, F.array(text)).otherwise(packed)
+    whole = T.bind(packed, lambda p: F.when(F.size(p) == 0, F.array(text)).otherwise(p))
     return F.when(F.length(text) <= limit, F.array(text)).otherwise(whole)
 
 

@@ -2,11 +2,12 @@
 import pytest
 
 from rolewright import cluster
+from rolewright.operators import cv as C
 from rolewright.operators import report
 from rolewright.operators import retrieval as R
 from rolewright.operators import scoring as S
 from rolewright.operators import triage
-from rolewright.plans import report_queries, scoring_queries, tables, text_queries
+from rolewright.plans import candidate_queries, report_queries, scoring_queries, tables, text_queries
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -116,3 +117,7 @@ def test_alignments_search_the_documents_of_a_pair_only(spark, monkeypatch):
     assert rows(text_queries.term_alignments(spark, SMALL)) == whole
     asked = {r[0] for r in tables.table(spark, SMALL, "conversations").select("conv_id").collect()}
     assert {r[0] for r in searched["job_id"].select("job_id").collect()} == asked & {r[0] for r in tables.table(spark, SMALL, "documents").select("doc_id").collect()}
+
+
+def test_lines_of_a_text_are_sorted_once(spark):
+    assert plan(C.unit_rows(C.section_rows(candidate_queries.candidate_texts(spark, SMALL)))).count("Sort [") == 1
