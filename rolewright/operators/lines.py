@@ -27,6 +27,8 @@ YEAR_RANGE = r"(?:19|20)[0-9]{2}\s*[-–]\s*(?:19|20)[0-9]{2}"
 ADDRESS = (
     r"(?i)\b[0-9]{1,4}\s*,?\s*(?:rue|avenue|av\.|street|st\.|road|rd\.|boulevard|bd|blvd|lane|impasse|cité|cite)\b[^\n,;|]*"
 )
+# What every match of a pattern holds, without word borders and open beginnings: a text is searched for that first.
+MAY_HOLD = {EMAIL: "@", LINK: r"(?i)https?://|www\.|(?:linkedin|github|gitlab)\.com/", PHONE: r"[0-9][0-9\s().-]{6,}[0-9]", ADDRESS: r"(?i)[0-9]\s*,?\s*(?:rue|av|st|ro|rd|bo|bd|bl|la|im|cit)"}
 HEADER_WORDS = ["curriculum", "vitae", "resume", "cv", "profile", "profil", "summary", "experience", "skills"]
 
 
@@ -131,18 +133,33 @@ def _mask(text: Column, pattern: str, mark: str, when) -> tuple[Column, Column]:
     parts = F.split(text, pattern, -1)
     masked = F.transform(found, lambda m: F.when(when(m), F.lit(mark)).otherwise(m))
     joined = F.array_join(F.zip_with(parts, masked, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
-    return F.when(F.size(found) == 0, text).otherwise(joined), F.size(F.filter(found, when))
+    may = _may_hold(text, pattern)
+    return F.when(may & (F.size(found) > 0), joined).otherwise(text), F.when(may, F.size(F.filter(found, when))).otherwise(_none(text))
+
+
+def _may_hold(text: Column, pattern: str) -> Column:
+    """False for texts that surely hold no match."""
+    part = MAY_HOLD[pattern]
+    return text.contains(part) if part == "@" else text.rlike(part)
+
+
+def _none(text: Column) -> Column:
+    return F.when(text.isNotNull(), F.lit(0))
 
 
 def _all_matches(text: Column, pattern: str) -> Column:
     body = pattern[4:] if pattern.startswith("(?i)") else pattern
     flag = "(?i)" if pattern.startswith("(?i)") else ""
-    return F.size(F.regexp_extract_all(text, F.lit(f"{flag}({body})"), F.lit(1)))
+    return F.when(_may_hold(text, pattern), F.size(F.regexp_extract_all(text, F.lit(f"{flag}({body})"), F.lit(1)))).otherwise(_none(text))
+
+
+def _replaced(text: Column, pattern: str, mark: str) -> Column:
+    return F.when(_may_hold(text, pattern), F.regexp_replace(text, pattern, mark)).otherwise(text)
 
 
 def looks_like_name(line: Column) -> Column:
     """Two to four capitalised words without digits, marks or header words."""
-    words = F.split(line, r"\s+")
+    words = F.split(line, r"\s+", 5)
     return (
         F.size(words).between(2, 4)
         & ~line.rlike(r"[0-9@\[\]|:,]")
@@ -151,6 +168,11 @@ def looks_like_name(line: Column) -> Column:
     )
 
 
+def _heads(text: Column) -> Column:
+    """The first three lines of a text without those too long for a name: seven parts are five words at least, whatever stands around them."""
+    return F.transform(F.filter(F.slice(F.split(text, "\n", 4), 1, 3), lambda s: F.size(F.split(s, r"\s+", 7)) < 7), T.strip)
+
+
 def redact(df: DataFrame, col: str, skill_lines: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Mask e-mail, links, phone numbers, street addresses and the name, in that order, and count each kind.
 
@@ -158,12 +180,12 @@ def redact(df: DataFrame, col: str, skill_lines: DataFrame | None = None, keys:
     is the first fitting line among the first three and is masked wherever it occurs, but counts once.
     """
     x = F.col(col)
-    out = df.withColumn("n_email", _all_matches(x, EMAIL)).withColumn(col, F.regexp_replace(x, EMAIL, "[email]"))
-    out = out.withColumn("n_link", _all_matches(x, LINK)).withColumn(col, F.regexp_replace(x, LINK, "[link]"))
+    out = df.withColumn("n_email", _all_matches(x, EMAIL)).withColumn(col, _replaced(x, EMAIL, "[email]"))
+    out = out.withColumn("n_link", _all_matches(x, LINK)).withColumn(col, _replaced(x, LINK, "[link]"))
     text, n = _mask(x, PHONE, "[phone]", _is_phone)
     out = out.withColumn("n_phone", n).withColumn(col, text)
-    out = out.withColumn("n_address", _all_matches(x, ADDRESS)).withColumn(col, F.regexp_replace(x, ADDRESS, "[address]"))
-    heads = F.transform(F.slice(T.split_lines(x), 1, 3), T.strip)
+    out = out.withColumn("n_address", _all_matches(x, ADDRESS)).withColumn(col, _replaced(x, ADDRESS, "[address]"))
+    heads = _heads(x)
     if skill_lines is not None:
         per_doc = skill_lines.groupBy(*keys).agg(F.collect_set("line").alias("__skill_lines"))
         out = out.join(per_doc, list(keys), "left")
@@ -180,7 +202,7 @@ def redact(df: DataFrame, col: str, skill_lines: DataFrame | None = None, keys:
 
 def name_candidates(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
     """(keys, line) the header lines that could be a name; tag them to build ``skill_lines``."""
-    heads = F.filter(F.transform(F.slice(T.split_lines(F.col(col)), 1, 3), T.strip), looks_like_name)
+    heads = F.filter(_heads(F.col(col)), looks_like_name)
     return df.select(*keys, F.explode(heads).alias("line"))
 
 

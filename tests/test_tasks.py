@@ -3,6 +3,7 @@ import pytest
 
 from rolewright import cluster
 from rolewright.operators import cv as C
+from rolewright.operators import lines as N
 from rolewright.operators import report
 from rolewright.operators import retrieval as R
 from rolewright.operators import scoring as S
@@ -121,3 +122,14 @@ def test_alignments_search_the_documents_of_a_pair_only(spark, monkeypatch):
 
 def test_lines_of_a_text_are_sorted_once(spark):
     assert plan(C.unit_rows(C.section_rows(candidate_queries.candidate_texts(spark, SMALL)))).count("Sort [") == 1
+
+
+def test_texts_without_a_hint_of_personal_data_are_not_searched(spark):
+    kept = " a@b.org www.x.org/y  +33 (0)6 12 34 56 78 \nat 12, rue de la Paix\n\tJane Ann Doe \n"
+    made = spark.createDataFrame([(kept,), ("one two three four five 2021 - 2023",), ("  Ann Bee Cee Dee \nx",), (None,)], "text string")
+    out = N.redact(made, "text")
+    found = [tuple(r) for r in out.select("text", "n_email", "n_link", "n_phone", "n_address", "n_name").collect()]
+    assert found == [
+        (" [email] [link]  [phone] \nat [address]\n\t[name] \n", 1, 1, 1, 1, 1), ("one two three four five 2021 - 2023", 0, 0, 0, 0, 0), ("  [name] \nx", 0, 0, 0, 0, 1), (None, None, None, None, None, 0),
+    ]
+    assert set(N.MAY_HOLD) == {N.EMAIL, N.LINK, N.PHONE, N.ADDRESS}
