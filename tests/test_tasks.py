@@ -133,3 +133,7 @@ def test_texts_without_a_hint_of_personal_data_are_not_searched(spark):
         (" [email] [link]  [phone] \nat [address]\n\t[name] \n", 1, 1, 1, 1, 1), ("one two three four five 2021 - 2023", 0, 0, 0, 0, 0), ("  [name] \nx", 0, 0, 0, 0, 1), (None, None, None, None, None, 0),
     ]
     assert set(N.MAY_HOLD) == {N.EMAIL, N.LINK, N.PHONE, N.ADDRESS}
+
+
+def test_citations_and_skills_of_a_verdict_stay_in_its_row(spark):
+    assert "Generate" not in plan(scoring_queries.evidence_guard(spark, SMALL))
