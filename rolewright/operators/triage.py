@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import checked_broadcast, cut_lineage, first_absent, is_small, rank_all, spread_by, spread_hot_keys, top_k
+from ..cluster import TASK_ROWS, checked_broadcast, cut_lineage, explode_once, first_absent, is_small, rank_all, shuffle_tasks, spread_by, spread_hot_keys, stage_table, top_k
 from ..functions import roles as R
 from ..functions import text as T
 
@@ -49,34 +49,64 @@ def overlap_threshold(n_skills: Column) -> Column:
     return F.when(n_skills >= 12, 4).otherwise(3)
 
 
+#: A document of more skills than this is compared row by row, by which it spreads over many tasks.
+LONG_LIST = 1000
+
+
 def shared_skills(cv_skills: DataFrame, job_skills: DataFrame, threshold=overlap_threshold) -> DataFrame:
     """(cv_id, job_id, n_overlap, shared) for pairs with at least ``threshold(n)`` common skills.
 
     Both inputs are one row per owner with a ``skills`` array. A candidate's skills are ordered by rarity; who shares m of n
-    skills shares one of the n - m + 1 rarest, so a pair is only looked at if it shares one of these. Only (owner, skill) rows meet, never whole sets: a pair's
-    common skills are the candidate's skills that the posting has a row for. Rows are dealt out over tasks in proportion to their number.
+    skills shares one of the n - m + 1 rarest, so a pair is only looked at if it shares one of these. ``job_skills`` is read once; of it (owner, skill) rows that a
+    candidate asks for are kept. These are shuffled once, by posting, over tasks in proportion to their number: its pairs are found, and compared with its list of skills, where it is. Only
+    postings with more than ``LONG_LIST`` skills meet their pairs as rows dealt out by posting and skill.
     """
-    held = job_skills.select("job_id", F.explode(F.array_distinct("skills")).alias("skill"))
-    counts = cut_lineage(held.groupBy("skill").agg(F.count(F.lit(1)).alias("n")))
+    cv_rows = cv_skills.select("cv_id", F.explode(F.array_distinct("skills")).alias("skill"))
+    known = cut_lineage(cv_rows.select("skill").where("skill is not null").distinct())
+    held = job_skills.select("job_id", F.explode(F.array_distinct("skills")).alias("skill")).where("job_id is not null and skill is not null")
+    held = stage_table(held.join(F.broadcast(known), "skill", "left_semi").select("job_id", "skill") if is_small(known) else held)
+    counts = cut_lineage(held.join(checked_broadcast(known), "skill", "left_semi").groupBy("skill").agg(F.count(F.lit(1)).alias("n")))
     cv = (
-        cv_skills.select("cv_id", F.explode(F.array_distinct("skills")).alias("skill"))
-        .join(counts, "skill", "left")
+        cv_rows.join(counts, "skill", "left")
         .groupBy("cv_id")
         .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "skill"))).alias("s"))
         .select("cv_id", F.transform("s", lambda x: x["skill"]).alias("cv_set"))
     )
-    cv = cut_lineage(cv.withColumn("need", threshold(F.size("cv_set"))).where(F.size("cv_set") >= F.col("need")))
+    cv = cut_lineage(cv.withColumn("need", threshold(F.size("cv_set"))).where((F.size("cv_set") >= F.col("need")) & F.col("cv_id").isNotNull()))
     rare = cv.select("cv_id", F.explode(F.slice("cv_set", F.lit(1), F.size("cv_set") - F.col("need") + 1)).alias("skill"))
-    met = skewed_join(held, rare, ["skill"]).select("cv_id", "job_id")
-    met = cut_lineage(spread_by(met, _total(rare.join(counts, "skill"), "n"), "cv_id", "job_id").distinct())
-    asked = skewed_join(met, cv.select("cv_id", "need", F.explode("cv_set").alias("skill")), ["cv_id"])
-    sizes = cv.select("cv_id", F.size("cv_set").alias("n"))
-    rows = max(_total(counts, "n"), _total(met.join(checked_broadcast(sizes), "cv_id"), "n"))
-    found = spread_by(asked, rows, "job_id", "skill").join(spread_by(held, rows, "job_id", "skill"), ["job_id", "skill"])
-    shared = spread_by(found, rows, "cv_id", "job_id").groupBy("cv_id", "job_id", "need").agg(F.array_sort(F.collect_list("skill")).alias("shared"))
+    hits = _total(rare.join(counts, "skill"), "n")
+    n = max(shuffle_tasks(held), -(-max(_total(counts, "n"), hits) // TASK_ROWS))
+    own = held.repartition(n, "job_id")
+    lists = own.groupBy("job_id").agg(F.collect_list("skill").alias("held"))
+    if is_small(rare):
+        met = own.join(F.broadcast(rare), "skill").select("cv_id", "job_id")
+    else:
+        met = skewed_join(held, rare, ["skill"]).select("cv_id", "job_id").repartition(n, "job_id")
+    met = met.distinct()
+    long = F.size("held") > LONG_LIST
+    short = lists.where(~long).withColumn("twice", F.size(F.array_distinct("held")) < F.size("held"))
+    sets = cv.withColumn("cv_twice", F.size(F.array_distinct("cv_set")) < F.size("cv_set"))
+    both = met.join(short, "job_id")
+    both = both.join(F.broadcast(sets), "cv_id") if is_small(sets) else skewed_join(both.select("cv_id", "job_id"), sets, ["cv_id"]).repartition(n, "job_id").join(short, "job_id")
+    times = lambda xs, s: F.size(F.filter(xs, lambda x: x == s))
+    # an owner of two rows counts with both
+    every = lambda common: F.flatten(F.transform(common, lambda s: F.array_repeat(s, times(F.col("held"), s) * times(F.col("cv_set"), s))))
+    common = F.array_intersect("held", "cv_set")
+    listed = both.select("cv_id", "job_id", "need", explode_once(F.array(F.array_sort(F.when(F.col("twice") | F.col("cv_twice"), every(common)).otherwise(common)))).alias("shared"))
+    sizes = held.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LONG_LIST).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    found = cv.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("cv_set")), F.lit(0)).alias("most")).first()
+    rows = max(sizes["rows"], min(hits, sizes["n"] * found["n"]) * found["most"])
+    shared = listed.unionByName(_shared_rows(lists.where(long) if sizes["n"] else lists.limit(0), met, cv, rows))
     return shared.where(F.size("shared") >= F.col("need")).select("cv_id", "job_id", F.size("shared").alias("n_overlap"), "shared")
 
 
+def _shared_rows(lists: DataFrame, met: DataFrame, cv: DataFrame, rows: int) -> DataFrame:
+    """(cv_id, job_id, need, shared) of the pairs ``met`` of postings with long lists, counted on (owner, skill) rows, of which there are ``rows`` at most."""
+    asked = skewed_join(met.join(lists.select("job_id"), "job_id"), cv.select("cv_id", "need", F.explode("cv_set").alias("skill")), ["cv_id"])
+    found = spread_by(asked, rows, "job_id", "skill").join(spread_by(lists.select("job_id", F.explode("held").alias("skill")), rows, "job_id", "skill"), ["job_id", "skill"])
+    return spread_by(found, rows, "cv_id", "job_id").groupBy("cv_id", "job_id", "need").agg(F.array_sort(F.collect_list("skill")).alias("shared"))
+
+
 def _total(df: DataFrame, n: str) -> int:
     return df.agg(F.sum(n)).first()[0] or 0
 

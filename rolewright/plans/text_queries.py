@@ -123,7 +123,7 @@ def _most(n):
 def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), "text")
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("cv_id"), "text")
-    return G.shared_skills(cut_lineage(_token_skills(b, "cv_id", "text")), cut_lineage(_token_skills(d, "job_id", "text")), _most)
+    return G.shared_skills(cut_lineage(_token_skills(b, "cv_id", "text")), _token_skills(d, "job_id", "text"), _most)
 
 
 def skill_overlap_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
