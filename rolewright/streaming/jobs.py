@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..cluster import spread_small
+from ..cluster import shuffle_tasks
 from ..operators.triage import shared_skills
 from ..sources.saved import latest_per_id
 
@@ -125,7 +125,8 @@ def start_scoring(
     posting: one that is sent again replaces its pairs, also by none. With ``event_time`` the latest version of an id counts within a batch.
     """
     def score(batch: DataFrame, batch_id: int) -> None:
-        spread = spread_small(batch)  # a batch may be one file, which few tasks read
+        # a batch may be one file, which few tasks read; dealt out by its key, what is made of a posting stays where its text is
+        spread = batch.repartition(max(batch.sparkSession.sparkContext.defaultParallelism, shuffle_tasks(batch), batch.rdd.getNumPartitions()), key)
         rows = latest_per_id(spread, key, event_time) if event_time else spread
         held = job_skills_of(rows)
         pairs = shared_skills(cv_skills, held, threshold) if threshold else shared_skills(cv_skills, held)

@@ -5,7 +5,8 @@ from collections import Counter
 import pytest
 
 from rolewright.operators import triage
-from rolewright.plans import text_queries
+from rolewright.plans import feed_queries, text_queries
+from rolewright.streaming import jobs
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -45,3 +46,13 @@ def test_shared_skills_of_repeated_null_and_long_owners(spark, monkeypatch, long
         shared = sorted(s for s in mine if s for _ in range(mine[s] * theirs[s]))
         want += [(c, j, len(shared), shared)] if len(shared) >= 2 else []
     assert rows(found) == sorted(want) and any(len(w[3]) > len(set(w[3])) for w in want)
+
+
+def test_arriving_postings_stay_with_what_is_made_of_them(spark, tmp_path, monkeypatch):
+    found = []
+    shared = triage.shared_skills
+    monkeypatch.setattr(jobs, "shared_skills", lambda cv, held, threshold: found.append(dealt(held)) or shared(cv, held, threshold))
+    got = feed_queries.stream_triage(spark, SMALL)
+    # one shuffle of the texts, by posting; neither its hits nor its skills move
+    assert len(found) == 3 and all(len(x) == 1 and "REPARTITION_BY_NUM" in x[0] for x in found)
+    assert got.count() == got.distinct().count() > 0
