@@ -83,8 +83,7 @@ def shared_skills(cv_skills: DataFrame, job_skills: DataFrame, threshold=overlap
     else:
         met = skewed_join(held, rare, ["skill"]).select("cv_id", "job_id").repartition(n, "job_id")
     met = met.distinct()
-    long = F.size("held") > LONG_LIST
-    short = lists.where(~long).withColumn("twice", F.size(F.array_distinct("held")) < F.size("held"))
+    short = lists.where(F.size("held") <= LONG_LIST).withColumn("twice", F.size(F.array_distinct("held")) < F.size("held"))
     sets = cv.withColumn("cv_twice", F.size(F.array_distinct("cv_set")) < F.size("cv_set"))
     both = met.join(short, "job_id")
     both = both.join(F.broadcast(sets), "cv_id") if is_small(sets) else skewed_join(both.select("cv_id", "job_id"), sets, ["cv_id"]).repartition(n, "job_id").join(short, "job_id")
@@ -92,19 +91,20 @@ def shared_skills(cv_skills: DataFrame, job_skills: DataFrame, threshold=overlap
     # an owner of two rows counts with both
     every = lambda common: F.flatten(F.transform(common, lambda s: F.array_repeat(s, times(F.col("held"), s) * times(F.col("cv_set"), s))))
     common = F.array_intersect("held", "cv_set")
-    listed = both.select("cv_id", "job_id", "need", explode_once(F.array(F.array_sort(F.when(F.col("twice") | F.col("cv_twice"), every(common)).otherwise(common)))).alias("shared"))
-    sizes = held.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LONG_LIST).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
-    found = cv.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("cv_set")), F.lit(0)).alias("most")).first()
-    rows = max(sizes["rows"], min(hits, sizes["n"] * found["n"]) * found["most"])
-    shared = listed.unionByName(_shared_rows(lists.where(long) if sizes["n"] else lists.limit(0), met, cv, rows))
-    return shared.where(F.size("shared") >= F.col("need")).select("cv_id", "job_id", F.size("shared").alias("n_overlap"), "shared")
-
-
-def _shared_rows(lists: DataFrame, met: DataFrame, cv: DataFrame, rows: int) -> DataFrame:
-    """(cv_id, job_id, need, shared) of the pairs ``met`` of postings with long lists, counted on (owner, skill) rows, of which there are ``rows`` at most."""
-    asked = skewed_join(met.join(lists.select("job_id"), "job_id"), cv.select("cv_id", "need", F.explode("cv_set").alias("skill")), ["cv_id"])
-    found = spread_by(asked, rows, "job_id", "skill").join(spread_by(lists.select("job_id", F.explode("held").alias("skill")), rows, "job_id", "skill"), ["job_id", "skill"])
-    return spread_by(found, rows, "cv_id", "job_id").groupBy("cv_id", "job_id", "need").agg(F.array_sort(F.collect_list("skill")).alias("shared"))
+    listed = both.select("cv_id", "job_id", "need", explode_once(F.array(F.when(F.col("twice") | F.col("cv_twice"), every(common)).otherwise(common))).alias("shared"))
+    shared = listed.unionByName(_shared_rows(held, met, cv, hits)).where(F.size("shared") >= F.col("need"))
+    return shared.select("cv_id", "job_id", F.size("shared").alias("n_overlap"), F.sort_array("shared").alias("shared"))
+
+
+def _shared_rows(held: DataFrame, met: DataFrame, cv: DataFrame, hits: int) -> DataFrame:
+    """(cv_id, job_id, need, shared) of the pairs ``met`` of postings with long lists, counted on (owner, skill) rows."""
+    long = cut_lineage(held.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LONG_LIST))
+    n, most = long.count(), cv.agg(F.max(F.size("cv_set"))).first()[0] or 0
+    rows = max(_total(long, "n"), min(hits, n * cv.count()) * most)
+    ids = checked_broadcast(long.select("job_id")) if n else long.select("job_id").limit(0)  # which no task is planned for
+    asked = skewed_join(met.join(ids, "job_id", "left_semi"), cv.select("cv_id", "need", F.explode("cv_set").alias("skill")), ["cv_id"])
+    found = spread_by(asked, rows, "job_id", "skill").join(spread_by(held.join(ids, "job_id", "left_semi"), rows, "job_id", "skill"), ["job_id", "skill"])
+    return spread_by(found, rows, "cv_id", "job_id").groupBy("cv_id", "job_id", "need").agg(F.collect_list("skill").alias("shared"))
 
 
 def _total(df: DataFrame, n: str) -> int:

@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+from rolewright.operators import retrieval as R
 from rolewright.operators import triage
 from rolewright.plans import feed_queries, text_queries
 from rolewright.streaming import jobs
@@ -56,3 +57,21 @@ def test_arriving_postings_stay_with_what_is_made_of_them(spark, tmp_path, monke
     # one shuffle of the texts, by posting; neither its hits nor its skills move
     assert len(found) == 3 and all(len(x) == 1 and "REPARTITION_BY_NUM" in x[0] for x in found)
     assert got.count() == got.distinct().count() > 0
+
+
+def test_terms_of_a_line_are_made_where_its_document_is(spark, monkeypatch):
+    made = spark.createDataFrame([(1, 0, "alpha beta alpha"), (1, 1, "beta gamma"), (2, 0, "the"), (3, 5, None), (4, 1, "alphabet")], "job_id long, chunk_no int, text string")
+    kept = []
+    cut = R.cut_lineage
+    monkeypatch.setattr(R, "cut_lineage", lambda df: kept.append(plan(df)) or cut(df))
+    terms, sums = R._term_lists(made, "job_id", "chunk_no", "a")
+    lines = kept[-1].splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    at = [i for i, line in enumerate(lines) if "REPARTITION_BY_NUM" in line]
+    below = [list(itertools.takewhile(lambda line, i=i: depth(line) > depth(lines[i]), lines[i + 1 :])) for i in at]
+    # what is exploded, is so above the shuffle
+    assert at and "Generate" in kept[-1] and not any("Generate" in line for part in below for line in part)
+    whole = R._term_lists(made.select("job_id", "chunk_no", R.line_terms(R.F.col("text")).alias("terms")), "job_id", "chunk_no", "a")
+    order = lambda df: sorted((r["job_id"], r["term"], r["n_a"], sorted(tuple(e) for e in r["l_a"])) for r in df.collect())
+    assert order(terms) == order(whole[0]) and len(order(terms)) > 10
+    assert rows(sums) == rows(whole[1]) and [r[:2] for r in rows(sums)] == [(1, 0), (1, 1), (4, 1)]
