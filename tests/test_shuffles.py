@@ -5,8 +5,8 @@ from collections import Counter
 import pytest
 
 from rolewright.operators import retrieval as R
-from rolewright.operators import triage
-from rolewright.plans import feed_queries, text_queries
+from rolewright.operators import tailor, triage
+from rolewright.plans import feed_queries, judging_queries, text_queries
 from rolewright.streaming import jobs
 
 SMALL = "/root/testdata/sf0.001"
@@ -75,3 +75,27 @@ def test_terms_of_a_line_are_made_where_its_document_is(spark, monkeypatch):
     order = lambda df: sorted((r["job_id"], r["term"], r["n_a"], sorted(tuple(e) for e in r["l_a"])) for r in df.collect())
     assert order(terms) == order(whole[0]) and len(order(terms)) > 10
     assert rows(sums) == rows(whole[1]) and [r[:2] for r in rows(sums)] == [(1, 0), (1, 1), (4, 1)]
+
+
+def test_bullets_are_chosen_in_tasks_of_bounded_size(spark, monkeypatch):
+    whole = judging_queries.bullet_choice(spark, SMALL)
+    moved = dealt(whole)
+    # judgments, wording and pairs of a pair are shuffled once each, and so are the lines of a candidate
+    assert not any("ENSURE_REQUIREMENTS" in line and ("req_no" in line or "unit_no" in line) and "cv_id" in line for line in moved) and "u#" not in str(moved)
+    monkeypatch.setattr(tailor, "LIST_ROWS", 100, raising=False)
+    many = judging_queries.bullet_choice(spark, SMALL)
+    assert many.rdd.getNumPartitions() > 12 and rows(many) == rows(whole)
+
+
+def test_implied_skills_of_a_bullet_count_once(spark):
+    made = lambda data, schema: spark.createDataFrame(data, schema)
+    units = made([(1, n, f"E{n}", "bullet", f"t{n}", "") for n in (1, 2, 3)], "cv_id long, unit_no int, unit_id string, kind string, text string, context string")
+    held = made([(1, 1, "a"), (1, 1, "a"), (1, 1, "b"), (1, 2, None), (1, 3, "c")], "cv_id long, unit_no int, skill string")
+    closure = made([("a", "x"), ("a", "b"), ("b", "x"), ("c", None)], "skill string, implied string")
+    title = made([(7, "x"), (7, "b"), (7, "c")], "job_id long, skill string")
+    none = lambda schema: made([], schema)
+    got = tailor.pick_bullets(
+        made([(1, 7), (1, 7)], "cv_id long, job_id long"), units, held, none("job_id long, req_no int, kind string, text string, skills array<string>"),
+        none("cv_id long, job_id long, req_no int, verdict string, evidence_ids array<string>"), title, title, none("cv_id long, job_id long, unit_no int, skill string"), closure,
+    )
+    assert rows(got.select("unit_id", "score", "place")) == [("E1", 2.6, 1), ("E3", 1.3, 2)]
