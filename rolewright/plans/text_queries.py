@@ -14,7 +14,7 @@ from ..operators import postings as P
 from ..operators import retrieval as R
 from ..operators import tailor as L
 from ..operators import triage as G
-from ..cluster import checked_broadcast, cut_lineage, spread_small
+from ..cluster import checked_broadcast, cut_lineage, spread_small, stage_table
 from .tables import (
     benchmark_aliases, clean_sql, fold_sql, html_text_sql, lines_sql, lit, mentions_sql, table, texts, tokens_sql, vocabulary_sql,
 )
@@ -200,7 +200,7 @@ def hybrid_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = pairs.select("job_id").distinct()
     lines = texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), "text").join(checked_broadcast(wanted, NUMBERS), "job_id", "left_semi")
     lines = N.to_lines(lines, ["job_id"], "text")
-    chunks = cut_lineage(lines.select("job_id", F.col("line_no").alias("chunk_no"), T.tokens(F.col("text")).alias("terms")))
+    chunks = stage_table(lines.select("job_id", F.col("line_no").alias("chunk_no"), T.tokens(F.col("text")).alias("terms")))
     clauses = items.select("cv_id", F.posexplode(F.split("text", "[.,]")).alias("unit_no", "clause"))
     units = clauses.where("trim(clause) <> ''").select("cv_id", "unit_no", T.tokens(F.col("clause")).alias("terms"))
     cosines = R.line_cosines(pairs, chunks, units, "pair")

@@ -116,3 +116,29 @@ def test_literal_evidence_meets_rows_where_they_lie(spark):
     df = judging_queries.skill_verdicts(spark, SMALL)
     # the last joins are by candidate and skill; the pair is no key of them
     assert not any("cv_id" in line and "job_id" in line and "skill" in line.split("hashpartitioning(")[1].split(")")[0] for line in dealt(df))
+
+
+def test_lines_of_a_pair_are_dealt_out_by_what_they_are_joined_on(spark, monkeypatch):
+    pairs = spark.range(6).selectExpr("id % 2 AS cv_id", "id AS job_id")
+    chunks = spark.range(12).selectExpr("id % 6 AS job_id", "int(id) AS chunk_no", "array('a', 'b', concat('x', id)) AS terms")
+    units = spark.range(4).selectExpr("id % 2 AS cv_id", "int(id) AS unit_no", "array('a', concat('x', id)) AS terms")
+    key = lambda r: (r["cv_id"], r["job_id"], r["chunk_no"], r["unit_no"], round(r["cosine"], 9))
+    whole = sorted(map(key, R.line_cosines(pairs, chunks, units).collect()))
+    monkeypatch.setattr(R, "spread_by", lambda df, n, *keys, task_rows=0: df.repartition(9, *keys))
+    df = R.line_cosines(pairs, chunks, units)
+    by = [line.split("hashpartitioning(")[1].split(")")[0] for line in dealt(df)]
+    assert not any("cv_id" in x and "job_id" in x and "_no" not in x for x in by) and sorted(map(key, df.collect())) == whole != []
+    asked = []
+    monkeypatch.setattr(R, "_term_lists", lambda rows, *a: asked.append(plan(rows)) or (_ for _ in ()).throw(KeyError))
+    with pytest.raises(KeyError):
+        R.line_cosines(pairs, chunks, units)
+    # the lines are not shuffled to meet the ids of their pairs
+    assert "BroadcastHashJoin" in asked[0] and "SortMergeJoin" not in asked[0]
+
+
+def test_scores_of_a_pool_are_summed_up_where_the_posting_is(spark):
+    docs = spark.createDataFrame([(1, ["a", "b"]), (2, ["b", "b"]), (3, [])], "job_id long, tokens array<string>")
+    asked = spark.createDataFrame([(7, "b", 1), (7, "c", 1), (8, "a", 2)], "cv_id long, token string, weight int")
+    df = R.bm25_in_pool(docs, asked, spark.createDataFrame([(7, 1), (7, 2), (8, 1), (8, 3)], "cv_id long, job_id long"))
+    assert not any("token" in line and "job_id" in line for line in dealt(df)) and "BroadcastHashJoin [cv_id" in plan(df)
+    assert [(c, j, s > 0) for c, j, s in rows(df)] == [(7, 1, True), (7, 2, True), (8, 1, True), (8, 3, False)]
